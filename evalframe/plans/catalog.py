@@ -22,6 +22,7 @@ _ORACLE: dict[str, str] = {}
 
 _MODULES = [
     "evalframe.plans.accuracy_reports",
+    "evalframe.plans.gain_reports",
     "evalframe.plans.filters_joins",
     "evalframe.plans.scoring_reports",
     "evalframe.plans.agreement_reports",
