@@ -55,11 +55,13 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, po
         F.coalesce(F.sum(_CNT).over(by_group.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias(_BEFORE),
         F.sum(_CNT).over(by_group).alias(size_col))
-    o = offsets.alias("_o")
-    cond = [ranged[_PID] == o[_PID]] + [ranged[c].eqNullSafe(o[c]) for c in group_cols]
-    joined = ranged.join(o, cond, "inner")
-    out_cols = [ranged[c] for c in df.columns]
-    return joined.select(*out_cols, (ranged[_MID] - o[_FIRST] + o[_BEFORE]).alias(pos_col), o[size_col])
+    r, o = ranged.alias("_r"), offsets.alias("_o")
+    cond = [F.col(f"_r.{_PID}") == F.col(f"_o.{_PID}")] + \
+        [F.col(f"_r.{c}").eqNullSafe(F.col(f"_o.{c}")) for c in group_cols]
+    joined = r.join(o, cond, "inner")
+    out_cols = [F.col(f"_r.`{c}`").alias(c) for c in df.columns]
+    return joined.select(*out_cols, (F.col(f"_r.{_MID}") - F.col(f"_o.{_FIRST}") + F.col(f"_o.{_BEFORE}")).alias(pos_col),
+                         F.col(f"_o.{size_col}").alias(size_col))
 
 
 def ntile_from_position(pos: Column, n: Column, k: int) -> Column:
