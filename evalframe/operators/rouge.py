@@ -1,40 +1,64 @@
 """ROUGE-1 F1 between text pairs (F6) as a Spark job.
 
 Multiset overlap (S18): for each word, min(count in a, count in b), summed.
-F1 = 2PR / (P + R) with P = overlap/|a|, R = overlap/|b|, which equals
-2·overlap / (|a| + |b|); zero tokens on either side or no overlap → 0.
-
-Plan: the text pairs are hash-partitioned by ``pair_id`` once (moving text
-rows, not exploded words). Both sides are exploded into (word, side) rows
-inside the partition, counted per (pair_id, word) and then per pair_id.
-Both aggregates are satisfied by the pair_id partitioning, so there is no
-further exchange and no join; a pair's words never leave its task, and the
-largest unit of work is one document pair.
+F1 = 2PR / (P + R) with P = overlap/|a|, R = overlap/|b|; zero tokens on
+either side or no overlap → 0.
+
+Plan: rows are hash-partitioned by the pair id once (moving text rows, not
+exploded words). All texts of a row are exploded into (word, side) entries
+inside the partition, counted per (id, word) and then per id. Both
+aggregates are satisfied by the id partitioning, so there is no further
+exchange and no join; a row's words never leave its task, and the largest
+unit of work is one row of texts. ``rouge1_many`` scores one reference text
+against several candidates in the same pass (one tokenisation of the
+reference, one aggregation for all candidates).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions.text import tokens
 
 
+def _f1(overlap: Column, len_a: Column, len_b: Column) -> Column:
+    prec = F.try_divide(overlap.cast("double"), len_a.cast("double"))
+    rec = F.try_divide(overlap.cast("double"), len_b.cast("double"))
+    return F.when((len_a == 0) | (len_b == 0) | (overlap == 0), F.lit(0.0)).otherwise(2 * (prec * rec) / (prec + rec))
+
+
+def rouge1_many(rows: DataFrame, id_col: str, ref: str, candidates: list[str],
+                num_partitions: int | None = None) -> DataFrame:
+    """ROUGE-1 of ``ref`` against each candidate column.
+
+    Returns (id, len_ref, and per candidate c: len_c, overlap_c, rouge1_c).
+    """
+    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = [ref, *candidates]
+    p = rows.select(F.col(id_col).alias("_id"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)]) \
+        .repartition(n, "_id")
+
+    def tag(side: int):  # one-argument lambda (a second argument would be bound to the element index)
+        return lambda w: F.struct(w.alias("w"), F.lit(side).alias("s"))
+
+    words = F.concat(*[F.transform(tokens(f"_t{i}"), tag(i)) for i in range(len(texts))])
+    exploded = p.select("_id", F.explode_outer(words).alias("t"))
+    per_word = exploded.groupBy("_id", F.col("t.w").alias("w")).agg(
+        *[F.count(F.when(F.col("t.s") == i, 1)).alias(f"c{i}") for i in range(len(texts))])
+    aggs = [F.sum("c0").alias("len_ref")]
+    for i in range(1, len(texts)):
+        aggs += [F.sum(f"c{i}").alias(f"len_{i}"), F.sum(F.least("c0", f"c{i}")).alias(f"ov_{i}")]
+    per_id = per_word.groupBy("_id").agg(*aggs)
+    out = [F.col("_id").alias(id_col), "len_ref"]
+    for i, c in enumerate(candidates, start=1):
+        out += [F.col(f"len_{i}").alias(f"len_{c}"), F.col(f"ov_{i}").alias(f"overlap_{c}"),
+                _f1(F.col(f"ov_{i}"), F.col("len_ref"), F.col(f"len_{i}")).alias(f"rouge1_{c}")]
+    return per_id.select(*out)
+
+
 def rouge1(pairs: DataFrame, pair_id: str, text_a: str, text_b: str, num_partitions: int | None = None) -> DataFrame:
     """Return (pair_id, len_a, len_b, overlap, rouge1) for every pair (pairs with empty text score 0)."""
-    n = num_partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = pairs.select(F.col(pair_id).alias("pair_id"), F.col(text_a).alias("a"), F.col(text_b).alias("b")) \
-        .repartition(n, "pair_id")
-    words = F.concat(
-        F.transform(tokens("a"), lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))),
-        F.transform(tokens("b"), lambda w: F.struct(w.alias("w"), F.lit(1).alias("s"))))
-    exploded = p.select("pair_id", F.explode_outer(words).alias("t"))
-    per_word = exploded.groupBy("pair_id", F.col("t.w").alias("w")).agg(
-        F.count(F.when(F.col("t.s") == 0, 1)).alias("ca"), F.count(F.when(F.col("t.s") == 1, 1)).alias("cb"))
-    per_pair = per_word.groupBy("pair_id").agg(
-        F.sum("ca").alias("len_a"), F.sum("cb").alias("len_b"), F.sum(F.least("ca", "cb")).alias("overlap"))
-    prec = F.try_divide(F.col("overlap").cast("double"), F.col("len_a").cast("double"))
-    rec = F.try_divide(F.col("overlap").cast("double"), F.col("len_b").cast("double"))
-    score = F.when((F.col("len_a") == 0) | (F.col("len_b") == 0) | (F.col("overlap") == 0), F.lit(0.0)) \
-        .otherwise(2 * (prec * rec) / (prec + rec))
-    return per_pair.select(F.col("pair_id").alias(pair_id), "len_a", "len_b", "overlap", score.alias("rouge1"))
+    r = rouge1_many(pairs, pair_id, text_a, [text_b], num_partitions)
+    return r.select(pair_id, F.col("len_ref").alias("len_a"), F.col(f"len_{text_b}").alias("len_b"),
+                    F.col(f"overlap_{text_b}").alias("overlap"), F.col(f"rouge1_{text_b}").alias("rouge1"))

@@ -96,8 +96,9 @@ def few_shot_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mc_blocks(spark, sf_dir)
 
 
-def _mc_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    test = _positioned(spark, sf_dir).filter(F.col("split") == "test")
+def _mc_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
+    pos = pos if pos is not None else _positioned(spark, sf_dir)
+    test = pos.filter(F.col("split") == "test")
     blocks = _mc_blocks(spark, sf_dir)
     j = test.join(blocks, ["section", "lang"])
     content = F.concat(pr.fmt(pr.MC_HEADER, _topic()), F.col("block"),
@@ -126,9 +127,10 @@ def _cloze_answer():
     return (F.col("item_no") % 2 + 1).cast("string")
 
 
-def _sampled_dev_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sampled_dev_positions(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
     """SP1: five English dev items by md5 order; their positions are reused in every language."""
-    dev_en = _positioned(spark, sf_dir).filter((F.col("split") == "dev") & (F.col("lang") == "en"))
+    pos = pos if pos is not None else _positioned(spark, sf_dir)
+    dev_en = pos.filter((F.col("split") == "dev") & (F.col("lang") == "en"))
     keyed = dev_en.withColumn("h", cu.md5_key(SEED, "item_no"))
     return ranking.top_k(keyed, [], ["h", "item_no"], 5, rank_col="sample_rank").select(
         "item_no", "position", "sample_rank")
@@ -152,15 +154,16 @@ SELECT p.item_no, p.lang, p.position FROM pos p WHERE p.split = 'dev' AND p.posi
 """)
 def semi_dev_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF6: dev rows of every language whose position is in the sampled set (left-semi join, not a Python set)."""
-    dev = _positioned(spark, sf_dir).filter(F.col("split") == "dev")
-    return dev.join(_sampled_dev_positions(spark, sf_dir).select("position"), "position", "left_semi") \
+    pos = _positioned(spark, sf_dir)
+    dev = pos.filter(F.col("split") == "dev")
+    return dev.join(_sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi") \
         .select("item_no", "lang", "position")
 
 
-def _cloze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = _positioned(spark, sf_dir)
+def _cloze_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
+    pos = pos if pos is not None else _positioned(spark, sf_dir)
     dev = pos.filter(F.col("split") == "dev").join(
-        _sampled_dev_positions(spark, sf_dir).select("position"), "position", "left_semi")
+        _sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi")
     shot = pr.fmt(pr.CLOZE_SHOT, F.col("shot_no").cast("string"), "question", "opt_a", "opt_b", _cloze_answer())
     blocks = cu.few_shot_blocks(dev, ["lang"], ["item_no"], shot)
     test = pos.filter(F.col("split") == "test").join(blocks, "lang")
@@ -223,7 +226,8 @@ SELECT custom_id, 'POST' AS method, '/v1/chat/completions' AS url, {_body_json()
 """)
 def build_eval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-REQ: the full evaluation request table (5-shot MC, 5-shot cloze, 0-shot passage) in batch-API shape."""
-    reqs = _mc_requests(spark, sf_dir).unionByName(_cloze_requests(spark, sf_dir)).unionByName(
+    pos = _positioned(spark, sf_dir)  # ranked once, shared by the two few-shot builders
+    reqs = _mc_requests(spark, sf_dir, pos).unionByName(_cloze_requests(spark, sf_dir, pos)).unionByName(
         _passage_requests(spark, sf_dir))
     body = pr.request_body(F.lit(pr.MODEL_PLACEHOLDER), F.col("content"))
     return reqs.select("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from evalframe.functions.text import initials as initials_fn
 from evalframe.functions.text import word_count
 from evalframe.operators import ranking
-from evalframe.operators.rouge import rouge1
+from evalframe.operators.rouge import rouge1, rouge1_many
 from evalframe.plans.catalog import register
-from evalframe.sources.tables import read_table, v_translations, v_workflow
+from evalframe.sources.tables import read_table, spread, v_translations, v_workflow
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 BOX = ["p_min", "p_q1", "p_median", "p_q3", "p_max"]
@@ -104,13 +104,15 @@ FROM {src} GROUP BY {group_cols}"""
 
 
 def _translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Human text scored against its MT and its English original in one tokenisation pass."""
     p = _translation_pairs(spark, sf_dir).filter(F.col("en_id").isNotNull() & F.col("mt_id").isNotNull())
-    vs_mt = rouge1(p.select("question_id", "question", "mt_text"), "question_id", "question", "mt_text") \
-        .select("question_id", F.lit("vs_machine_translation").alias("measure"), "rouge1")
-    vs_en = rouge1(p.select("question_id", "question", "en_text"), "question_id", "question", "en_text") \
-        .select("question_id", F.lit("vs_original_english").alias("measure"), "rouge1")
+    r = rouge1_many(p.select("question_id", "question", "mt_text", "en_text"), "question_id", "question",
+                    ["mt_text", "en_text"])
     meta = p.select("question_id", "target_lang", "translator")
-    return vs_mt.unionByName(vs_en).join(meta, "question_id")
+    long = r.select("question_id", F.explode(F.array(
+        F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
+        F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
+    return long.select("question_id", "m.measure", "m.rouge1").join(meta, "question_id")
 
 
 TRANSLATION_SCORES_SQL = f"""{TRANSLATION_PAIRS_SQL},
@@ -167,7 +169,7 @@ FROM documents GROUP BY ROLLUP (lang, source)
 """)
 def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 / AG12 / A-WC: whitespace words per (language, source) with subtotals and the grand total (rollup)."""
-    d = read_table(spark, sf_dir, "documents").select("lang", "source", "text")
+    d = spread(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
     return d.rollup("lang", "source").agg(F.sum(word_count("text")).alias("words"), F.count(F.lit(1)).alias("n_docs"))
 
 
