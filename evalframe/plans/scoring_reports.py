@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from evalframe import dims
 from evalframe.functions import scoring as sc
 from evalframe.functions.numeric import pct_tenths
-from evalframe.operators import ranking
+from evalframe.operators import costs, ranking
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import v_generations, v_items
 
@@ -261,8 +261,7 @@ def substitute_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 # SP3 / A-COST -------------------------------------------------------------------
 COST_TRIAL_SEEDS = [1, 2, 3]
 SAMPLE_PER_STRATUM = 3
-# USD per million tokens (input, output) for the two price sheets.
-PRICES = {"o1": (15.0, 60.0), "o1_mini": (3.0, 12.0)}
+PRICES = costs.PRICES
 
 
 def _stratified_sample(g: DataFrame) -> DataFrame:
@@ -324,15 +323,4 @@ def cost_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stratified_sample(g)
     usage = s.filter(F.col("content") != "").groupBy("trial").agg(
         F.avg(F.length("custom_id")).alias("in_tok"), F.avg(F.length("content")).alias("out_tok"))
-    u = usage.withColumn("n", g.agg(F.count(F.lit(1))).scalar())  # scalar subquery: N requests
-    metrics = F.array(
-        F.struct(F.lit("input_token_usages").alias("metric"), F.col("in_tok").alias("v")),
-        F.struct(F.lit("output_token_usages").alias("metric"), F.col("out_tok").alias("v")),
-        *[F.struct(F.lit(f"{name}_costs").alias("metric"),
-                   ((F.col("in_tok") * pin / 1e6 + F.col("out_tok") * pout / 1e6) * F.col("n")).alias("v"))
-          for name, (pin, pout) in PRICES.items()])
-    long = u.select(F.explode(metrics).alias("m")).select("m.metric", "m.v")
-    return long.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n_trials"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std")) \
-        .select("metric", "n_trials", "mean", "std", (F.col("mean") - 2 * F.col("std")).alias("ci_lower"),
-                (F.col("mean") + 2 * F.col("std")).alias("ci_upper"))
+    return costs.project_costs(usage, g.agg(F.count(F.lit(1))).scalar())  # scalar subquery: N requests
