@@ -19,9 +19,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Characters Python's ``str.strip()`` removes (``str.isspace``), as a fixed set.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def unicode_strip(text) -> Column:
-    """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip()``: remove leading/trailing whitespace of exactly Python's set (no regex)."""
+    return F.btrim(_c(text), F.lit(PY_WHITESPACE))
 
 
 def score_letter(custom_id, generation) -> Column:
@@ -29,7 +34,7 @@ def score_letter(custom_id, generation) -> Column:
 
     An empty parsed answer scores False; a null generation scores False.
     """
-    parsed = F.upper(F.regexp_replace(unicode_strip(generation), r"[()]", ""))
+    parsed = F.upper(F.replace(F.replace(unicode_strip(generation), F.lit("("), F.lit("")), F.lit(")"), F.lit("")))
     gold = F.substring(_c(custom_id), -1, 1)
     return F.coalesce((F.length(parsed) > 0) & (F.substring(parsed, 1, 1) == gold), F.lit(False))
 
@@ -54,15 +59,28 @@ def score_binary_lenient(custom_id, generation) -> Column:
 
 
 def parse_custom_id(custom_id) -> dict[str, Column]:
-    """model, lang, benchmark, n, gold parsed once with ``regexp_extract``."""
+    """model, lang, benchmark, n, gold of ``{model}-on-{lang}-{benchmark}-{n}-answer-{gold}``.
+
+    One ``rlike`` validates the id; the parts are then cut with
+    ``substring_index`` (last ``-on-``, last ``-answer-``), which equals the
+    greedy regex groups on valid ids and costs no backtracking. Invalid ids
+    give empty strings (and a null ``n``), like a failed ``regexp_extract``.
+    """
     c = _c(custom_id)
-    return {
-        "model": F.regexp_extract(c, CUSTOM_ID_PATTERN, 1),
-        "lang": F.regexp_extract(c, CUSTOM_ID_PATTERN, 2),
-        "benchmark": F.regexp_extract(c, CUSTOM_ID_PATTERN, 3),
-        "n": F.regexp_extract(c, CUSTOM_ID_PATTERN, 4).cast("bigint"),
-        "gold": F.regexp_extract(c, CUSTOM_ID_PATTERN, 5),
-    }
+    ok = c.rlike(CUSTOM_ID_PATTERN)
+    rest = F.substring_index(c, "-on-", -1)                       # {lang}-{benchmark}-{n}-answer-{gold}
+    lang = F.substring_index(rest, "-", 1)
+    mid = F.substring_index(rest, "-answer-", 1)                  # {lang}-{benchmark}-{n}
+    n = F.substring_index(mid, "-", -1)
+    bench = F.substring(mid, F.length(lang) + 2, F.length(mid) - F.length(lang) - F.length(n) - 2)
+    model = F.substring(c, F.lit(1), F.length(c) - F.length(rest) - 4)
+    gold = F.substring_index(c, "-answer-", -1)
+
+    def guard(x: Column) -> Column:
+        return F.when(ok, x).otherwise(F.lit(""))
+
+    return {"model": guard(model), "lang": guard(lang), "benchmark": guard(bench),
+            "n": F.when(ok, n.try_cast("bigint")), "gold": guard(gold)}
 
 
 def dataset_of(custom_id) -> Column:

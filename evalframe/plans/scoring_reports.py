@@ -11,7 +11,7 @@ from evalframe.functions import scoring as sc
 from evalframe.functions.numeric import pct_tenths
 from evalframe.operators import costs, ranking
 from evalframe.plans.catalog import register
-from evalframe.sources.tables import v_generations, v_items
+from evalframe.sources.tables import spread, v_generations, v_items
 
 ID_RE = sc.CUSTOM_ID_PATTERN
 STRIP_SQL = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -24,7 +24,7 @@ LENIENT_ANSWER_SQL = "CASE WHEN contains(content, '1') THEN '1' WHEN contains(co
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = v_generations(spark, sf_dir)
+    g = spread(v_generations(spark, sf_dir), "event_id")
     p = sc.parse_custom_id(F.col("custom_id"))
     return g.select("event_id", "custom_id", "content", *[c.alias(k) for k, c in p.items()])
 
@@ -97,14 +97,18 @@ def score_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-SCO: score every generation, accuracy per (model, benchmark, language); −100 for untested languages."""
     p = _parsed(spark, sf_dir)
     scored = p.select("model", "benchmark", "lang",
-                      sc.score_generation("custom_id", "content", "benchmark").alias("correct"))
-    agg = scored.groupBy("model", "benchmark", "lang").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("int")).alias("c"))
-    grid = p.select("model", "benchmark").distinct().withColumn(
-        "lang", F.explode(dims.literal_array(list(dims.LANGUAGES))))
-    j = grid.join(agg, ["model", "benchmark", "lang"], "left")
-    return j.select("model", "benchmark", "lang", F.coalesce("n", F.lit(0)).alias("n_answers"),
-                    F.coalesce(pct_tenths("c", "n") / 10.0, F.lit(-100.0)).alias("score_pct"))
+                      sc.score_generation("custom_id", "content", "benchmark").cast("int").alias("correct"))
+    langs = list(dims.LANGUAGES)
+    # one aggregate per (model, benchmark) with a count pair per language of the fixed list: the
+    # sentinel grid needs no second pass and no join
+    per = scored.groupBy("model", "benchmark").agg(*[
+        F.struct(F.lit(x).alias("lang"), F.count(F.when(F.col("lang") == x, 1)).alias("n"),
+                 F.sum(F.when(F.col("lang") == x, F.col("correct"))).alias("c")).alias(f"l{i}")
+        for i, x in enumerate(langs)])
+    cells = per.select("model", "benchmark", F.explode(F.array(*[f"l{i}" for i in range(len(langs))])).alias("x"))
+    n, c = F.col("x.n"), F.col("x.c")
+    return cells.select("model", "benchmark", F.col("x.lang").alias("lang"), n.alias("n_answers"),
+                        F.coalesce(pct_tenths(c, n) / 10.0, F.lit(-100.0)).alias("score_pct"))
 
 
 @register("dedup_last_wins", """

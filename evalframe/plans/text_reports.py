@@ -169,7 +169,7 @@ FROM documents GROUP BY ROLLUP (lang, source)
 """)
 def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 / AG12 / A-WC: whitespace words per (language, source) with subtotals and the grand total (rollup)."""
-    d = spread(read_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return d.rollup("lang", "source").agg(F.sum(word_count("text")).alias("words"), F.count(F.lit(1)).alias("n_docs"))
 
 

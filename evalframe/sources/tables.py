@@ -18,16 +18,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin an under-partitioned input before CPU-heavy per-row work (regex, tokenising).
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread an under-partitioned input on ``key`` before CPU-heavy per-row work (regex, tokenising).
 
     A 100 TB scan already has thousands of splits and this is a no-op; a
     small file stored as one row group would otherwise run on one core.
-    Decided at planning time from the partition count, no job is run.
+    Decided at planning time from the partition count, no job is run. Hash
+    (not round-robin) partitioning needs no pre-sort for retry determinism.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, key)
     return df
 
 
