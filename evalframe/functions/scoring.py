@@ -102,13 +102,26 @@ def substitute_model(template, model) -> Column:
 
 
 def parse_rating_id(custom_id) -> dict[str, Column]:
-    """Rating id parts with named groups instead of "text up to the 2nd underscore"."""
+    """Parts of ``{rater}-on-{lang}-{train}-{row_id}_vs_{eval}_{trial}``.
+
+    Validated by one ``rlike`` against the named-part pattern (instead of the
+    source's "text up to the 2nd underscore"), then cut with
+    ``substring_index``; invalid ids give empty strings and a null trial.
+    """
     c = _c(custom_id)
-    return {
-        "rater": F.regexp_extract(c, RATING_ID_PATTERN, 1),
-        "lang": F.regexp_extract(c, RATING_ID_PATTERN, 2),
-        "train": F.regexp_extract(c, RATING_ID_PATTERN, 3),
-        "row_id": F.regexp_extract(c, RATING_ID_PATTERN, 4),
-        "eval": F.regexp_extract(c, RATING_ID_PATTERN, 5),
-        "trial": F.regexp_extract(c, RATING_ID_PATTERN, 6).cast("bigint"),
-    }
+    ok = c.rlike(RATING_ID_PATTERN)
+    rest = F.substring_index(c, "-on-", -1)                  # {lang}-{train}-{row_id}_vs_{eval}_{trial}
+    lang = F.substring_index(rest, "-", 1)
+    trial = F.substring_index(c, "_", -1)
+    left = F.substring_index(rest, "_vs_", 1)                # {lang}-{train}-{row_id}
+    right = F.substring_index(rest, "_vs_", -1)              # {eval}_{trial}
+    ev = F.substring(right, F.lit(1), F.length(right) - F.length(trial) - 1)
+    row_id = F.substring_index(left, "-", -1)
+    train = F.substring(left, F.length(lang) + 2, F.length(left) - F.length(lang) - F.length(row_id) - 2)
+    rater = F.substring(c, F.lit(1), F.length(c) - F.length(rest) - 4)
+
+    def guard(x: Column) -> Column:
+        return F.when(ok, x).otherwise(F.lit(""))
+
+    return {"rater": guard(rater), "lang": guard(lang), "train": guard(train), "row_id": guard(row_id),
+            "eval": guard(ev), "trial": F.when(ok, trial.try_cast("bigint"))}

@@ -109,6 +109,25 @@ def dense_grid(models: DataFrame, benchmarks: Sequence[str], langs: Sequence[str
             .withColumn("eval_lang", F.explode(literal_array(list(langs)))))
 
 
+def dense_cells(df: DataFrame, row_keys: Sequence[str], benchmarks: Sequence[str], langs: Sequence[str],
+                correct: str = "correct") -> DataFrame:
+    """PF14 without a grid join: one aggregate per ``row_keys`` holding, for every (benchmark, language)
+    of the fixed lists, the answer count and correct count; exploded back to one row per cell.
+    Empty cells come out with n_total = 0 (accuracy null), as the dense grid requires."""
+    cells = []
+    for b in benchmarks:
+        for lang in langs:
+            hit = (F.col("benchmark") == b) & (F.col("eval_lang") == lang)
+            cells.append(F.struct(F.lit(b).alias("benchmark"), F.lit(lang).alias("eval_lang"),
+                                  F.count(F.when(hit, 1)).alias("n_total"),
+                                  F.sum(F.when(hit, F.col(correct).cast("bigint"))).alias("n_correct")))
+    per = df.groupBy(*row_keys).agg(F.array(*cells).alias("cells"))
+    out = per.select(*row_keys, F.explode("cells").alias("x"))
+    return out.select(*row_keys, "x.benchmark", "x.eval_lang", "x.n_total",
+                      F.coalesce("x.n_correct", F.lit(0)).alias("n_correct"),
+                      pct_tenths("x.n_correct", "x.n_total").alias("acc_tenths"))
+
+
 def gain_over_baseline(acc: DataFrame, base: DataFrame, value: str = "mean_acc") -> DataFrame:
     """Subtract the baseline of (benchmark, eval language).
 

@@ -131,12 +131,10 @@ GROUP BY c.model, c.benchmark, c.bench_order, lbl.model_label
 def acc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table-2 style matrix: (model, benchmark) rows × language columns; empty cells null."""
     r = acc.out_of_box(v_responses(spark, sf_dir))
-    a = acc.accuracy(r, ["model", "benchmark", "eval_lang"]).select(
-        "model", "benchmark", "eval_lang", (F.col("acc_tenths") / 10.0).alias("pct"))
-    grid = acc.dense_grid(r.select("model").distinct(), dims.TABLE2_BENCHMARK_ORDER, LANGS)
-    bench = dims.benchmark_dim(spark, dims.TABLE2_BENCHMARK_ORDER).select("benchmark", "bench_order")
-    cells = grid.join(a, ["model", "benchmark", "eval_lang"], "left")
+    cells = acc.dense_cells(r, ["model"], dims.TABLE2_BENCHMARK_ORDER, LANGS) \
+        .withColumn("pct", F.col("acc_tenths") / 10.0)
     wide = acc.pivot_languages(cells, ["model", "benchmark"], "pct", LANGS)
+    bench = dims.benchmark_dim(spark, dims.TABLE2_BENCHMARK_ORDER).select("benchmark", "bench_order")
     labels = dims.model_label_dim(spark).select("model", "model_label")
     return (wide.join(F.broadcast(bench), "benchmark").join(F.broadcast(labels), "model", "left")
             .select("model", "benchmark", "bench_order",

@@ -102,10 +102,8 @@ FROM grid g LEFT JOIN c ON g.model = c.model AND g.benchmark = c.benchmark AND g
 def dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF14: every (model, benchmark, language) label combination, zero when empty."""
     r = acc.out_of_box(v_responses(spark, sf_dir))
-    counts = r.groupBy("model", "benchmark", "eval_lang").agg(F.count(F.lit(1)).alias("n"))
-    grid = acc.dense_grid(r.select("model").distinct(), dims.BENCHMARKS, list(dims.LANGUAGES))
-    return grid.join(counts, ["model", "benchmark", "eval_lang"], "left").select(
-        "model", "benchmark", "eval_lang", F.coalesce("n", F.lit(0)).alias("n_total"))
+    return acc.dense_cells(r, ["model"], dims.BENCHMARKS, list(dims.LANGUAGES)).select(
+        "model", "benchmark", "eval_lang", "n_total")
 
 
 @register("except_english", """
