@@ -95,8 +95,11 @@ def pivot_languages(long: DataFrame, keys: Sequence[str], value: str, langs: Seq
 
     Uniqueness of (keys, lang) is the caller's contract (S10); accuracy
     frames are unique by construction because they come out of a group-by.
+    Written as conditional aggregates (one per language) — the same plan a
+    pivot with a value list produces, without its PivotFirst bookkeeping.
     """
-    return long.groupBy(*keys).pivot(lang_col, list(langs)).agg(F.first(value))
+    return long.groupBy(*keys).agg(*[
+        F.first(F.when(F.col(lang_col) == x, F.col(value)), ignorenulls=True).alias(x) for x in langs])
 
 
 def dense_grid(models: DataFrame, benchmarks: Sequence[str], langs: Sequence[str]) -> DataFrame:

@@ -207,7 +207,7 @@ FROM k
 def _appropriate_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = v_surveys(spark, sf_dir).filter(P.both_good())
     flags = s.select("item_id", "lang", P.both_typical().cast("int").alias("app"))
-    return flags.groupBy("item_id").pivot("lang", LANGS).agg(F.first("app"))
+    return flags.groupBy("item_id").agg(*[F.max(F.when(F.col("lang") == x, F.col("app"))).alias(x) for x in LANGS])
 
 
 @register("kappa_lang_matrix", KLM_SQL)
