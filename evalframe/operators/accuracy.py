@@ -17,14 +17,45 @@ from pyspark.sql import functions as F
 from evalframe.dims import HUMAN_MARKER, literal_array
 from evalframe.functions.numeric import mean_tenths, pct_tenths, safe_ratio
 from evalframe.functions.predicates import is_human
+from evalframe.session import checkpoint_dir
+
+
+FACT_KEYS = ["model", "was_ft", "approach", "train_data", "train_lang", "quality", "pct_used",
+             "benchmark", "eval_lang", "trial"]
+
+
+def fact_cells(responses: DataFrame, materialize: bool = True) -> DataFrame:
+    """One pass over the answers fact: (n_correct, n_total) per trial-level cell of the study grid.
+
+    The cell count is bounded by the dimensions (models × approaches × train
+    sets × languages × qualities × quantities × benchmarks × trials), not by
+    the data. Reports with several branches read this table instead of the
+    fact: Catalyst pushes each branch's filters below its own aggregate, so
+    branches over the raw fact could not share one scan. ``materialize``
+    writes the cells once with a reliable checkpoint (tiny; deterministic;
+    cuts the lineage back to the fact for executor loss).
+    """
+    cells = responses.groupBy(*FACT_KEYS).agg(
+        F.sum(F.col("correct").cast("bigint")).alias("n_correct"), F.count(F.lit(1)).alias("n_total"))
+    if materialize:
+        checkpoint_dir(responses.sparkSession)
+        cells = cells.checkpoint(eager=True)
+    return cells
+
+
+def _counts(df: DataFrame, correct: str) -> tuple[Column, Column]:
+    """(correct, total) aggregates for raw answer rows or for pre-aggregated cells."""
+    if "n_total" in df.columns:
+        return F.sum("n_correct"), F.sum("n_total")
+    return F.sum(F.col(correct).cast("bigint")), F.count(F.lit(1))
 
 
 def accuracy(df: DataFrame, keys: Sequence[str], correct: str = "correct") -> DataFrame:
-    """AG1: sum(correct) / count(*) per key set, plus exact 0.1-point percentage."""
-    agg = df.groupBy(*keys).agg(
-        F.sum(F.col(correct).cast("bigint")).alias("n_correct"),
-        F.count(F.lit(1)).alias("n_total"),
-    )
+    """AG1: sum(correct) / count(*) per key set, plus exact 0.1-point percentage.
+
+    Accepts raw answer rows or ``fact_cells`` (sums of the cell counts)."""
+    num, den = _counts(df, correct)
+    agg = df.groupBy(*keys).agg(num.alias("n_correct"), den.alias("n_total"))
     return agg.select(
         *keys, "n_correct", "n_total",
         safe_ratio("n_correct", "n_total").alias("accuracy"),
@@ -117,13 +148,15 @@ def dense_cells(df: DataFrame, row_keys: Sequence[str], benchmarks: Sequence[str
     """PF14 without a grid join: one aggregate per ``row_keys`` holding, for every (benchmark, language)
     of the fixed lists, the answer count and correct count; exploded back to one row per cell.
     Empty cells come out with n_total = 0 (accuracy null), as the dense grid requires."""
+    pre = "n_total" in df.columns
     cells = []
     for b in benchmarks:
         for lang in langs:
             hit = (F.col("benchmark") == b) & (F.col("eval_lang") == lang)
+            total = F.coalesce(F.sum(F.when(hit, F.col("n_total"))), F.lit(0)) if pre else F.count(F.when(hit, 1))
+            good = F.sum(F.when(hit, F.col("n_correct"))) if pre else F.sum(F.when(hit, F.col(correct).cast("bigint")))
             cells.append(F.struct(F.lit(b).alias("benchmark"), F.lit(lang).alias("eval_lang"),
-                                  F.count(F.when(hit, 1)).alias("n_total"),
-                                  F.sum(F.when(hit, F.col(correct).cast("bigint"))).alias("n_correct")))
+                                  total.alias("n_total"), good.alias("n_correct")))
     per = df.groupBy(*row_keys).agg(F.array(*cells).alias("cells"))
     out = per.select(*row_keys, F.explode("cells").alias("x"))
     return out.select(*row_keys, "x.benchmark", "x.eval_lang", "x.n_total",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import predicates as P
+from evalframe.session import checkpoint_dir
 
 ITEM_MOD = 500  # fixture item key: response_id % 500 (FIXTURES.md §C)
 
@@ -22,14 +23,27 @@ def _wino_answers(responses: DataFrame) -> DataFrame:
                     "trial", "response_id", "correct")
 
 
-def assessed_items(responses: DataFrame) -> DataFrame:
-    return _wino_answers(responses).select("item_id").distinct()
+def item_runs(responses: DataFrame, materialize: bool = False) -> DataFrame:
+    """One row per (model, item, language, run): the last answer's correctness (dict overwrite).
 
-
-def aligned_runs(responses: DataFrame) -> DataFrame:
-    """Per (model, item, language): runs present, sum, mean over 3 only when all 3 exist."""
+    ``materialize`` writes it once with a reliable checkpoint when several
+    branches read it (item filter and run alignment), so the answers fact is
+    scanned once.
+    """
     runs = _wino_answers(responses).groupBy("model", "item_id", "lang", "trial").agg(
         F.max_by("correct", "response_id").alias("c"))
+    if materialize:
+        checkpoint_dir(responses.sparkSession)
+        runs = runs.checkpoint(eager=True)
+    return runs
+
+
+def assessed_items(runs: DataFrame) -> DataFrame:
+    return runs.select("item_id").distinct()
+
+
+def aligned_runs(runs: DataFrame) -> DataFrame:
+    """Per (model, item, language): runs present, sum, mean over 3 only when all 3 exist."""
     return runs.groupBy("model", "item_id", "lang").agg(
         F.count(F.lit(1)).alias("n_runs"), F.sum("c").alias("sum_correct")).withColumn(
         "mean_correct", F.when(F.col("n_runs") == 3, F.col("sum_correct") / 3.0))
@@ -52,11 +66,12 @@ def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFr
     Denominators count every item of the stratum (S12: a missing run mean
     adds nothing to the sum but keeps its item in the denominator).
     """
-    items = assessed_items(responses)
+    runs = item_runs(responses, materialize=True)
+    items = assessed_items(runs)
     flags = (policy_filter(surveys, policy).filter(F.col("lang") != "en")
              .join(items, "item_id", "left_semi")
              .select("item_id", "lang", P.both_typical().cast("int").alias("app")))
-    acc = aligned_runs(responses).select("model", "item_id", "lang", F.col("mean_correct").alias("m"))
+    acc = aligned_runs(runs).select("model", "item_id", "lang", F.col("mean_correct").alias("m"))
     tot = flags.groupBy("lang").agg(F.sum("app").alias("n_app"), (F.count(F.lit(1)) - F.sum("app")).alias("n_inapp"))
     s_lang = flags.join(acc, ["item_id", "lang"]).groupBy("model", "lang").agg(
         F.sum(F.when(F.col("app") == 1, F.col("m"))).alias("s_app"),

@@ -23,6 +23,11 @@ LABELS_SQL = "(VALUES " + ", ".join(
     ") AS lbl(model, model_label, model_order)"
 
 
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers fact reduced once to trial-level cells (for reports with several branches)."""
+    return acc.fact_cells(v_responses(spark, sf_dir))
+
+
 def _bench_col(b: str) -> str:
     return b.replace("-", "_")
 
@@ -131,9 +136,9 @@ GROUP BY c.model, c.benchmark, c.bench_order, lbl.model_label
 def acc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table-2 style matrix: (model, benchmark) rows × language columns; empty cells null."""
     r = acc.out_of_box(v_responses(spark, sf_dir))
-    cells = acc.dense_cells(r, ["model"], dims.TABLE2_BENCHMARK_ORDER, LANGS) \
+    grid = acc.dense_cells(r, ["model"], dims.TABLE2_BENCHMARK_ORDER, LANGS) \
         .withColumn("pct", F.col("acc_tenths") / 10.0)
-    wide = acc.pivot_languages(cells, ["model", "benchmark"], "pct", LANGS)
+    wide = acc.pivot_languages(grid, ["model", "benchmark"], "pct", LANGS)
     bench = dims.benchmark_dim(spark, dims.TABLE2_BENCHMARK_ORDER).select("benchmark", "bench_order")
     labels = dims.model_label_dim(spark).select("model", "model_label")
     return (wide.join(F.broadcast(bench), "benchmark").join(F.broadcast(labels), "model", "left")
@@ -172,7 +177,7 @@ FROM long GROUP BY row_label, row_order
 """)
 def report_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English flagship vs African average per model, random baseline, gap (A-T1)."""
-    r = acc.out_of_box(v_responses(spark, sf_dir))
+    r = acc.out_of_box(cells(spark, sf_dir))
     per = acc.accuracy(r, ["model", "benchmark", "eval_lang"]).select(
         "model", "benchmark", "eval_lang", F.col("acc_tenths").alias("tenths"))
     afr = per.filter(F.col("eval_lang") != "en").groupBy("model", "benchmark").agg(

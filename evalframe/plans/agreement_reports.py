@@ -292,7 +292,7 @@ FROM runs GROUP BY ALL
 """)
 def align_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three run tables aligned on (item, language); missing in any run → null mean."""
-    return lift.aligned_runs(v_responses(spark, sf_dir)).select(
+    return lift.aligned_runs(lift.item_runs(v_responses(spark, sf_dir))).select(
         "model", "item_id", "lang", "n_runs", "sum_correct", "mean_correct")
 
 
@@ -307,7 +307,7 @@ FROM v_surveys s LEFT JOIN items i ON s.item_id = i.item_id GROUP BY s.lang
 def semi_assessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey items restricted to assessed items (semi join) with the anti-join completeness check."""
     s = v_surveys(spark, sf_dir)
-    items = lift.assessed_items(v_responses(spark, sf_dir))
+    items = lift.assessed_items(lift.item_runs(v_responses(spark, sf_dir)))
     matched = s.join(items, "item_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n_matched"))
     unmatched = s.join(items, "item_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n_unmatched"))
     total = s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_items"))

@@ -11,6 +11,7 @@ from evalframe.functions import prompts as pr
 from evalframe.operators import curation as cu
 from evalframe.operators import gains as g
 from evalframe.operators import ranking
+from evalframe.plans.accuracy_reports import cells as acc_cells
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import read_table, v_items, v_ratings, v_responses
 
@@ -397,7 +398,7 @@ def _messages_repr_sql() -> str:
 
 def _rating_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-RAT: training rows × eligible eval benchmarks (lift ≥ 5 in that language) × 3 trials."""
-    elig = g.eligible_combos(v_responses(spark, sf_dir), BASE).select("train_data", F.col("benchmark").alias("eval"), "lang")
+    elig = g.eligible_combos(acc_cells(spark, sf_dir), BASE).select("train_data", F.col("benchmark").alias("eval"), "lang")
     t = _training_rows(spark, sf_dir).join(elig, ["train_data", "lang"])
     target = F.col("eval")
     tgt = F.lit(None).cast("string")
@@ -547,18 +548,24 @@ def build_training_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("lang", "train", "eval", "quality", "pct", "row_id", F.to_json(row).alias("messages"))
 
 
-@register("chat_training_rows", """
-SELECT conv_id, COUNT(*) AS n_messages, CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS VARCHAR) AS messages
-FROM conversations GROUP BY conv_id
+@register("chat_training_rows", f"""
+SELECT u.conv_id, u.turn,
+  {_chat_json_sql('u.text', 'r.text')} AS messages
+FROM conversations u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1
+WHERE u.role = 'user' AND r.role = 'assistant'
 """)
 def chat_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """one chat row per conversation, messages ordered by turn (a conversation is a bounded group)."""
+    """fine-tuning chat rows [system, user, assistant] — each user turn with the reply that follows.
+
+    An equi join on (conv_id, turn + 1) pairs the turns, so every output row
+    has exactly three messages and no conversation is gathered into one row.
+    """
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    agg = c.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_messages"),
-        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    msgs = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return agg.select("conv_id", "n_messages", F.to_json(F.struct(msgs.alias("messages"))).alias("messages"))
+    u = c.filter(F.col("role") == "user").alias("u")
+    r = c.filter(F.col("role") == "assistant").alias("r")
+    j = u.join(r, (F.col("r.conv_id") == F.col("u.conv_id")) & (F.col("r.turn") == F.col("u.turn") + 1))
+    row = pr.chat_row(F.lit(pr.SYSTEM_MESSAGE), F.col("u.text"), F.col("r.text"))
+    return j.select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"), F.to_json(row).alias("messages"))
 
 
 @register("snk_bucket_json", f"""

@@ -10,7 +10,7 @@ from evalframe.functions.numeric import mean_tenths
 from evalframe.operators import accuracy as acc
 from evalframe.operators import gains as g
 from evalframe.plans.accuracy_reports import (LABELS_SQL, LANGS, MEAN_TENTHS_SQL, OOB_SQL, TENTHS_SQL,
-                                              _lang_case_sql)
+                                              _lang_case_sql, cells)
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import v_responses
 
@@ -44,14 +44,14 @@ gains AS (SELECT m.*, m.mean_acc - b.base_acc AS gain FROM m JOIN base b USING (
 
 
 def _cross_lingual(spark: SparkSession, sf_dir: str, value: str) -> DataFrame:
-    r = v_responses(spark, sf_dir)
+    r = cells(spark, sf_dir)
     keys = ["train_data", "train_lang", "benchmark", "eval_lang"]
-    cells = acc.mean_std_over_trials(acc.full_data_runs(r), keys).filter(
+    means = acc.mean_std_over_trials(acc.full_data_runs(r), keys).filter(
         F.col("benchmark").isin(dims.FT_EVAL_BENCHMARKS) & F.col("train_data").isin(dims.FT_TRAIN_BENCHMARKS))
     base = acc.baselines(r, BASE).select(
         F.lit("base").alias("train_data"), F.lit(None).cast("string").alias("train_lang"),
         "benchmark", "eval_lang", (F.col("base_tenths") / 10.0).alias(value))
-    long = cells.select("train_data", "train_lang", "benchmark", "eval_lang", value).unionByName(base)
+    long = means.select("train_data", "train_lang", "benchmark", "eval_lang", value).unionByName(base)
     return acc.pivot_languages(long, ["train_data", "train_lang", "benchmark"], value, LANGS)
 
 
@@ -97,7 +97,7 @@ FROM elig GROUP BY train_data, benchmark
 """)
 def eligible_lift_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J10 + U3: combos with a mono-lingual lift ≥ 5 points, languages gathered per combo."""
-    e = g.eligible_combos(v_responses(spark, sf_dir), BASE)
+    e = g.eligible_combos(cells(spark, sf_dir), BASE)
     return e.groupBy("train_data", "benchmark").agg(
         F.count(F.lit(1)).alias("n_langs"),
         F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"),
@@ -128,12 +128,12 @@ def quality_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     Like the published tables, quality runs are matched on the fine-tuning
     language only (the evaluation language is not filtered).
     """
-    r = v_responses(spark, sf_dir)
+    r = cells(spark, sf_dir)
     elig = g.eligible_combos(r, BASE)
     q = r.filter(F.col("quality").isNotNull())
-    cells = acc.mean_std_over_trials(q, ["train_data", "benchmark", "train_lang", "quality", "pct_used"]) \
+    means = acc.mean_std_over_trials(q, ["train_data", "benchmark", "train_lang", "quality", "pct_used"]) \
         .withColumnRenamed("train_lang", "lang")
-    runs = cells.join(elig.select("train_data", "benchmark", "lang"), ["train_data", "benchmark", "lang"])
+    runs = means.join(elig.select("train_data", "benchmark", "lang"), ["train_data", "benchmark", "lang"])
     base = acc.baselines(r, BASE).select("benchmark", F.col("eval_lang").alias("lang"), "base_tenths")
     zero = (elig.join(base, ["benchmark", "lang"])
             .withColumn("quality", F.explode(dims.literal_array(dims.QUALITIES)))
@@ -150,7 +150,7 @@ SELECT {FT_KEYS_SQL}, round(mean_acc, 6) AS mean_acc, round(gain, 6) + 0.0 AS ga
 """)
 def gain_over_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean accuracy over trials minus the un-tuned baseline of (eval data, eval lang)."""
-    return g.gains(v_responses(spark, sf_dir), BASE).select(*g.FT_KEYS, "mean_acc", "gain")
+    return g.gains(cells(spark, sf_dir), BASE).select(*g.FT_KEYS, "mean_acc", "gain")
 
 
 @register("filter_mono_cross", f"""
@@ -169,7 +169,7 @@ def filter_mono_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gain_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    r = v_responses(spark, sf_dir)
+    r = cells(spark, sf_dir)
     return r, g.gains(r, BASE)
 
 
@@ -316,7 +316,7 @@ FROM box LEFT JOIN en ON box.quality = en.quality AND box.pct_used = en.pct_used
 """)
 def quality_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-QD: accuracy distributions (African languages) by quantity × quality, 0 % = baseline, English marker."""
-    r = v_responses(spark, sf_dir)
+    r = cells(spark, sf_dir)
     q = r.filter(F.col("quality").isNotNull() & (F.col("train_data") == "mmlu-college_medicine")
                  & (F.col("benchmark") == "mmlu-clinical_knowledge"))
     qm = acc.mean_over_trials(q, ["eval_lang", "quality", "pct_used"]).select(
@@ -393,7 +393,7 @@ def insert_ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     The frame is report-sized (models × benchmarks), so one ordered window
     over it is cheap; the heavy part is the aggregate that feeds it.
     """
-    r = acc.out_of_box(v_responses(spark, sf_dir))
+    r = acc.out_of_box(cells(spark, sf_dir))
     a = acc.accuracy(r, ["model", "benchmark", "eval_lang"]).withColumn("pct", F.col("acc_tenths") / 10.0)
     wide = acc.pivot_languages(a, ["model", "benchmark"], "pct", LANGS)
     labels = dims.model_label_dim(spark)
@@ -433,7 +433,7 @@ def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     correlation of rank columns — all pairs in ONE global aggregate over the
     wide rank table instead of a self-join per pair. Lower triangle only.
     """
-    r = acc.out_of_box(v_responses(spark, sf_dir))
+    r = acc.out_of_box(cells(spark, sf_dir))
     a = acc.accuracy(r, ["model", "benchmark", "eval_lang"]).withColumn("pct", F.col("acc_tenths") / 10.0)
     w = Window.partitionBy("eval_lang").orderBy("pct")
     ties = Window.partitionBy("eval_lang", "pct")
@@ -459,7 +459,7 @@ FROM per GROUP BY benchmark
 """)
 def five_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST5: box-plot numbers of per-(model, language) accuracy by benchmark."""
-    r = acc.out_of_box(v_responses(spark, sf_dir))
+    r = acc.out_of_box(cells(spark, sf_dir))
     a = acc.accuracy(r, ["model", "benchmark", "eval_lang"])
     return a.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n"),
                                       *g.five_numbers(F.col("n_correct") * 100.0 / F.col("n_total")))
