@@ -63,6 +63,27 @@ def kappa_stats(df: DataFrame, group_cols: Sequence[str], r1: str, r2: str,
                     F.try_divide(po - pe_f, 1 - pe_f).alias("fleiss_kappa"))
 
 
+def kappa_stats_many(df: DataFrame, group_cols: Sequence[str], questions) -> DataFrame:
+    """Several rater pairs in ONE aggregate: ``questions`` = [(prefix, r1, r2, categories), ...].
+    Output columns ``{prefix}cohen_kappa`` / ``{prefix}fleiss_kappa`` per question."""
+    aggs, outs = [], []
+    for q, (prefix, r1, r2, cats) in enumerate(questions):
+        a, b = F.col(r1), F.col(r2)
+        both = _both(a, b)
+        aggs += [F.count(F.when(both, 1)).alias(f"n_{q}"), F.count(F.when(both & (a == b), 1)).alias(f"agree_{q}")]
+        for k, c in enumerate(cats):
+            aggs += [F.count(F.when(both & (a == c), 1)).alias(f"r_{q}_{k}"),
+                     F.count(F.when(both & (b == c), 1)).alias(f"c_{q}_{k}")]
+        n = F.col(f"n_{q}").cast("double")
+        po = F.col(f"agree_{q}") / n
+        pe_c = sum((F.col(f"r_{q}_{k}") * F.col(f"c_{q}_{k}") for k in range(len(cats))), F.lit(0)) / (n * n)
+        pe_f = sum(((F.col(f"r_{q}_{k}") + F.col(f"c_{q}_{k}")) * (F.col(f"r_{q}_{k}") + F.col(f"c_{q}_{k}"))
+                    for k in range(len(cats))), F.lit(0)) / (4 * n * n)
+        outs += [F.try_divide(po - pe_c, 1 - pe_c).alias(f"{prefix}cohen_kappa"),
+                 F.try_divide(po - pe_f, 1 - pe_f).alias(f"{prefix}fleiss_kappa")]
+    return df.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
+
+
 def pairwise_binary(wide: DataFrame, cols: Sequence[str], include_diagonal: bool = True) -> DataFrame:
     """ST3 / J3 re-aimed: per ordered pair of binary columns, agreement counts and Cohen's kappa.
 

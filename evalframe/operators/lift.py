@@ -70,7 +70,8 @@ def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFr
     items = assessed_items(runs)
     flags = (policy_filter(surveys, policy).filter(F.col("lang") != "en")
              .join(items, "item_id", "left_semi")
-             .select("item_id", "lang", P.both_typical().cast("int").alias("app")))
+             .select("item_id", "lang", P.both_typical().cast("int").alias("app"))
+             .checkpoint(eager=True))  # read by three branches: one survey scan
     acc = aligned_runs(runs).select("model", "item_id", "lang", F.col("mean_correct").alias("m"))
     tot = flags.groupBy("lang").agg(F.sum("app").alias("n_app"), (F.count(F.lit(1)) - F.sum("app")).alias("n_inapp"))
     s_lang = flags.join(acc, ["item_id", "lang"]).groupBy("model", "lang").agg(

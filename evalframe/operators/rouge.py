@@ -5,7 +5,8 @@ F1 = 2PR / (P + R) with P = overlap/|a|, R = overlap/|b|; zero tokens on
 either side or no overlap → 0.
 
 Plan: rows are hash-partitioned by the pair id once (moving text rows, not
-exploded words). All texts of a row are exploded into (word, side) entries
+exploded words) — or arrive already clustered by it from the step that
+paired them. All texts of a row are exploded into (word, side) entries
 inside the partition, counted per (id, word) and then per id. Both
 aggregates are satisfied by the id partitioning, so there is no further
 exchange and no join; a row's words never leave its task, and the largest
@@ -28,37 +29,45 @@ def _f1(overlap: Column, len_a: Column, len_b: Column) -> Column:
     return F.when((len_a == 0) | (len_b == 0) | (overlap == 0), F.lit(0.0)).otherwise(2 * (prec * rec) / (prec + rec))
 
 
-def rouge1_many(rows: DataFrame, id_col: str, ref: str, candidates: list[str],
-                num_partitions: int | None = None) -> DataFrame:
+def rouge1_many(rows: DataFrame, id_col, ref: str, candidates: list[str],
+                num_partitions: int | None = None, partition: bool = True) -> DataFrame:
     """ROUGE-1 of ``ref`` against each candidate column.
 
-    Returns (id, len_ref, and per candidate c: len_c, overlap_c, rouge1_c).
+    ``id_col`` is one column or a list of columns identifying a row. With
+    ``partition=False`` the caller guarantees rows are already clustered by
+    (a subset of) the id columns — e.g. they come out of a group-by on them —
+    and no exchange is added. Returns (ids, len_ref, and per candidate c:
+    len_c, overlap_c, rouge1_c).
     """
-    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
     texts = [ref, *candidates]
-    p = rows.select(F.col(id_col).alias("_id"), *[F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)]) \
-        .repartition(n, "_id")
+    p = rows.select(*ids, *[F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)])
+    if partition:
+        n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        p = p.repartition(n, *ids)
 
     def tag(side: int):  # one-argument lambda (a second argument would be bound to the element index)
         return lambda w: F.struct(w.alias("w"), F.lit(side).alias("s"))
 
     words = F.concat(*[F.transform(tokens(f"_t{i}"), tag(i)) for i in range(len(texts))])
-    exploded = p.select("_id", F.explode_outer(words).alias("t"))
-    per_word = exploded.groupBy("_id", F.col("t.w").alias("w")).agg(
+    exploded = p.select(*ids, F.explode_outer(words).alias("t"))
+    per_word = exploded.groupBy(*ids, F.col("t.w").alias("w")).agg(
         *[F.count(F.when(F.col("t.s") == i, 1)).alias(f"c{i}") for i in range(len(texts))])
     aggs = [F.sum("c0").alias("len_ref")]
     for i in range(1, len(texts)):
         aggs += [F.sum(f"c{i}").alias(f"len_{i}"), F.sum(F.least("c0", f"c{i}")).alias(f"ov_{i}")]
-    per_id = per_word.groupBy("_id").agg(*aggs)
-    out = [F.col("_id").alias(id_col), "len_ref"]
+    per_id = per_word.groupBy(*ids).agg(*aggs)
+    out = [*ids, "len_ref"]
     for i, c in enumerate(candidates, start=1):
         out += [F.col(f"len_{i}").alias(f"len_{c}"), F.col(f"ov_{i}").alias(f"overlap_{c}"),
                 _f1(F.col(f"ov_{i}"), F.col("len_ref"), F.col(f"len_{i}")).alias(f"rouge1_{c}")]
     return per_id.select(*out)
 
 
-def rouge1(pairs: DataFrame, pair_id: str, text_a: str, text_b: str, num_partitions: int | None = None) -> DataFrame:
-    """Return (pair_id, len_a, len_b, overlap, rouge1) for every pair (pairs with empty text score 0)."""
-    r = rouge1_many(pairs, pair_id, text_a, [text_b], num_partitions)
-    return r.select(pair_id, F.col("len_ref").alias("len_a"), F.col(f"len_{text_b}").alias("len_b"),
+def rouge1(pairs: DataFrame, pair_id, text_a: str, text_b: str, num_partitions: int | None = None,
+           partition: bool = True) -> DataFrame:
+    """Return (pair id column(s), len_a, len_b, overlap, rouge1) for every pair (empty text scores 0)."""
+    ids = [pair_id] if isinstance(pair_id, str) else list(pair_id)
+    r = rouge1_many(pairs, ids, text_a, [text_b], num_partitions, partition)
+    return r.select(*ids, F.col("len_ref").alias("len_a"), F.col(f"len_{text_b}").alias("len_b"),
                     F.col(f"overlap_{text_b}").alias("overlap"), F.col(f"rouge1_{text_b}").alias("rouge1"))

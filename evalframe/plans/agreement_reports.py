@@ -139,11 +139,9 @@ FROM q1 JOIN q2 USING (lang) WHERE q1.lang <> 'en'
 def kappa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-KAP: two questions × two statistics per African language."""
     s = v_surveys(spark, sf_dir).filter(F.col("lang") != "en")
-    q1 = ag.kappa_stats(s, ["lang"], "quality_1", "quality_2", dims.QUALITY_CATEGORIES).select(
-        "lang", F.col("cohen_kappa").alias("q1_cohen_kappa"), F.col("fleiss_kappa").alias("q1_fleiss_kappa"))
-    q2 = ag.kappa_stats(s, ["lang"], "approp_1", "approp_2", [v for v, _ in APP_CATS]).select(
-        "lang", F.col("cohen_kappa").alias("q2_cohen_kappa"), F.col("fleiss_kappa").alias("q2_fleiss_kappa"))
-    return q1.join(q2, "lang")
+    k = ag.kappa_stats_many(s, ["lang"], [("q1_", "quality_1", "quality_2", dims.QUALITY_CATEGORIES),
+                                          ("q2_", "approp_1", "approp_2", [v for v, _ in APP_CATS])])
+    return k.select("lang", "q1_cohen_kappa", "q1_fleiss_kappa", "q2_cohen_kappa", "q2_fleiss_kappa")
 
 
 @register("labels_kappa", """
@@ -184,9 +182,8 @@ WHERE quality_1 IS DISTINCT FROM 'Completely wrong' AND quality_2 IS DISTINCT FR
 def filter_rater_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF7: survey rows kept by the 'either rater ok' and 'both raters ok' quality policies."""
     s = v_surveys(spark, sf_dir)
-    either = s.filter(P.either_not_wrong()).select(F.lit("either").alias("policy"), "survey_key", "lang")
-    both = s.filter(P.neither_wrong()).select(F.lit("both").alias("policy"), "survey_key", "lang")
-    return either.unionByName(both)
+    tags = F.array(F.when(P.either_not_wrong(), F.lit("either")), F.when(P.neither_wrong(), F.lit("both")))
+    return s.select(F.explode(F.array_compact(tags)).alias("policy"), "survey_key", "lang")
 
 
 KLM_SQL = f"""
@@ -306,14 +303,11 @@ FROM v_surveys s LEFT JOIN items i ON s.item_id = i.item_id GROUP BY s.lang
 """)
 def semi_assessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey items restricted to assessed items (semi join) with the anti-join completeness check."""
-    s = v_surveys(spark, sf_dir)
-    items = lift.assessed_items(lift.item_runs(v_responses(spark, sf_dir)))
-    matched = s.join(items, "item_id", "left_semi").groupBy("lang").agg(F.count(F.lit(1)).alias("n_matched"))
-    unmatched = s.join(items, "item_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n_unmatched"))
-    total = s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_items"))
-    return (total.join(matched, "lang", "left").join(unmatched, "lang", "left")
-            .select("lang", "n_items", F.coalesce("n_matched", F.lit(0)).alias("n_matched"),
-                    F.coalesce("n_unmatched", F.lit(0)).alias("n_unmatched")))
+    s = v_surveys(spark, sf_dir).select("item_id", "lang")
+    items = lift.assessed_items(lift.item_runs(v_responses(spark, sf_dir))).withColumn("hit", F.lit(True))
+    j = s.join(items, "item_id", "left")  # items is distinct: semi + anti in one pass
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_items"), F.count("hit").alias("n_matched"),
+                                 F.count(F.when(F.col("hit").isNull(), 1)).alias("n_unmatched"))
 
 
 @register("lift_did", f"""

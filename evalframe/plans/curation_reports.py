@@ -11,6 +11,7 @@ from evalframe.functions import prompts as pr
 from evalframe.operators import curation as cu
 from evalframe.operators import gains as g
 from evalframe.operators import ranking
+from evalframe.operators.pairing import consecutive_turns
 from evalframe.plans.accuracy_reports import cells as acc_cells
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import read_table, v_items, v_ratings, v_responses
@@ -557,15 +558,14 @@ WHERE u.role = 'user' AND r.role = 'assistant'
 def chat_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fine-tuning chat rows [system, user, assistant] — each user turn with the reply that follows.
 
-    An equi join on (conv_id, turn + 1) pairs the turns, so every output row
-    has exactly three messages and no conversation is gathered into one row.
+    Turns are paired by one aggregate on (conv_id, pair turn) — a group of at
+    most two rows — so every output row has exactly three messages and no
+    conversation is gathered into one row.
     """
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    u = c.filter(F.col("role") == "user").alias("u")
-    r = c.filter(F.col("role") == "assistant").alias("r")
-    j = u.join(r, (F.col("r.conv_id") == F.col("u.conv_id")) & (F.col("r.turn") == F.col("u.turn") + 1))
-    row = pr.chat_row(F.lit(pr.SYSTEM_MESSAGE), F.col("u.text"), F.col("r.text"))
-    return j.select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"), F.to_json(row).alias("messages"))
+    pairs = consecutive_turns(c)
+    row = pr.chat_row(F.lit(pr.SYSTEM_MESSAGE), F.col("a"), F.col("b"))
+    return pairs.select("conv_id", "turn", F.to_json(row).alias("messages"))
 
 
 @register("snk_bucket_json", f"""

@@ -111,9 +111,13 @@ SELECT DISTINCT model, eval_lang FROM v_responses
 EXCEPT SELECT model, eval_lang FROM v_responses WHERE eval_lang = 'en'
 """)
 def except_english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set difference (language list minus English) per model — EXCEPT DISTINCT."""
-    r = v_responses(spark, sf_dir).select("model", "eval_lang")
-    return r.distinct().subtract(r.filter(F.col("eval_lang") == "en"))
+    """Set difference (language list minus English) per model — EXCEPT DISTINCT.
+
+    The subtracted set is a fixed one-row dimension, so the difference is a
+    broadcast left-anti join after one distinct over the fact (one scan)."""
+    r = v_responses(spark, sf_dir).select("model", "eval_lang").distinct()
+    english = F.broadcast(spark.createDataFrame([("en",)], "eval_lang string"))
+    return r.join(english, "eval_lang", "left_anti").select("model", "eval_lang")
 
 
 J1_SQL = f"""j1 AS (

@@ -230,9 +230,11 @@ def item_correctness_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = p.join(pm, p["n"] == pm["position"]).select(
         "qid", "gold", "event_id", F.concat("model", F.lit("_"), "lang").alias("col"),
         sc.score_binary_lenient("custom_id", "content").cast("int").alias("correct"))
-    wide = s.groupBy("qid").pivot("col", [f"{m}_{x}" for m, x in WIDE_COLS]).agg(F.max_by("correct", "event_id"))
-    answer = s.groupBy("qid").agg(F.min("gold").alias("answer"))
-    return answer.join(wide, "qid")
+    cols = [f"{m}_{x}" for m, x in WIDE_COLS]
+    hit = {c: F.col("col") == c for c in cols}
+    return s.groupBy("qid").agg(
+        F.min("gold").alias("answer"),
+        *[F.max_by(F.when(hit[c], F.col("correct")), F.when(hit[c], F.col("event_id"))).alias(c) for c in cols])
 
 
 @register("scope_requests", """
@@ -245,10 +247,8 @@ def scope_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-EVS: evaluation scope of a tuned model — drop the training benchmark; a targeted
     quality×quantity run keeps only ``-on-{lang}-{bench}-`` ids."""
     g = v_generations(spark, sf_dir).filter(~F.col("custom_id").contains("college_medicine"))
-    everything = g.select(F.lit("all").alias("scope"), "event_id", "custom_id")
-    targeted = g.filter(F.col("custom_id").contains("-on-af-belebele-")).select(
-        F.lit("af-belebele").alias("scope"), "event_id", "custom_id")
-    return everything.unionByName(targeted)
+    scopes = F.array(F.lit("all"), F.when(F.col("custom_id").contains("-on-af-belebele-"), F.lit("af-belebele")))
+    return g.select(F.explode(F.array_compact(scopes)).alias("scope"), "event_id", "custom_id")
 
 
 @register("substitute_model", """

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.text import initials as initials_fn
 from evalframe.functions.text import word_count
+from evalframe import dims
 from evalframe.operators import ranking
+from evalframe.operators.pairing import consecutive_turns, translation_triples
 from evalframe.operators.rouge import rouge1, rouge1_many
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import read_table, spread, v_translations, v_workflow
@@ -44,30 +46,23 @@ WITH {_rouge_sql(CONV_PAIRS_SQL)}
 SELECT pair_id, len_a, len_b, overlap, round(rouge1, 6) AS rouge1 FROM rouge
 """)
 def rouge1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ROUGE-1 between each user turn and the assistant reply that follows it (whole texts)."""
+    """ROUGE-1 between each user turn and the assistant reply that follows it (whole texts).
+
+    Turns are paired by one aggregate on (conv_id, pair turn); the ROUGE job
+    reuses that clustering, so the texts are shuffled exactly once."""
     c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    u = c.filter(F.col("role") == "user").alias("u")
-    r = c.filter(F.col("role") == "assistant").alias("r")
-    pairs = u.join(r, (F.col("r.conv_id") == F.col("u.conv_id")) & (F.col("r.turn") == F.col("u.turn") + 1)).select(
-        F.concat(F.col("u.conv_id").cast("string"), F.lit(":"), F.col("u.turn").cast("string")).alias("pair_id"),
-        F.col("u.text").alias("a"), F.col("r.text").alias("b"))
-    return rouge1(pairs, "pair_id", "a", "b")
+    pairs = consecutive_turns(c)
+    r = rouge1(pairs, ["conv_id", "turn"], "a", "b", partition=False)
+    return r.select(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("pair_id"),
+                    "len_a", "len_b", "overlap", "rouge1")
 
 
 def _translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each human (non-English) row with its English original and its machine translation,
-    found by rewriting the id (``-{lang}-`` → ``-en-`` / ``-gt-{lang}-``, every occurrence, S27)."""
+    """Each human (non-English) row with its English original and its machine translation —
+    the source's id rewrite (``-{lang}-`` → ``-en-`` / ``-gt-{lang}-``) as one grouping pass."""
     t = v_translations(spark, sf_dir)
-    human = t.filter(F.col("approach").contains("Human") & (F.col("target_lang") != "en"))
-    en = t.filter(F.col("approach").contains("Human") & (F.col("target_lang") == "en")).select(
-        F.col("question_id").alias("en_id"), F.col("question").alias("en_text"))
-    mt = t.filter(F.col("question_id").contains("-gt-") & (F.col("target_lang") != "en")).select(
-        F.col("question_id").alias("mt_id"), F.col("question").alias("mt_text"))
-    tag = F.concat(F.lit("-"), F.col("target_lang"), F.lit("-"))
-    h = human.select("question_id", "target_lang", "translator", "question",
-                     F.replace("question_id", tag, F.lit("-en-")).alias("en_key"),
-                     F.replace("question_id", tag, F.concat(F.lit("-gt-"), F.col("target_lang"), F.lit("-"))).alias("mt_key"))
-    return h.join(en, h["en_key"] == en["en_id"], "left").join(mt, h["mt_key"] == mt["mt_id"], "left")
+    langs = [x for x in dims.LANGUAGES if x != "en"]
+    return translation_triples(t, langs)
 
 
 TRANSLATION_PAIRS_SQL = """h AS (
@@ -85,9 +80,12 @@ WITH {TRANSLATION_PAIRS_SQL}
 SELECT question_id, en_key, mt_key, COUNT(en_id) AS n_en, COUNT(mt_id) AS n_mt FROM tp GROUP BY ALL
 """)
 def join_key_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rewritten-key equi join with its exactly-one check (n_en, n_mt must be 1)."""
+    """The rewritten keys of every human row and the exactly-one check (n_en, n_mt must be 1)."""
     p = _translation_pairs(spark, sf_dir)
-    return p.groupBy("question_id", "en_key", "mt_key").agg(F.count("en_id").alias("n_en"), F.count("mt_id").alias("n_mt"))
+    tag = F.concat(F.lit("-"), F.col("target_lang"), F.lit("-"))
+    return p.select("question_id", F.replace("question_id", tag, F.lit("-en-")).alias("en_key"),
+                    F.replace("question_id", tag, F.concat(F.lit("-gt-"), F.col("target_lang"), F.lit("-"))).alias("mt_key"),
+                    "n_en", "n_mt")
 
 
 def _box(scores: DataFrame, group_cols: list[str], value: str, tie: str) -> DataFrame:
@@ -106,13 +104,12 @@ FROM {src} GROUP BY {group_cols}"""
 def _translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human text scored against its MT and its English original in one tokenisation pass."""
     p = _translation_pairs(spark, sf_dir).filter(F.col("en_id").isNotNull() & F.col("mt_id").isNotNull())
-    r = rouge1_many(p.select("question_id", "question", "mt_text", "en_text"), "question_id", "question",
-                    ["mt_text", "en_text"])
-    meta = p.select("question_id", "target_lang", "translator")
-    long = r.select("question_id", F.explode(F.array(
+    ids = ["canon", "target_lang", "question_id", "translator"]  # clustered by canon since the pairing aggregate
+    r = rouge1_many(p, ids, "question", ["mt_text", "en_text"], partition=False)
+    long = r.select(*ids, F.explode(F.array(
         F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
         F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
-    return long.select("question_id", "m.measure", "m.rouge1").join(meta, "question_id")
+    return long.select("question_id", "target_lang", "translator", "m.measure", "m.rouge1")
 
 
 TRANSLATION_SCORES_SQL = f"""{TRANSLATION_PAIRS_SQL},
