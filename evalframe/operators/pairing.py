@@ -3,7 +3,8 @@
 A self-join reads the table once per role and shuffles the texts of every
 side. Here every row computes the key of the pair (or group) it belongs to,
 and ONE aggregate gathers the roles: one scan, one shuffle, and groups are
-bounded by construction (two turns; one text per language and role). The
+bounded by construction (two turns; one row per language and role of an
+item). The
 result stays clustered by the group key, so a following per-pair job (ROUGE)
 needs no further exchange.
 """
@@ -36,38 +37,43 @@ def consecutive_turns(conv: DataFrame) -> DataFrame:
         "conv_id", F.col("turn_key").alias("turn"), "a", "b")
 
 
-def translation_triples(t: DataFrame, langs: Sequence[str]) -> DataFrame:
+def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> DataFrame:
     """Each human translation with its English original and its machine translation.
 
     The source finds partners by rewriting the human id (``-{lang}-`` →
     ``-en-`` and → ``-gt-{lang}-``). Equivalently every row maps to a
     canonical key with its language / MT marker replaced by ``-~-``; rows of
-    one item share it. One aggregate per canonical key collects the English
-    row and, per language of the fixed list, the human and MT rows with their
-    counts (the exactly-one check). Groups hold at most 1 + 2·|langs| rows.
+    one item share it. One aggregate per canonical key gathers the item's
+    rows (at most 1 + 2·|languages|: bounded by the language list, not by
+    data); higher-order functions then pick, for every human row, the English
+    row and the MT row of its language, with their counts (the exactly-one
+    check). ``langs`` optionally restricts the human languages.
     """
     human = F.col("approach").contains("Human")
     is_en = human & (F.col("target_lang") == "en")
     is_h = human & (F.col("target_lang") != "en")
     is_mt = F.col("question_id").contains("-gt-") & (F.col("target_lang") != "en")
+    if langs is not None:
+        is_h = is_h & F.col("target_lang").isin(list(langs))
     tag = F.concat(F.lit("-"), F.col("target_lang"), F.lit("-"))
     gt_tag = F.concat(F.lit("-gt-"), F.col("target_lang"), F.lit("-"))
+    role = F.when(is_mt, "mt").when(is_en, "en").when(is_h, "h")
     canon = F.when(is_mt, F.replace("question_id", gt_tag, F.lit("-~-"))) \
         .otherwise(F.replace("question_id", tag, F.lit("-~-")))
-    keyed = t.filter(is_en | is_h | is_mt).withColumn("canon", canon)
-    aggs = [_first(is_en, F.col("question_id")).alias("en_id"), _first(is_en, F.col("question")).alias("en_text"),
-            F.count(F.when(is_en, 1)).alias("n_en")]
-    for i, lang in enumerate(langs):
-        h, m = is_h & (F.col("target_lang") == lang), is_mt & (F.col("target_lang") == lang)
-        aggs.append(F.struct(
-            F.lit(lang).alias("target_lang"),
-            _first(h, F.col("question_id")).alias("question_id"), _first(h, F.col("translator")).alias("translator"),
-            _first(h, F.col("question")).alias("question"), F.count(F.when(h, 1)).alias("n_human"),
-            _first(m, F.col("question_id")).alias("mt_id"), _first(m, F.col("question")).alias("mt_text"),
-            F.count(F.when(m, 1)).alias("n_mt")).alias(f"l{i}"))
-    g = keyed.groupBy("canon").agg(*aggs)
-    per_lang = g.select("canon", "en_id", "en_text", "n_en",
-                        F.explode(F.array(*[f"l{i}" for i in range(len(langs))])).alias("x"))
-    return per_lang.filter(F.col("x.n_human") > 0).select(
-        "canon", "x.target_lang", "x.question_id", "x.translator", "x.question", "en_id", "en_text", "n_en",
-        "x.mt_id", "x.mt_text", "x.n_mt")
+    keyed = t.select(canon.alias("canon"), F.struct(
+        role.alias("role"), "target_lang", "question_id", "translator", F.col("question").alias("text")).alias("r"))
+    keyed = keyed.filter(F.col("r.role").isNotNull())
+    g = keyed.groupBy("canon").agg(F.collect_list("r").alias("rows"))
+
+    def pick(h):
+        ens = F.filter("rows", lambda r: r["role"] == "en")
+        mts = F.filter("rows", lambda r: (r["role"] == "mt") & (r["target_lang"] == h["target_lang"]))
+        return F.struct(h.alias("h"), ens.alias("ens"), mts.alias("mts"))
+
+    triples = g.select("canon", F.explode(F.transform(F.filter("rows", lambda r: r["role"] == "h"), pick)).alias("x"))
+    en, mt = F.element_at("x.ens", 1), F.element_at("x.mts", 1)
+    return triples.select(
+        "canon", F.col("x.h.target_lang").alias("target_lang"), F.col("x.h.question_id").alias("question_id"),
+        F.col("x.h.translator").alias("translator"), F.col("x.h.text").alias("question"),
+        en["question_id"].alias("en_id"), en["text"].alias("en_text"), F.size("x.ens").cast("bigint").alias("n_en"),
+        mt["question_id"].alias("mt_id"), mt["text"].alias("mt_text"), F.size("x.mts").cast("bigint").alias("n_mt"))

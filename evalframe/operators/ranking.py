@@ -97,12 +97,14 @@ def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value: str, probs:
     statistics around ``p * (n - 1)``."""
     order = [F.col(value)] + ([F.col(tie)] if tie else [])
     ranked = positions(df.filter(F.col(value).isNotNull()), group_cols, order)
-    rows = []
+    rows, needed = [], F.lit(False)
     for i, p in enumerate(probs):
         h = (F.col("group_n") - 1) * F.lit(float(p))
         lo = F.floor(h)
         rows.append(F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), h.alias("h"), lo.alias("lo")))
-    exploded = ranked.withColumn("_q", F.explode(F.array(*rows)))
+        needed = needed | (F.col("pos") == lo) | (F.col("pos") == lo + 1)
+    # keep only the (at most 2 per probability) order statistics, then fan out per probability
+    exploded = ranked.filter(needed).withColumn("_q", F.explode(F.array(*rows)))
     picked = exploded.filter((F.col("pos") == F.col("_q.lo")) | (F.col("pos") == F.col("_q.lo") + 1))
     agg = picked.groupBy(*group_cols, F.col("_q.i").alias("qi"), F.col("_q.p").alias("p")).agg(
         F.max(F.when(F.col("pos") == F.col("_q.lo"), F.col(value))).alias("v_lo"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.text import initials as initials_fn
 from evalframe.functions.text import word_count
-from evalframe import dims
 from evalframe.operators import ranking
 from evalframe.operators.pairing import consecutive_turns, translation_triples
 from evalframe.operators.rouge import rouge1, rouge1_many
@@ -60,9 +59,7 @@ def rouge1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each human (non-English) row with its English original and its machine translation —
     the source's id rewrite (``-{lang}-`` → ``-en-`` / ``-gt-{lang}-``) as one grouping pass."""
-    t = v_translations(spark, sf_dir)
-    langs = [x for x in dims.LANGUAGES if x != "en"]
-    return translation_triples(t, langs)
+    return translation_triples(v_translations(spark, sf_dir))
 
 
 TRANSLATION_PAIRS_SQL = """h AS (
@@ -104,9 +101,11 @@ FROM {src} GROUP BY {group_cols}"""
 def _translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human text scored against its MT and its English original in one tokenisation pass."""
     p = _translation_pairs(spark, sf_dir).filter(F.col("en_id").isNotNull() & F.col("mt_id").isNotNull())
-    ids = ["canon", "target_lang", "question_id", "translator"]  # clustered by canon since the pairing aggregate
+    ids = ["canon", "target_lang"]  # clustered by canon since the pairing aggregate: no new exchange for texts
     r = rouge1_many(p, ids, "question", ["mt_text", "en_text"], partition=False)
-    long = r.select(*ids, F.explode(F.array(
+    meta = p.select(*ids, "question_id", "translator")  # id columns only, joined after the word counts
+    r = r.join(meta, ids)
+    long = r.select("question_id", "target_lang", "translator", F.explode(F.array(
         F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
         F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
     return long.select("question_id", "target_lang", "translator", "m.measure", "m.rouge1")
