@@ -360,3 +360,64 @@ def stratum_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG17: group counts of the boolean stratum (good translations only)."""
     s = v_surveys(spark, sf_dir).filter(P.neither_wrong())
     return s.groupBy("lang", P.both_typical().alias("appropriate")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- A-AGR: contingency tables with policy rows, languages as columns ------------------
+APP_REPORT_ORDER = ["Typical", "Not sure", "Strange", "D.U."]
+Q_REPORT_ORDER = ["Good", "Understandable", "Wrong"]
+
+
+def _report_rows_sql(question: str, r1: str, r2: str, cats, order, extra_sql: str) -> str:
+    pos = "CASE lab " + " ".join(f"WHEN '{lab}' THEN {i}" for i, lab in enumerate(order)) + " END"
+    k = len(order)
+    return f"""SELECT '{question}' AS question, a.lab || ' / ' || b.lab AS row_label,
+    ({pos.replace('lab', 'a.lab')}) * {k} + ({pos.replace('lab', 'b.lab')}) AS row_order, l.lang,
+    (SELECT COUNT(*) FROM v_surveys s WHERE s.lang = l.lang AND s.{r1} = a.v AND s.{r2} = b.v) AS n
+  FROM (SELECT DISTINCT lang FROM v_surveys) l, {_values_sql(cats, 'a')}, {_values_sql(cats, 'b')}
+  UNION ALL {extra_sql}"""
+
+
+RATER_REPORT_SQL = f"""
+WITH rows_ AS (
+  {_report_rows_sql('appropriateness', 'approp_1', 'approp_2', APP_CATS, APP_REPORT_ORDER, f"""
+  SELECT 'appropriateness', 'Appropriate + Good', 16, lang, appropriate_good FROM ({POLICY_SQL})
+  UNION ALL SELECT 'appropriateness', 'Inappropriate + Good', 17, lang, inappropriate_good FROM ({POLICY_SQL})""")}
+  UNION ALL
+  {_report_rows_sql('quality', 'quality_1', 'quality_2', Q_CATS, Q_REPORT_ORDER, f"""
+  SELECT 'quality', 'Considered Good', 9, lang, considered_good FROM ({POLICY_SQL})
+  UNION ALL SELECT 'quality', 'Considered Wrong', 10, lang, considered_wrong FROM ({POLICY_SQL})""")}),
+tot AS (SELECT COUNT(*) AS total FROM v_surveys)
+SELECT question, row_label, CAST(row_order AS BIGINT) AS row_order,
+  {", ".join(f"CAST(SUM(CASE WHEN lang = '{x}' THEN n ELSE 0 END) AS BIGINT) AS {x}" for x in LANGS)},
+  round(100.0 * SUM(n) / max(tot.total), 6) AS avg_pct
+FROM rows_, tot GROUP BY question, row_label, row_order
+"""
+
+
+@register("rater_report", RATER_REPORT_SQL)
+def rater_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-AGR: flattened rater-1 × rater-2 tables for both questions plus the policy rows
+    (appropriate/inappropriate among good translations; considered good/wrong), one column per
+    language and "Avg. (%)" = row total over all survey rows × 100 (S15). One pass over the surveys."""
+    s = v_surveys(spark, sf_dir)
+    good, wrong = P.neither_wrong(), \
+        P.eq_pandas("quality_1", dims.COMPLETELY_WRONG) | P.eq_pandas("quality_2", dims.COMPLETELY_WRONG)
+    rows = []  # (question, label, order, predicate)
+    for question, r1, r2, cats, order in (("appropriateness", "approp_1", "approp_2", APP_CATS, APP_REPORT_ORDER),
+                                           ("quality", "quality_1", "quality_2", Q_CATS, Q_REPORT_ORDER)):
+        for v1, l1 in cats:
+            for v2, l2 in cats:
+                rows.append((question, f"{l1} / {l2}", order.index(l1) * len(order) + order.index(l2),
+                             (F.col(r1) == v1) & (F.col(r2) == v2)))
+    rows += [("appropriateness", "Appropriate + Good", 16, P.both_typical() & good),
+             ("appropriateness", "Inappropriate + Good", 17, P.any_atypical() & good),
+             ("quality", "Considered Good", 9, good), ("quality", "Considered Wrong", 10, wrong)]
+    per_lang = s.groupBy("lang").agg(*[F.count(F.when(pred, 1)).alias(f"c{i}") for i, (_, _, _, pred) in enumerate(rows)])
+    long = per_lang.select("lang", F.explode(F.array(*[
+        F.struct(F.lit(q).alias("question"), F.lit(lab).alias("row_label"), F.lit(o).alias("row_order"),
+                 F.col(f"c{i}").alias("n")) for i, (q, lab, o, _) in enumerate(rows)])).alias("x"))
+    total = s.agg(F.count(F.lit(1))).scalar()
+    wide = long.groupBy("x.question", "x.row_label", "x.row_order").agg(
+        *[F.sum(F.when(F.col("lang") == x, F.col("x.n")).otherwise(0)).alias(x) for x in LANGS],
+        (F.sum("x.n") * 100.0 / total).alias("avg_pct"))
+    return wide
