@@ -54,3 +54,16 @@ def test_top_k_plans_a_window_group_limit(spark):
     df = _skewed(spark, 200)
     plan = ranking.top_k(df, ["g"], ["v", "id"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_hot_group_is_split_across_partitions(spark):
+    """The group holding most rows must not land in one task: count partitions that carry it."""
+    from pyspark.sql import DataFrame
+    df = _skewed(spark, 4000)
+    n = 8
+    ranged = df.repartitionByRange(n, "g", "v", "id")  # the exchange positions() plans first
+    per_part = ranged.withColumn("p", F.spark_partition_id()).filter(F.col("g") == "hot") \
+        .groupBy("p").count().collect()
+    assert len(per_part) >= n // 2
+    assert max(r["count"] for r in per_part) < 0.5 * sum(r["count"] for r in per_part)
+    assert isinstance(ranged, DataFrame)
