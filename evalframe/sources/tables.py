@@ -26,8 +26,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Decided at planning time from the partition count, no job is run. Hash
     (not round-robin) partitioning needs no pre-sort for retry determinism.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect has no RDD API: leave partitioning to the scan
+        return df
+    if current < target:
         return df.repartition(target, key)
     return df
 
