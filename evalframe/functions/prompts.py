@@ -43,24 +43,37 @@ FT_CLOZE_PROMPT = ("Given the following sentence that is missing a word or a few
                    "correct option. Do not add any explanation.\n\nSentence: %s\nOption1: %s\nOption2: %s\n"
                    "Correct Option:\n")
 
-RATING_PROMPT = ("I am trying to curate a supervised fine-tuning dataset that will be used to improve the performance "
-                 "of my LLM on %s in %s%s. Please rate the following fine-tuning dataset sample on a scale of 1-10. "
-                 "Your rating should reflect the anticipated usefulness of the sample if included in the fine-tuning "
-                 "dataset for improving my LLM's performance on %s (with 1 implying least useful and 10 implying most "
-                 "useful). Do not include any additional explanation; just provide the number rating:\n\n%s")
-# eval benchmark -> (target phrase, text after the language, short name)
-RATING_TARGETS = {
-    "mmlu-clinical_knowledge": ("the clinical knowledge section of MMLU",
-                                " (I have translated MMLU from English into many other languages)",
-                                "the clinical knowledge section of MMLU"),
-    "mmlu-virology": ("the virology section of MMLU",
-                      " (I have translated MMLU from English into many other languages)",
-                      "the virology section of MMLU"),
-    "winogrande": ("Winogrande",
-                   " (I have translated Winogrande from English into many other languages)",
-                   "Winogrande"),
-    "belebele": ("Belebele, a diversity-focused evaluation benchmark designed to assess the performance of large "
-                 "language models (LLMs) across various African languages,", "", "Belebele"),
+# Rating request per evaluation benchmark; slots: full language name, chat sample (Python repr).
+RATING_PROMPTS = {
+    "mmlu-clinical_knowledge": (
+        "I am trying to curate a supervised fine-tuning dataset that will be used to improve the performance of my "
+        "LLM on the clinical knowledge section of MMLU in %s (I have translated MMLU from English into many other "
+        "languages). Please rate the following fine-tuning dataset sample on a scale of 1-10. Your rating should "
+        "reflect the anticipated usefulness of the sample if included in the fine-tuning dataset for improving my "
+        "LLM's performance on the clinical knowledge section of MMLU (with 1 implying least useful and 10 implying "
+        "most useful). Do not include any additional explanation; just provide the number rating:\n\n%s"),
+    "mmlu-virology": (
+        "I am trying to curate a supervised fine-tuning dataset that will be used to improve the performance of my "
+        "LLM on the virology section of MMLU in %s (I have translated MMLU from English into many other languages). "
+        "Please rate the following fine-tuning dataset sample on a scale of 1-10. Your rating should reflect the "
+        "anticipated usefulness of the sample if included in the fine-tuning dataset for improving my LLM's "
+        "performance on the virology section of MMLU (with 1 implying least useful and 10 implying most useful). "
+        "Do not include any additional explanation; just provide the number rating:\n\n%s"),
+    "winogrande": (
+        "I am trying to curate a supervised fine-tuning dataset that will be used to improve the performance of my "
+        "LLM on Winogrande in %s (I have translated Winogrande from English into many other languages). Please rate "
+        "the following fine-tuning dataset sample on a scale of 1-10. Your rating should reflect the anticipated "
+        "usefulness of the sample if included in the fine-tuning dataset for improving my LLM's performance on "
+        "Winogrande (with 1 implying least useful and 10 implying most useful). Do not include any additional "
+        "explanation; just provide the number rating:\n\n%s"),
+    "belebele": (
+        "I am trying to curate a supervised fine-tuning dataset that will be used to improve the performance of my "
+        "LLM on Belebele, a diversity-focused evaluation benchmark designed to assess the performance of large "
+        "language models (LLMs) across various African languages, in %s. Please rate the following fine-tuning "
+        "dataset sample on a scale of 1-10. Your rating should reflect the anticipated usefulness of the sample if "
+        "included in the fine-tuning dataset for improving my LLM's performance on Belebele (with 1 implying least "
+        "useful and 10 implying most useful). Do not include any additional explanation; just provide the number "
+        "rating:\n\n%s"),
 }
 # ---------------------------------------------------------------------------
 

@@ -401,27 +401,22 @@ def _rating_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-RAT: training rows × eligible eval benchmarks (lift ≥ 5 in that language) × 3 trials."""
     elig = g.eligible_combos(acc_cells(spark, sf_dir), BASE).select("train_data", F.col("benchmark").alias("eval"), "lang")
     t = _training_rows(spark, sf_dir).join(elig, ["train_data", "lang"])
-    target = F.col("eval")
-    tgt = F.lit(None).cast("string")
-    paren = F.lit(None).cast("string")
-    short = F.lit(None).cast("string")
-    for b, (a, p, s) in pr.RATING_TARGETS.items():
-        tgt = F.when(target == b, F.lit(a)).otherwise(tgt)
-        paren = F.when(target == b, F.lit(p)).otherwise(paren)
-        short = F.when(target == b, F.lit(s)).otherwise(short)
     lang_name = F.lit(None).cast("string")
     for code, name in dims.LANGUAGES.items():
         lang_name = F.when(F.col("lang") == code, F.lit(name)).otherwise(lang_name)
     msgs = pr.messages_repr(F.lit(pr.SYSTEM_MESSAGE), F.col("user"), F.col("assistant"))
-    content = pr.fmt(pr.RATING_PROMPT, tgt, lang_name, paren, short, msgs)
+    content = F.lit(None).cast("string")
+    for b, template in pr.RATING_PROMPTS.items():
+        content = F.when(F.col("eval") == b, pr.fmt(template, lang_name, msgs)).otherwise(content)
     trials = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("trial"))
     cid = F.concat(F.lit(pr.RATER_MODEL + "-on-"), "lang", F.lit("-"), "train", F.lit("-"), "row_id", F.lit("_vs_"),
                    "eval", F.lit("_"), F.col("trial").cast("string"))
     return trials.select(cid.alias("custom_id"), "lang", "train", "row_id", "eval", "trial", content.alias("content"))
 
 
-def _rating_targets_sql(col: str, idx: int) -> str:
-    return "CASE " + " ".join(f"WHEN {col} = '{b}' THEN {q(v[idx])}" for b, v in pr.RATING_TARGETS.items()) + " END"
+def _rating_prompt_sql(col: str, lang_sql: str, msgs_sql: str) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{b}' THEN printf({q(t)}, {lang_sql}, {msgs_sql})"
+                              for b, t in pr.RATING_PROMPTS.items()) + " END"
 
 
 LANG_NAME_SQL = "CASE " + " ".join(f"WHEN t.lang = '{c}' THEN '{n}'" for c, n in dims.LANGUAGES.items()) + " END"
@@ -437,8 +432,7 @@ RATING_REQ_SQL = f"""{_eligible_sql()},
 rr AS (
   SELECT '{pr.RATER_MODEL}-on-' || t.lang || '-' || t.train || '-' || t.row_id || '_vs_' || e.benchmark || '_' || CAST(x.trial AS VARCHAR) AS custom_id,
     t.lang, t.train, t.row_id, e.benchmark AS eval, CAST(x.trial AS BIGINT) AS trial,
-    printf({q(pr.RATING_PROMPT)}, {_rating_targets_sql('e.benchmark', 0)}, {LANG_NAME_SQL}, {_rating_targets_sql('e.benchmark', 1)},
-      {_rating_targets_sql('e.benchmark', 2)}, {_messages_repr_sql()}) AS content
+    {_rating_prompt_sql('e.benchmark', LANG_NAME_SQL, _messages_repr_sql())} AS content
   FROM tr t JOIN elig e ON t.train_data = e.train_data AND t.lang = e.lang
   CROSS JOIN (VALUES (0), (1), (2)) AS x(trial))"""
 
