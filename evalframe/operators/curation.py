@@ -65,6 +65,13 @@ def rating_scores(ratings: DataFrame) -> DataFrame:
     return g.withColumn("spread", F.col("n_runs") * F.col("score_sumsq") - F.col("score_sum") * F.col("score_sum"))
 
 
+def histogram_bin(score_sum: Column, n_bins: int = 27) -> Column:
+    """ST6 / S21: bin of a three-run mean on 27 bins of width 1/3 over [1, 10], last bin closed.
+
+    (mean − 1)·3 = score_sum − 3 exactly, so no floating-point edge tests."""
+    return F.least(score_sum - 3, F.lit(n_bins - 1))
+
+
 def tertiles(scores: DataFrame) -> DataFrame:
     """ntile(3) over (mean, std, id) within (lang, train, eval) — first n % 3 buckets one larger."""
     ranked = ranking.positions(scores, ["lang", "train", "eval"], ["score_sum", "spread", "row_id"])

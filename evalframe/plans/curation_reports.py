@@ -349,7 +349,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     index needs no floating-point edge comparisons.
     """
     s = cu.rating_scores(v_ratings(spark, sf_dir)).filter(F.col("n_runs") == 3)
-    counts = s.groupBy("lang", "train", "eval", F.least(F.col("score_sum") - 3, F.lit(26)).alias("bin")).agg(
+    counts = s.groupBy("lang", "train", "eval", cu.histogram_bin(F.col("score_sum")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     th = _thresholds(spark, sf_dir)
     grid = th.select("lang", "train", "eval", "lower_t", "upper_t",

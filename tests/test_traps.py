@@ -103,3 +103,34 @@ def test_parse_custom_id_with_hyphenated_benchmark(spark):
     row = df.select(*[v.alias(k) for k, v in p.items()]).collect()[0]
     assert (row["model"], row["lang"], row["benchmark"], row["n"], row["gold"]) == (
         "gpt-4o-2024-05-13", "nso", "mmlu-college_medicine", 17, "C")  # S23: 3-letter code kept
+
+
+def test_g6_inserted_model_sits_directly_above_flagship(spark):
+    from evalframe import dims
+    from evalframe.plans import catalog
+    rows = catalog.queries()["insert_ranked_rows"](spark, "/root/testdata/sf0.001").orderBy("position").collect()
+    labels = [r["row_label"] for r in rows]
+    ins, flag = dims.FIXTURE_MODEL_LABELS[dims.FIXTURE_INSERTED_MODEL], dims.FIXTURE_MODEL_LABELS[dims.FIXTURE_FLAGSHIP_MODEL]
+    for i, lab in enumerate(labels):
+        if lab.startswith(ins + " ("):
+            bench = lab[len(ins):]
+            assert labels[i + 1] == flag + bench
+    assert [r["position"] for r in rows] == list(range(1, len(rows) + 1))
+
+
+def test_s12_missing_run_gives_null_mean_but_keeps_denominator(spark):
+    from evalframe.operators import lift
+    rows = [(i, "winogrande", "m", "en", t, 1, False, "Human") for i, t in [(0, 1), (500, 2), (1000, 3), (1, 1), (501, 2)]]
+    df = spark.createDataFrame(rows, "response_id long, benchmark string, model string, eval_lang string, trial int, "
+                                     "correct int, was_ft boolean, approach string")
+    out = {r["item_id"]: r for r in lift.aligned_runs(lift.item_runs(df)).collect()}
+    assert out[0]["n_runs"] == 3 and out[0]["mean_correct"] == 1.0
+    assert out[1]["n_runs"] == 2 and out[1]["mean_correct"] is None
+
+
+def test_s21_histogram_top_edge_in_last_bin(spark):
+    from evalframe.operators import curation as cu
+    rows = [(f"gpt-4o-on-af-winogrande-train_s-{i}_vs_belebele_{t}", str(v)) for i, v in [(1, 10), (2, 1)] for t in range(3)]
+    s = cu.rating_scores(spark.createDataFrame(rows, "custom_id string, content string"))
+    bins = {r["row_id"]: r["bin"] for r in s.select("row_id", cu.histogram_bin(F.col("score_sum")).alias("bin")).collect()}
+    assert bins == {"1": 26, "2": 0}   # a mean of exactly 10 lands in the last (closed) bin
