@@ -15,7 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalframe.functions import prompts as pr
 from evalframe.functions import scoring as sc
 from evalframe.operators import ranking
 

@@ -14,7 +14,7 @@ from evalframe.operators import ranking
 from evalframe.operators.pairing import consecutive_turns
 from evalframe.plans.accuracy_reports import cells as acc_cells
 from evalframe.plans.catalog import register
-from evalframe.sources.tables import read_table, v_items, v_ratings, v_responses
+from evalframe.sources.tables import read_table, v_items, v_ratings
 
 SEED = 42
 BASE = dims.FIXTURE_BASELINE_MODEL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalframe import dims
 from evalframe.functions import predicates as P
 from evalframe.operators import accuracy as acc
-from evalframe.plans.accuracy_reports import LABELS_SQL, LANGS, OOB_SQL
+from evalframe.plans.accuracy_reports import LABELS_SQL, OOB_SQL
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import v_items, v_responses, v_surveys, v_workflow
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalframe import dims
-from evalframe.functions.numeric import mean_tenths
 from evalframe.operators import accuracy as acc
 from evalframe.operators import gains as g
 from evalframe.plans.accuracy_reports import (LABELS_SQL, LANGS, MEAN_TENTHS_SQL, OOB_SQL, TENTHS_SQL,
