@@ -8,7 +8,8 @@ from conftest import SF_SMALL
 
 PYTHON_NODES = ["BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
                 "FlatMapCoGroupsInPandas", "MapInArrow"]
-SKIP = {"rf_fit_predict", "predictor_report", "permutation_importance"}  # fit a forest while planning
+SKIP = {"rf_fit_predict", "predictor_report", "permutation_importance", "predictor_report_quality",
+        "predictor_report_with_quality"}  # fit a forest while planning
 
 
 def _plan(df) -> str:
