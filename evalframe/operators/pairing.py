@@ -71,7 +71,7 @@ def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> Dat
         return F.struct(h.alias("h"), ens.alias("ens"), mts.alias("mts"))
 
     triples = g.select("canon", F.explode(F.transform(F.filter("rows", lambda r: r["role"] == "h"), pick)).alias("x"))
-    en, mt = F.element_at("x.ens", 1), F.element_at("x.mts", 1)
+    en, mt = F.try_element_at("x.ens", F.lit(1)), F.try_element_at("x.mts", F.lit(1))  # a missing partner is null
     return triples.select(
         "canon", F.col("x.h.target_lang").alias("target_lang"), F.col("x.h.question_id").alias("question_id"),
         F.col("x.h.translator").alias("translator"), F.col("x.h.text").alias("question"),

@@ -172,7 +172,7 @@ def src_generations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = generation_json(v_generations(spark, sf_dir))
     parsed = lines.select("event_id", F.from_json("line", GEN_SCHEMA).alias("j"))
     return parsed.select("event_id", F.col("j.custom_id").alias("custom_id"),
-                         F.col("j.response.body.choices").getItem(0)["message"]["content"].alias("content"))
+                         F.try_element_at(F.col("j.response.body.choices"), F.lit(1))["message"]["content"].alias("content"))
 
 
 @register("src_json_map", """
