@@ -51,12 +51,12 @@ def rating_scores(ratings: DataFrame) -> DataFrame:
     p = sc.parse_rating_id("custom_id")
     r = ratings.select(p["lang"].alias("lang"), p["train"].alias("train"), p["eval"].alias("eval"),
                        p["row_id"].alias("row_id"), p["trial"].alias("trial"),
-                       F.col("content").cast("int").alias("score"))
+                       F.col("content").try_cast("int").alias("score"))  # a non-numeric answer is a missing run
     g = r.groupBy("lang", "train", "eval", "row_id").agg(
         F.max(F.when(F.col("trial") == 0, F.col("score"))).alias("run_1"),
         F.max(F.when(F.col("trial") == 1, F.col("score"))).alias("run_2"),
         F.max(F.when(F.col("trial") == 2, F.col("score"))).alias("run_3"),
-        F.count(F.lit(1)).alias("n_runs"),
+        F.count("score").alias("n_runs"),  # valid (numeric) answers only
         F.sum("score").alias("score_sum"),
         F.sum(F.col("score") * F.col("score")).alias("score_sumsq"),
         F.avg("score").alias("mean"),

@@ -252,13 +252,13 @@ def _rx(i: int) -> str:
 
 PARSED_RATINGS_SQL = f"""pr AS (
   SELECT {_rx(2)} AS lang, {_rx(3)} AS train, {_rx(4)} AS row_id, {_rx(5)} AS eval,
-    CAST({_rx(6)} AS BIGINT) AS trial, CAST(content AS INTEGER) AS score FROM v_ratings)"""
+    CAST({_rx(6)} AS BIGINT) AS trial, TRY_CAST(content AS INTEGER) AS score FROM v_ratings)"""
 
 SCORES_SQL = f"""{PARSED_RATINGS_SQL},
 sc AS (
   SELECT lang, train, eval, row_id,
     max(CASE WHEN trial = 0 THEN score END) AS run_1, max(CASE WHEN trial = 1 THEN score END) AS run_2,
-    max(CASE WHEN trial = 2 THEN score END) AS run_3, COUNT(*) AS n_runs, SUM(score) AS score_sum,
+    max(CASE WHEN trial = 2 THEN score END) AS run_3, COUNT(score) AS n_runs, SUM(score) AS score_sum,
     SUM(score * score) AS score_sumsq, AVG(score) AS mean, stddev_samp(score) AS std
   FROM pr GROUP BY lang, train, eval, row_id),
 tert AS (
@@ -273,7 +273,7 @@ def parse_rating_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = sc.parse_rating_id("custom_id")
     r = v_ratings(spark, sf_dir)
     return r.select(p["lang"].alias("lang"), p["train"].alias("train"), p["row_id"].alias("row_id"),
-                    p["eval"].alias("eval"), p["trial"].alias("trial"), F.col("content").cast("int").alias("score"))
+                    p["eval"].alias("eval"), p["trial"].alias("trial"), F.col("content").try_cast("int").alias("score"))
 
 
 @register("rating_mean_std", f"""
@@ -365,7 +365,7 @@ def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture training rows: items split into the two training sets by size parity (matches v_ratings ids)."""
     it = v_items(spark, sf_dir)
-    train = F.when(F.col("opt_c").cast("int") % 2 == 0, "mmlu-college_medicine-dev").otherwise("winogrande-train_s")
+    train = F.when(F.col("opt_c").try_cast("int") % 2 == 0, "mmlu-college_medicine-dev").otherwise("winogrande-train_s")
     user = F.when(train.startswith("mmlu"), pr.fmt(pr.FT_MC_PROMPT, "question", "opt_a", "opt_b", "opt_c", "opt_d")) \
         .otherwise(pr.fmt(pr.FT_CLOZE_PROMPT, "question", "opt_a", "opt_b"))
     assistant = F.when(train.startswith("mmlu"), F.col("answer")).otherwise(_cloze_answer())
