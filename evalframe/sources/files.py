@@ -67,3 +67,8 @@ def with_file_name(df: DataFrame, pattern: str, group: int = 1, name: str = "fil
 def write_report_csv(df: DataFrame, path: str, order_by: list[str]) -> None:
     """SNK1: ordered report CSV. Only for report-sized frames (bounded by dimensions): one file."""
     df.orderBy(*order_by).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_sharded_jsonl(df: DataFrame, path: str, shard_col: str = "shard") -> None:
+    """SNK4: one folder per request shard (size-limited batch files), written in parallel."""
+    df.write.mode("overwrite").partitionBy(shard_col).json(path)
