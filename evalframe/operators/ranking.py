@@ -48,11 +48,26 @@ def _as_cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _range_partitions(df: DataFrame) -> int:
+    """Range-exchange width: at least the shuffle setting, and at least the input's split count.
+
+    An explicit-count exchange is neither coalesced nor split by AQE, so its
+    width must follow the data: a 100 TB input read in ~128 MB splits gets
+    as many range partitions as it has splits (planning-time count, no job).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        n = max(n, df.rdd.getNumPartitions())
+    except Exception:  # Spark Connect: no RDD API
+        pass
+    return n
+
+
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, pos_col: str = "pos",
               size_col: str = "group_n", num_partitions: int | None = None) -> DataFrame:
     """Append 0-based position within group (by ``order_cols``) and the group size."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     keys = [*_as_cols(group_cols), *_as_cols(order_cols)]
     checkpoint_dir(spark)

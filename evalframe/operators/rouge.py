@@ -42,9 +42,8 @@ def rouge1_many(rows: DataFrame, id_col, ref: str, candidates: list[str],
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
     texts = [ref, *candidates]
     p = rows.select(*ids, *[F.col(t).alias(f"_t{i}") for i, t in enumerate(texts)])
-    if partition:
-        n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        p = p.repartition(n, *ids)
+    if partition:  # by column only, so AQE sizes (coalesces / splits) the exchange from the data
+        p = p.repartition(num_partitions, *ids) if num_partitions else p.repartition(*ids)
 
     def tag(side: int):  # one-argument lambda (a second argument would be bound to the element index)
         return lambda w: F.struct(w.alias("w"), F.lit(side).alias("s"))
