@@ -48,17 +48,30 @@ def _as_cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _bytes(text: str) -> int:
+    """Parse a Spark byte-size setting ("64MB", "134217728b", "1g")."""
+    t = text.strip().lower().rstrip("b")
+    for unit, mult in (("k", 1 << 10), ("m", 1 << 20), ("g", 1 << 30), ("t", 1 << 40)):
+        if t.endswith(unit):
+            return int(float(t[:-1]) * mult)
+    return int(t)
+
+
 def _range_partitions(df: DataFrame) -> int:
-    """Range-exchange width: at least the shuffle setting, and at least the input's split count.
+    """Range-exchange width: at least the shuffle setting, and enough for the estimated input size.
 
     An explicit-count exchange is neither coalesced nor split by AQE, so its
-    width must follow the data: a 100 TB input read in ~128 MB splits gets
-    as many range partitions as it has splits (planning-time count, no job).
+    width must follow the data: size estimate of the optimized plan divided
+    by the advisory partition size (planning only — asking the RDD for its
+    partition count would make AQE run the upstream stages first).
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        n = max(n, df.rdd.getNumPartitions())
-    except Exception:  # Spark Connect: no RDD API
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+        n = max(n, -(-size // target))
+    except Exception:  # no JVM handle (Spark Connect) or unparsable setting: keep the shuffle setting
         pass
     return n
 
