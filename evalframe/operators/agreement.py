@@ -45,27 +45,14 @@ def kappa_stats(df: DataFrame, group_cols: Sequence[str], r1: str, r2: str,
     Cohen: pe = Σ_k (row_k / n)(col_k / n). Fleiss with two raters: each
     item agrees (P_i = 1) or not (0), category share p_k = (row_k + col_k) / 2n,
     pe = Σ p_k². kappa = (po − pe) / (1 − pe); null when pe = 1 (constant raters).
+    Rows with a missing rating are left out.
     """
-    a, b = F.col(r1), F.col(r2)
-    both = _both(a, b)
-    aggs = [F.count(F.when(both, 1)).alias("n"), F.count(F.when(both & (a == b), 1)).alias("n_agree")]
-    for k, c in enumerate(categories):
-        aggs.append(F.count(F.when(both & (a == c), 1)).alias(f"r_{k}"))
-        aggs.append(F.count(F.when(both & (b == c), 1)).alias(f"c_{k}"))
-    s = df.groupBy(*group_cols).agg(*aggs)
-    n = F.col("n").cast("double")
-    po = F.col("n_agree") / n
-    pe_c = sum((F.col(f"r_{k}") * F.col(f"c_{k}") for k in range(len(categories))), F.lit(0)) / (n * n)
-    pe_f = sum(((F.col(f"r_{k}") + F.col(f"c_{k}")) * (F.col(f"r_{k}") + F.col(f"c_{k}"))
-                for k in range(len(categories))), F.lit(0)) / (4 * n * n)
-    return s.select(*group_cols, "n", po.alias("p_o"),
-                    F.try_divide(po - pe_c, 1 - pe_c).alias("cohen_kappa"),
-                    F.try_divide(po - pe_f, 1 - pe_f).alias("fleiss_kappa"))
+    return kappa_stats_many(df, group_cols, [("", r1, r2, categories)])
 
 
 def kappa_stats_many(df: DataFrame, group_cols: Sequence[str], questions) -> DataFrame:
     """Several rater pairs in ONE aggregate: ``questions`` = [(prefix, r1, r2, categories), ...].
-    Output columns ``{prefix}cohen_kappa`` / ``{prefix}fleiss_kappa`` per question."""
+    Output per question: ``{prefix}n``, ``{prefix}p_o``, ``{prefix}cohen_kappa``, ``{prefix}fleiss_kappa``."""
     aggs, outs = [], []
     for q, (prefix, r1, r2, cats) in enumerate(questions):
         a, b = F.col(r1), F.col(r2)
@@ -79,7 +66,8 @@ def kappa_stats_many(df: DataFrame, group_cols: Sequence[str], questions) -> Dat
         pe_c = sum((F.col(f"r_{q}_{k}") * F.col(f"c_{q}_{k}") for k in range(len(cats))), F.lit(0)) / (n * n)
         pe_f = sum(((F.col(f"r_{q}_{k}") + F.col(f"c_{q}_{k}")) * (F.col(f"r_{q}_{k}") + F.col(f"c_{q}_{k}"))
                     for k in range(len(cats))), F.lit(0)) / (4 * n * n)
-        outs += [F.try_divide(po - pe_c, 1 - pe_c).alias(f"{prefix}cohen_kappa"),
+        outs += [F.col(f"n_{q}").alias(f"{prefix}n"), po.alias(f"{prefix}p_o"),
+                 F.try_divide(po - pe_c, 1 - pe_c).alias(f"{prefix}cohen_kappa"),
                  F.try_divide(po - pe_f, 1 - pe_f).alias(f"{prefix}fleiss_kappa")]
     return df.groupBy(*group_cols).agg(*aggs).select(*group_cols, *outs)
 
