@@ -57,3 +57,25 @@ def test_stream_equals_batch_scoring(spark):
     bad = j.filter(F.col("score_pct").isNull() | F.col("n_correct").isNull() | (F.col("s_n") != F.col("n_answers"))
                    | (F.abs(F.col("n_correct") * 100.0 / F.col("s_n") - F.col("score_pct")) > 0.05 + 1e-9))
     assert j.count() == b.count() and bad.count() == 0
+
+
+def test_g1_headline_average_equals_matrix_cells(spark):
+    from evalframe import dims
+    m = Q["acc_matrix"](spark, SF_SMALL).collect()
+    h = {r["row_label"]: r for r in Q["report_headline"](spark, SF_SMALL).collect()}
+    afr = [x for x in dims.FIXTURE_LANGUAGES if x != "en"]
+    for r in m:
+        label = dims.FIXTURE_MODEL_LABELS.get(r["model"], r["model"]) + " (afr; avg)"
+        cells = [r[x] for x in afr if r[x] is not None]
+        if label not in h or len(cells) != len(afr):
+            continue
+        tenths = sum(int(round(c * 10)) for c in cells)
+        expected = ((2 * tenths + len(cells)) // (2 * len(cells))) / 10.0  # half-up mean of rounded cells
+        assert h[label][r["benchmark"].replace("-", "_")] == expected
+
+
+def test_g4_zero_percent_column_is_the_baseline(spark):
+    qq = Q["quality_quantity"](spark, SF_SMALL).filter(F.col("pct_used") == "0%").collect()
+    base = {r["benchmark"]: r for r in Q["cross_lingual_mean"](spark, SF_SMALL).filter(F.col("train_data") == "base").collect()}
+    for r in qq:
+        assert r["mean_pct"] == base[r["benchmark"]][r["lang"]]
