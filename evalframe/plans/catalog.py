@@ -47,6 +47,7 @@ def register(name: str, oracle: str | None = None):
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
+        run.__wrapped__ = fn
         _QUERIES[name] = run
         if oracle is not None:
             _ORACLE[name] = with_views(oracle)
