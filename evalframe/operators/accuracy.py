@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from evalframe.dims import HUMAN_MARKER, literal_array
 from evalframe.functions.numeric import mean_tenths, pct_tenths, safe_ratio
 from evalframe.functions.predicates import is_human
-from evalframe.session import checkpoint_dir
+from evalframe.session import materialize as materialize_table
 
 
 FACT_KEYS = ["model", "was_ft", "approach", "train_data", "train_lang", "quality", "pct_used",
@@ -32,14 +32,13 @@ def fact_cells(responses: DataFrame, materialize: bool = True) -> DataFrame:
     the data. Reports with several branches read this table instead of the
     fact: Catalyst pushes each branch's filters below its own aggregate, so
     branches over the raw fact could not share one scan. ``materialize``
-    writes the cells once with a reliable checkpoint (tiny; deterministic;
-    cuts the lineage back to the fact for executor loss).
+    writes the cells once as a table in the shared checkpoint folder (tiny;
+    deterministic; cuts the lineage back to the fact for executor loss).
     """
     cells = responses.groupBy(*FACT_KEYS).agg(
         F.sum(F.col("correct").cast("bigint")).alias("n_correct"), F.count(F.lit(1)).alias("n_total"))
     if materialize:
-        checkpoint_dir(responses.sparkSession)
-        cells = cells.checkpoint(eager=True)
+        cells = materialize_table(cells, "fact-cells")
     return cells
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.functions import predicates as P
-from evalframe.session import checkpoint_dir
+from evalframe.session import materialize as materialize_table
 
 ITEM_MOD = 500  # fixture item key: response_id % 500 (FIXTURES.md §C)
 
@@ -26,15 +26,14 @@ def _wino_answers(responses: DataFrame) -> DataFrame:
 def item_runs(responses: DataFrame, materialize: bool = False) -> DataFrame:
     """One row per (model, item, language, run): the last answer's correctness (dict overwrite).
 
-    ``materialize`` writes it once with a reliable checkpoint when several
-    branches read it (item filter and run alignment), so the answers fact is
+    ``materialize`` writes it once as a table in the shared checkpoint folder
+    when several branches read it (item filter and run alignment), so the answers fact is
     scanned once.
     """
     runs = _wino_answers(responses).groupBy("model", "item_id", "lang", "trial").agg(
         F.max_by("correct", "response_id").alias("c"))
     if materialize:
-        checkpoint_dir(responses.sparkSession)
-        runs = runs.checkpoint(eager=True)
+        runs = materialize_table(runs, "item-runs")
     return runs
 
 
@@ -70,8 +69,8 @@ def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFr
     items = assessed_items(runs)
     flags = (policy_filter(surveys, policy).filter(F.col("lang") != "en")
              .join(items, "item_id", "left_semi")
-             .select("item_id", "lang", P.both_typical().cast("int").alias("app"))
-             .checkpoint(eager=True))  # read by three branches: one survey scan
+             .select("item_id", "lang", P.both_typical().cast("int").alias("app")))
+    flags = materialize_table(flags, "survey-flags")  # read by three branches: one survey scan
     acc = aligned_runs(runs).select("model", "item_id", "lang", F.col("mean_correct").alias("m"))
     tot = flags.groupBy("lang").agg(F.sum("app").alias("n_app"), (F.count(F.lit(1)) - F.sum("app")).alias("n_inapp"))
     s_lang = flags.join(acc, ["item_id", "lang"]).groupBy("model", "lang").agg(

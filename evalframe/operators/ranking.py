@@ -14,13 +14,13 @@ a benchmark) that task never finishes. ``positions`` computes the same
    partition's offset inside the group;
 4. join back: position = local id − first local id + offset.
 
-Steps 3 and 4 both read the numbered rows, so those rows are materialised
-once with a reliable ``checkpoint()`` (in the cluster's shared
-``spark.checkpoint.dir``): range bounds come from sampling a shuffle whose
-row order is not deterministic, and two recomputations could otherwise
-disagree on which partition a row belongs to. The checkpoint also cuts the
-lineage, so a lost executor re-reads the numbered rows instead of
-re-sampling.
+Steps 3 and 4 both read the numbered rows, so those rows are written once
+as a table in the cluster's shared ``spark.checkpoint.dir``: range bounds
+come from sampling a shuffle whose row order is not deterministic, and two
+recomputations could otherwise disagree on which partition a row belongs
+to. Partition id and local id are stored as columns, so the table can be
+re-read with any split layout; the write also cuts the lineage, so a lost
+executor re-reads the numbered rows instead of re-sampling.
 
 The only data-sized shuffle is the range exchange; the offsets table has at
 most (#partitions + #groups) rows and AQE broadcasts it when small. The
@@ -39,7 +39,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalframe.session import checkpoint_dir
+from evalframe.session import materialize
 
 _PID, _MID, _FIRST, _CNT, _BEFORE = "_rk_pid", "_rk_mid", "_rk_first", "_rk_cnt", "_rk_before"
 
@@ -83,11 +83,9 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, po
     n = num_partitions or _range_partitions(df)
     group_cols = list(group_cols)
     keys = [*_as_cols(group_cols), *_as_cols(order_cols)]
-    checkpoint_dir(spark)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn(_PID, F.spark_partition_id())
-              .withColumn(_MID, F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn(_PID, F.spark_partition_id())
+                         .withColumn(_MID, F.monotonically_increasing_id()), "ranked")
     counts = ranged.groupBy(_PID, *group_cols).agg(F.min(_MID).alias(_FIRST), F.count(F.lit(1)).alias(_CNT))
     by_group = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
     offsets = counts.select(
