@@ -469,8 +469,9 @@ SELECT custom_id, (row_number() OVER (ORDER BY lang, train, row_id, trial, eval)
 """)
 def snk_shard_by_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK4 general form: shard = floor(position / limit) in request order (write with partitionBy('shard'))."""
-    r = _rating_requests(spark, sf_dir)
-    ranked = ranking.positions(r, [], ["lang", "train", "row_id", "trial", "eval"])
+    keys = ["lang", "train", "row_id", "trial", "eval"]
+    r = _rating_requests(spark, sf_dir).select("custom_id", *keys)  # ids only: prompts are not ranked/written
+    ranked = ranking.positions(r, [], keys)
     return ranked.select("custom_id", F.floor(F.col("pos") / SHARD_LIMIT).cast("bigint").alias("shard"))
 
 
