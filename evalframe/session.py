@@ -30,6 +30,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
