@@ -67,3 +67,11 @@ def test_hot_group_is_split_across_partitions(spark):
     assert len(per_part) >= n // 2
     assert max(r["count"] for r in per_part) < 0.5 * sum(r["count"] for r in per_part)
     assert isinstance(ranged, DataFrame)
+
+
+def test_range_exchange_width_follows_estimated_size(spark):
+    from evalframe.operators.ranking import _range_partitions
+    small = spark.range(1000)
+    big = spark.range(10 ** 9)   # planning-time estimate only (~8 GB): nothing is executed
+    assert _range_partitions(small) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert _range_partitions(big) >= (8 * 10 ** 9) // (64 << 20)
