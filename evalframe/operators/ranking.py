@@ -61,16 +61,21 @@ def _range_partitions(df: DataFrame) -> int:
     """Range-exchange width: at least the shuffle setting, and enough for the estimated input size.
 
     An explicit-count exchange is neither coalesced nor split by AQE, so its
-    width must follow the data: size estimate of the optimized plan divided
-    by the advisory partition size (planning only — asking the RDD for its
-    partition count would make AQE run the upstream stages first).
+    width must follow the data: the size of the plan's inputs (leaf scans —
+    file sizes, unlike operator estimates that multiply through joins and
+    explodes) divided by the advisory partition size. Planning only: asking
+    the RDD for its partition count would make AQE run upstream stages.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = 0
+        for i in range(leaves.size()):  # input volume: file sizes of the scans (operator estimates can explode)
+            raw = leaves.apply(i).stats().sizeInBytes()
+            size += raw if isinstance(raw, int) else int(raw.toString())  # py4j may already convert BigInt
         target = _bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
-        n = max(n, -(-size // target))
+        n = int(min(max(n, -(-size // target)), 1 << 20))  # JVM int parameter; ~1M ranges is plenty
     except Exception:  # no JVM handle (Spark Connect) or unparsable setting: keep the shuffle setting
         pass
     return n
