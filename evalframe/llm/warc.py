@@ -29,10 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm.streams import arrow_schema, batched
+from evalframe.session import materialize
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 SEPARATOR = CRLF + CRLF
+#: Rows of about 100 bytes: at most some 20 MB are broadcast.
+BROADCAST_ROWS = 200_000
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -48,8 +51,10 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     """``(id, uid, url, payload, payload_bytes, payload_digest, first_id, first_uid, is_response)``.
 
     ``uid`` tells repeated rows apart; it is given at the scan, where splits are
-    fixed, so a repeated task gives the same one. The smallest id per digest
-    comes from one aggregate with partial sums and is joined back narrow.
+    fixed, so a repeated task gives the same one. The smallest id of each digest
+    that occurs more than once comes from one narrow aggregate, written as a
+    table. Up to ``BROADCAST_ROWS`` such digests are sent to the scan, so that
+    payloads stay where they are read; beyond that the join shuffles.
     """
     x = pages.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"),
                      F.coalesce(F.col(url), F.lit("")).alias("url"),
@@ -59,7 +64,9 @@ def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload:
     first = (x.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest")
              .agg(F.min(order).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
              .select("payload_digest", F.col("_f.id").alias("first_id"), F.col("_f.uid").alias("first_uid")))
-    x = x.join(first, "payload_digest", "left")
+    first = materialize(first, "warc-first")
+    few = first.count() <= BROADCAST_ROWS
+    x = x.join(F.broadcast(first) if few else first, "payload_digest", "left")
     small = F.col("payload_bytes") < min_bytes
     is_response = small | F.col("first_uid").isNull() | (F.col("first_uid") == F.col("uid"))
     return x.withColumn("is_response", is_response)
