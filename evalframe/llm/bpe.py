@@ -21,10 +21,10 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +37,7 @@ LOOKAHEAD = 3
 CHUNK, OVERLAP = 32_768, 512
 
 PIECES = "doc_id long, uid long, piece long, n_pieces long, ids binary"
+DECODED = PIECES + ", raw binary"
 
 
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -94,29 +95,54 @@ def cuts(bounds: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list("cut")).alias("cuts")))
 
 
-def _encode_rows(rows: Iterator[tuple], path: str, pattern: str) -> Iterator[tuple]:
-    enc = rank_encoder(path, pattern)
-    for doc_id, uid, piece, n_pieces, text in rows:
-        yield doc_id, uid, piece, n_pieces, enc.encode(text)
+@dataclass(frozen=True)
+class Step:
+    """Work on encoded rows in the same pass: ``fn`` maps an iterator of row tuples, ``schema`` is what it gives."""
 
+    schema: str
+    fn: Callable[[Iterator[tuple]], Iterator[tuple]]
 
-def _encode(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
-    schema = arrow_schema(PIECES)
+
+def _encode(pieces: DataFrame, path: str, pattern: str, steps: tuple[Step, ...]) -> DataFrame:
+    """One Python pass over the pieces: encode, then the steps."""
+    out = steps[-1].schema if steps else PIECES
+    schema = arrow_schema(out)
+
+    def encoded(rows):
+        enc = rank_encoder(path, pattern)
+        for doc_id, uid, piece, n_pieces, text in rows:
+            yield doc_id, uid, piece, n_pieces, enc.encode(text)
 
     def run(batches):
-        yield from batched(_encode_rows(rows_of(batches), path, pattern), schema, n=500, size=lambda r: len(r[4]))
+        rows = encoded(rows_of(batches))
+        for s in steps:
+            rows = s.fn(rows)
+        yield from batched(rows, schema, n=500, size=lambda r: sum(len(x) for x in r if isinstance(x, bytes)))
+
+    return pieces.mapInArrow(run, out)
+
 
-    return pieces.mapInArrow(run, PIECES)
+def decoding(path: str, pattern: str) -> Step:
+    """Adds ``raw``, the bytes that the ids stand for, joined."""
+
+    def fn(rows):
+        table = rank_encoder(path, pattern).bytes_of
+        for r in rows:
+            yield *r, b"".join(map(table.__getitem__, np.frombuffer(r[4], "<u4").tolist()))
 
+    return Step(DECODED, fn)
 
-def encode_short(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+
+def encode_short(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
+                 steps: tuple[Step, ...] = ()) -> DataFrame:
     """Texts of at most one chunk: encoded where they are scanned, no shuffle."""
     x = _source(docs, key, text).filter(F.length("text") <= chunk)
-    return _encode(x.select("doc_id", "uid", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("n_pieces"), "text"), path, pattern)
+    return _encode(x.select("doc_id", "uid", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("n_pieces"), "text"),
+                   path, pattern, steps)
 
 
 def encode_long(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
-                overlap: int = OVERLAP) -> DataFrame:
+                overlap: int = OVERLAP, steps: tuple[Step, ...] = ()) -> DataFrame:
     """Texts of more than one chunk: chunked, pre-tokenised, stitched; the pieces are dealt out and encoded."""
     x = _source(docs, key, text).filter(F.length("text") > chunk)
     at = x.join(cuts(chunk_bounds(x, pattern, chunk, overlap)), "uid")
@@ -125,32 +151,26 @@ def encode_long(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
     parts = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.substring(F.col("text"), z["s"] + 1, z["e"] - z["s"]))
     p = at.select("doc_id", "uid", F.size("cuts").cast("long").alias("_n"), F.posexplode(parts).alias("piece", "text"))
     p = p.select("doc_id", "uid", F.col("piece").cast("long").alias("piece"), (F.col("_n") + 1).alias("n_pieces"), "text")
-    return _encode(p.repartition("uid", "piece"), path, pattern)
+    return _encode(p.repartition("uid", "piece"), path, pattern, steps)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP) -> DataFrame:
-    """All texts: ``(doc_id, uid, piece, n_pieces, ids)``."""
-    return encode_short(docs, path, pattern, key, text, chunk).unionByName(encode_long(docs, path, pattern, key, text, chunk, overlap))
+           overlap: int = OVERLAP, steps: tuple[Step, ...] = ()) -> DataFrame:
+    """All texts: ``(doc_id, uid, piece, n_pieces, ids)``, or what the last of the steps gives."""
+    return (encode_short(docs, path, pattern, key, text, chunk, steps)
+            .unionByName(encode_long(docs, path, pattern, key, text, chunk, overlap, steps)))
 
 
 def decode(pieces: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, uid, piece, n_pieces, ids, raw binary)``: the bytes that the ids stand for, joined."""
-    out = PIECES + ", raw binary"
-    schema = arrow_schema(out)
+    """``(doc_id, uid, piece, n_pieces, ids, raw binary)`` of stored pieces."""
+    schema, step = arrow_schema(DECODED), decoding(path, pattern)
 
     def run(batches):
-        table = rank_encoder(path, pattern).bytes_of
+        yield from batched(step.fn(rows_of(batches)), schema, n=500, size=lambda r: len(r[4]) + len(r[5]))
 
-        def gen():
-            for r in rows_of(batches):
-                yield *r, b"".join(map(table.__getitem__, np.frombuffer(r[4], "<u4").tolist()))
-
-        yield from batched(gen(), schema, n=500, size=lambda r: len(r[4]) + len(r[5]))
-
-    return pieces.mapInArrow(run, out)
+    return pieces.select("doc_id", "uid", "piece", "n_pieces", "ids").mapInArrow(run, DECODED)
 
 
-def whole_digest(ids: bytes) -> pa.Buffer:
-    """Decimal ids joined by commas, as bytes."""
+def decimal(ids: bytes) -> bytes:
+    """Decimal ids joined by commas."""
     return ",".join(map(str, np.frombuffer(ids, "<u4").tolist())).encode()
