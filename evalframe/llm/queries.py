@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, packing, warc
+from evalframe.llm import bpe, chat_format, packing, quality_clf, toxicity, warc
 from evalframe.llm.registry import register
-from evalframe.llm.streams import arrow_schema, batched, fold_groups, rows_of
+from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
 
 
@@ -78,7 +78,7 @@ def _bpe_step(s, row):
     _, _, _, doc_id, ids, raw = row
     if ids:
         s[1].update(b"," if s[0] else b"")
-        s[1].update(bpe.whole_digest(ids))
+        s[1].update(bpe.decimal(ids))
     s[0] += len(ids) // 4
     s[2].update(raw)
     s[3] = doc_id
@@ -93,22 +93,28 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode all documents; digests of single pieces in place, of cut texts over their sorted pieces."""
     docs, path, pattern = _table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI), public_tokenizers.PATTERN
     out = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    schema = arrow_schema(out)
 
-    def whole(batches):
-        def gen():
-            for doc_id, ids, raw in rows_of(batches):
-                yield doc_id, len(ids) // 4, hashlib.sha256(bpe.whole_digest(ids)).hexdigest(), hashlib.sha256(raw).hexdigest()
+    def whole(rows):
+        for doc_id, _, _, _, ids, raw in rows:
+            yield doc_id, len(ids) // 4, hashlib.sha256(bpe.decimal(ids)).hexdigest(), hashlib.sha256(raw).hexdigest()
 
-        yield from batched(gen(), schema)
-
-    short = bpe.decode(bpe.encode_short(docs, path, pattern), path, pattern).select("doc_id", "ids", "raw").mapInArrow(whole, out)
-    cut = bpe.decode(bpe.encode_long(docs, path, pattern), path, pattern)
+    decoding = bpe.decoding(path, pattern)
+    short = bpe.encode_short(docs, path, pattern, steps=(decoding, bpe.Step(out, whole)))
+    cut = bpe.encode_long(docs, path, pattern, steps=(decoding,))
     long = fold_groups(cut.select("uid", "piece", "n_pieces", "doc_id", "ids", "raw"), "uid", ["piece"], out,
                        _bpe_start, _bpe_step, _bpe_finish)
     return short.unionByName(long)
 
 
+# --- 4 toxicity ---------------------------------------------------------------------------------
+
+@register("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents; the lexicon comes from the labelled rows outside the held-out third."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, docs, _table(spark, sf_dir, "labels"))
+
+
 # --- 6 packing ---------------------------------------------------------------------------------
 
 @register("op6_pack_sequences")
@@ -119,6 +125,15 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+# --- 9 quality classifier -----------------------------------------------------------------------
+
+@register("op9_quality_ftrl")
+def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents; weights come from the labelled rows outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_clf.quality_scores(docs, docs, _table(spark, sf_dir, "labels"))
+
+
 # --- 10 WARC -----------------------------------------------------------------------------------
 
 _B32 = " || ".join(
