@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, packing, quality_clf, toxicity, warc
+from evalframe.llm import bpe, chat_format, line_quality, packing, quality_clf, toxicity, warc
 from evalframe.llm.registry import register
 from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
@@ -125,6 +125,36 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+# --- 8 quality rules -----------------------------------------------------------------------------
+
+@register("op8_line_quality", oracle=r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+k AS (SELECT uid, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM w),
+win AS (SELECT uid, i, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM k WINDOW o AS (PARTITION BY uid ORDER BY i)),
+rep AS (SELECT uid, i FROM (SELECT uid, i, count(*) OVER (PARTITION BY uid, g) AS c FROM win WHERE g IS NOT NULL) WHERE c > 1),
+cov AS (SELECT uid, count(DISTINCT i + o.o) AS n FROM rep, (VALUES (0), (1), (2)) o(o) GROUP BY uid),
+l AS (SELECT uid, host, t, unnest(string_split(t, chr(10))) AS l FROM d),
+f AS (SELECT uid, host, t, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS ws FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT uid, count(*) - count(DISTINCT l) AS n FROM f GROUP BY uid),
+nl AS (SELECT uid, host, t, lower(regexp_replace(array_to_string(ws, ' '), '[0-9]+', '0', 'g')) AS h, len(ws) AS n FROM f),
+hs AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
+fr AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS c FROM nl GROUP BY host, h) JOIN hs USING (host) WHERE c > 20 AND c > host_docs * 0.02::DOUBLE),
+lost AS (SELECT uid, sum(n) AS n FROM nl JOIN fr USING (host, h) GROUP BY uid),
+b AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
+             coalesce(cov.n, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(lost.n, 0))::BIGINT AS n_left_words
+      FROM w LEFT JOIN dup USING (uid) LEFT JOIN cov USING (uid) LEFT JOIN lost USING (uid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left_words >= 0.3::DOUBLE * n_words AS kept
+FROM b
+""")
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line-frequency verdict of all documents; a document's host is its source."""
+    x = line_quality.judge(_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left_words", "base_failed", "kept")
+
+
 # --- 9 quality classifier -----------------------------------------------------------------------
 
 @register("op9_quality_ftrl")
