@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, line_quality, packing, quality_clf, toxicity, warc
+from evalframe.llm import bpe, chat_format, line_quality, minhash, packing, quality_clf, toxicity, warc
 from evalframe.llm.registry import register
 from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
@@ -115,6 +115,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, docs, _table(spark, sf_dir, "labels"))
 
 
+# --- 5 MinHash near-duplicates --------------------------------------------------------------------
+
+@register("op5_minhash_join")
+def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents: three-word windows, similarity 0.85."""
+    x = minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
+    return x.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 # --- 6 packing ---------------------------------------------------------------------------------
 
 @register("op6_pack_sequences")
