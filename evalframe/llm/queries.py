@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, line_quality, minhash, packing, quality_clf, toxicity, warc
+from evalframe.llm import bpe, chat_format, fuzzy_lines, line_quality, minhash, packing, quality_clf, toxicity, warc
 from evalframe.llm.registry import register
 from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
@@ -134,6 +134,15 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+# --- 7 fuzzy line dedup --------------------------------------------------------------------------
+
+@register("op7_fuzzy_lines")
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that occur, exactly or nearly, earlier in the table."""
+    x = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_lines", "n_removed", "text")
+
+
 # --- 8 quality rules -----------------------------------------------------------------------------
 
 @register("op8_line_quality", oracle=r"""
