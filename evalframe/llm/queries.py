@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, fuzzy_lines, line_quality, minhash, packing, quality_clf, toxicity, warc
+from evalframe.llm import bpe, chat_format, embed_dedup, fuzzy_lines, line_quality, minhash, packing, quality_clf, toxicity, warc
 from evalframe.llm.registry import register
 from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
@@ -65,6 +65,26 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _chat_start, _chat_step, _chat_finish)
 
 
+# --- 2 embedding near-duplicates -------------------------------------------------------------------
+
+@register("op2_embed_graph", oracle="""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS s FROM v
+      WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.s > 0 AND b.s > 0
+      AND list_inner_product(a.e, b.e) / (a.s * b.s) >= 0.9::DOUBLE),
+reach AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a) SELECT a, min(b) AS m FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS c FROM p GROUP BY a)
+SELECT vec_id, coalesce(n.c, 0)::BIGINT AS n_links, least(vec_id, coalesce(reach.m, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(reach.m, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN reach ON reach.a = vec_id
+""")
+def op2_embed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    x = embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return x.select("vec_id", "n_links", "component_id", "kept")
+
+
 # --- 3 byte-level BPE --------------------------------------------------------------------------
 
 MULTI = "byte_bpe_multi_50k.tiktoken"
