@@ -112,3 +112,11 @@ def rows_of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     ids = materialize(ids, "ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key)
+
+
+def rows_without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``df`` without the rows whose number at the scan is in ``dropped (uid)``; columns as they are."""
+    gone = materialize(dropped, "dropped")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    row = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_row"), F.monotonically_increasing_id().alias("uid"))
+    return row.join(F.broadcast(gone) if few else gone, "uid", "left_anti").select("_row.*")

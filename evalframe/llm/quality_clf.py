@@ -22,7 +22,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm.sampling import PER_CLASS, training_sample, windows, word_hashes
@@ -106,23 +107,20 @@ def fit(sample: DataFrame, shards: int = SHARDS) -> np.ndarray:
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score)`` of every row, whole texts, in the scan."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-    out = "doc_id long, score double"
-    schema = arrow_schema(out)
+def score(text: Column, weights: np.ndarray, spark: SparkSession) -> Column:
+    """The score of a text column, whole texts; other columns of the row stay in the JVM."""
+    held = spark.sparkContext.broadcast(weights)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
         w = held.value
+        out = np.empty(len(texts))
+        for k, t in enumerate(texts):
+            slots, x = features(t or "")
+            out[k] = 1.0 / (1.0 + np.exp(-np.clip(np.dot(w[slots], x) + w[-1], -35, 35)))
+        return pd.Series(out)
 
-        def gen():
-            for doc_id, t in rows_of(batches):
-                slots, x = features(t or "")
-                yield doc_id, float(1.0 / (1.0 + np.exp(-np.clip(np.dot(w[slots], x) + w[-1], -35, 35))))
-
-        yield from batched(gen(), schema)
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, out)
+    return of(text)
 
 
 def crc_remainder(key: str, mod: int):
@@ -130,10 +128,15 @@ def crc_remainder(key: str, mod: int):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def quality_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, key: str = "doc_id",
-                   per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of ``docs``, learned from the labelled rows of ``corpus`` outside the held-out fold."""
-    sample = training_sample(corpus, labels, "quality", crc_remainder("doc_id", 5) != 0, per_class, key)
-    s = score(docs, fit(sample), key)
-    return s.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted"))
+def held_out(key: str = "doc_id") -> Column:
+    return crc_remainder(key, 5) == 0
+
+
+def learn(corpus: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id") -> np.ndarray:
+    """Weights from the labelled rows of ``corpus`` outside the held-out fold."""
+    return fit(training_sample(corpus, labels, "quality", ~held_out("doc_id"), per_class, key))
+
+
+def with_quality(docs: DataFrame, weights: np.ndarray, text: str = "text", column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score."""
+    return docs.withColumn(column, score(F.coalesce(F.col(text), F.lit("")), weights, docs.sparkSession))

@@ -132,7 +132,9 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; the lexicon comes from the labelled rows outside the held-out third."""
     docs = _table(spark, sf_dir, "documents")
-    return toxicity.toxicity_scores(docs, docs, _table(spark, sf_dir, "labels"))
+    lexicon, curve = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    x = toxicity.with_toxicity(docs.select("doc_id", "text"), lexicon, curve)
+    return x.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 # --- 5 MinHash near-duplicates --------------------------------------------------------------------
@@ -199,7 +201,8 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents; weights come from the labelled rows outside the held-out fifth."""
     docs = _table(spark, sf_dir, "documents")
-    return quality_clf.quality_scores(docs, docs, _table(spark, sf_dir, "labels"))
+    x = quality_clf.with_quality(docs.select("doc_id", "text"), quality_clf.learn(docs, _table(spark, sf_dir, "labels")))
+    return x.select("doc_id", quality_clf.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 # --- 10 WARC -----------------------------------------------------------------------------------

@@ -31,7 +31,8 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalframe.llm.quality_clf import crc_remainder
@@ -211,30 +212,28 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[Lexicon, np.ndar
     return lex, fit_curve(m[["a", "b"]].to_numpy(), m["label"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, lexicon: Lexicon, curve: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, score, n_hits)`` of every row, whole texts, in the scan."""
-    held = docs.sparkSession.sparkContext.broadcast((lexicon, curve))
-    out = "doc_id long, score double"
-    schema = arrow_schema(out)
+def score(text: Column, lexicon: Lexicon, curve: np.ndarray, spark: SparkSession) -> Column:
+    """The score of a text column, whole texts; other columns of the row stay in the JVM."""
+    held = spark.sparkContext.broadcast((lexicon, curve))
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
         lex, c = held.value
+        m = np.array([lex.measure(t or "") for t in texts]).reshape(-1, 2)
+        return pd.Series(1 / (1 + np.exp(-np.clip(m @ c[:2] + c[2], -35, 35))))
+
+    return of(text)
+
 
-        def gen():
-            for doc_id, t in rows_of(batches):
-                a, b = lex.measure(t or "")
-                yield doc_id, float(1 / (1 + math.exp(-max(-35.0, min(35.0, c[0] * a + c[1] * b + c[2])))))
+def held_out(key: str = "doc_id") -> Column:
+    return crc_remainder(key, 3) == 1
 
-        yield from batched(gen(), schema)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, out)
+def learn(corpus: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, key: str = "doc_id") -> tuple[Lexicon, np.ndarray]:
+    """(lexicon, curve) from the labelled rows of ``corpus`` outside the held-out fold."""
+    return fit(training_sample(corpus, labels, "toxic", ~held_out("doc_id"), per_class, key))
 
 
-def toxicity_scores(docs: DataFrame, corpus: DataFrame, labels: DataFrame, key: str = "doc_id",
-                    per_class: int = PER_CLASS, threshold: float = 0.7) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` of ``docs``, learned from the labelled rows of ``corpus`` outside the held-out fold."""
-    sample = training_sample(corpus, labels, "toxic", crc_remainder("doc_id", 3) != 1, per_class, key)
-    lex, curve = fit(sample)
-    s = score(docs, lex, curve, key)
-    return s.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "score",
-                    (F.col("score") >= threshold).cast("int").alias("predicted"))
+def with_toxicity(docs: DataFrame, lexicon: Lexicon, curve: np.ndarray, text: str = "text", column: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score."""
+    return docs.withColumn(column, score(F.coalesce(F.col(text), F.lit("")), lexicon, curve, docs.sparkSession))
