@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evalframe.llm.linking import as_stored
 from evalframe.llm.streams import arrow_schema, batched, rows_of
 from evalframe.llm.tokens import _held, rank_encoder
 
@@ -142,8 +143,13 @@ def encode_short(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
 
 
 def encode_long(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
-                overlap: int = OVERLAP, steps: tuple[Step, ...] = ()) -> DataFrame:
-    """Texts of more than one chunk: chunked, pre-tokenised, stitched; the pieces are dealt out and encoded."""
+                overlap: int = OVERLAP, steps: tuple[Step, ...] = (), stored: bool = False) -> DataFrame:
+    """Texts of more than one chunk: chunked, pre-tokenised, stitched; the pieces are dealt out and encoded.
+
+    ``stored`` says that ``docs`` is a table read from files, which need not be
+    copied to be read twice.
+    """
+    docs = as_stored(docs if stored else docs.select(key, text).filter(F.length(text) > chunk), stored)
     x = _source(docs, key, text).filter(F.length("text") > chunk)
     at = x.join(cuts(chunk_bounds(x, pattern, chunk, overlap)), "uid")
     ends = F.concat("cuts", F.array(F.length("text")))
@@ -155,10 +161,10 @@ def encode_long(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", t
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP, steps: tuple[Step, ...] = ()) -> DataFrame:
+           overlap: int = OVERLAP, steps: tuple[Step, ...] = (), stored: bool = False) -> DataFrame:
     """All texts: ``(doc_id, uid, piece, n_pieces, ids)``, or what the last of the steps gives."""
     return (encode_short(docs, path, pattern, key, text, chunk, steps)
-            .unionByName(encode_long(docs, path, pattern, key, text, chunk, overlap, steps)))
+            .unionByName(encode_long(docs, path, pattern, key, text, chunk, overlap, steps, stored)))
 
 
 def decode(pieces: DataFrame, path: str, pattern: str) -> DataFrame:

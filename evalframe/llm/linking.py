@@ -107,6 +107,15 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     return comp if comp is not None else posts.limit(0).select("id", F.col("id").alias("component"))
 
 
+def as_stored(df: DataFrame, stored: bool) -> DataFrame:
+    """``df`` if it is a stored table, else a stored copy.
+
+    Rows are told apart by their number at the scan, which is the same each time
+    a file table is read, but not for the outcome of a shuffle or a sample.
+    """
+    return df if stored else materialize(df, "input")
+
+
 def rows_of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """``df`` joined with ``ids`` (which has ``key``): sent to the scan if there are few, by a shuffle otherwise."""
     ids = materialize(ids, "ids")

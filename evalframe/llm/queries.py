@@ -120,7 +120,7 @@ def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     decoding = bpe.decoding(path, pattern)
     short = bpe.encode_short(docs, path, pattern, steps=(decoding, bpe.Step(out, whole)))
-    cut = bpe.encode_long(docs, path, pattern, steps=(decoding,))
+    cut = bpe.encode_long(docs, path, pattern, steps=(decoding,), stored=True)
     long = fold_groups(cut.select("uid", "piece", "n_pieces", "doc_id", "ids", "raw"), "uid", ["piece"], out,
                        _bpe_start, _bpe_step, _bpe_finish)
     return short.unionByName(long)
@@ -142,7 +142,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_minhash_join")
 def op5_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents: three-word windows, similarity 0.85."""
-    x = minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
+    x = minhash.near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85, stored=True)
     return x.select("doc_id", "n_shingles", "component_id", "kept")
 
 
@@ -161,7 +161,7 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_fuzzy_lines")
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that occur, exactly or nearly, earlier in the table."""
-    x = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    x = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), stored=True)
     return x.select("doc_id", "n_lines", "n_removed", "text")
 
 
@@ -227,7 +227,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    warc.write_archives(warc.records(warc.captures(_table(spark, sf_dir, "pages"))), path)
+    warc.write_archives(warc.records(warc.captures(_table(spark, sf_dir, "pages"), stored=True)), path)
     t = warc.assemble(warc.read_records(spark, path))
     is_response = F.col("response.warc_type") == "response"
     return t.select(

@@ -28,6 +28,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalframe.llm.linking import as_stored
 from evalframe.llm.streams import arrow_schema, batched
 from evalframe.session import materialize
 
@@ -47,15 +48,18 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> DataFrame:
+def captures(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0,
+             stored: bool = False) -> DataFrame:
     """``(id, uid, url, payload, payload_bytes, payload_digest, first_id, first_uid, is_response)``.
 
     ``uid`` tells repeated rows apart; it is given at the scan, where splits are
     fixed, so a repeated task gives the same one. The smallest id of each digest
     that occurs more than once comes from one narrow aggregate, written as a
     table. Up to ``BROADCAST_ROWS`` such digests are sent to the scan, so that
-    payloads stay where they are read; beyond that the join shuffles.
+    payloads stay where they are read; beyond that the join shuffles. ``stored``
+    says that ``pages`` is a table read from files, which need not be copied.
     """
+    pages = as_stored(pages if stored else pages.select(key, url, payload), stored)
     x = pages.select(F.col(key).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"),
                      F.coalesce(F.col(url), F.lit("")).alias("url"),
                      F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
