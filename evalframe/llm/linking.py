@@ -66,8 +66,16 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     columns with prefixes ``x`` and ``y``, applied as pairs are formed.
     """
     cols = ["id", *payload]
-    posts = materialize(shared(posts.select("bucket", "id", "rank", *payload)), "posts")
     ok = near if near is not None else lambda x, y: F.lit(True)
+    posts = posts.select("bucket", "id", "rank", *payload)
+    if near is None:
+        posts = shared(posts)
+    else:  # only posts with a near one in their bucket; a semi-join stops at the first and emits no pairs
+        x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "rank", *payload)]) for p in "xy"]
+        cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_id") != F.col("y_id")) & near("x", "y")
+        posts = x.alias("x").join(y.alias("y"), cond, "left_semi")
+        posts = posts.select("bucket", *[F.col(f"x_{c}").alias(c) for c in ("id", "rank", *payload)])
+    posts = materialize(posts, "posts")
     tried, found, comp = None, None, None
 
     def named(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def norm(line):
     return re.sub("[0-9]+", "0", " ".join(words(line))).lower()
 
 
-def brute(docs, profiles, blocks=4, bits=12, edit=0.85):
+def brute(docs, profiles, blocks=4, bits=8, edit=0.9):
     """{doc: text} from the lines' profiles by comparing all pairs of lines."""
     text, sig, occ = {}, {}, []
     for r in profiles:
