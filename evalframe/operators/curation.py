@@ -26,19 +26,26 @@ def md5_key(seed, *ids) -> Column:
 
 
 def few_shot_blocks(rows: DataFrame, group_cols: Sequence[str], order_cols: Sequence, shot: Column, k: int = 5) -> DataFrame:
-    """The first k rows per group rendered and concatenated in order.
+    """The first k rows per group rendered and concatenated in order: ``(group_cols, block, n_shots)``.
 
-    ``shot`` may reference the column ``shot_no`` (1..k). Only groups with a
-    full set of k shots get a block (the source indexes shots 0..k-1 and
-    fails otherwise). ``collect_list`` here holds at most k rows per group.
+    ``shot`` may reference the column ``shot_no`` (1..k). Groups with fewer than
+    k rows get the shots they have and say so in ``n_shots`` (see
+    ``with_block``). ``collect_list`` here holds at most k rows per group.
     """
     top = ranking.top_k(rows, group_cols, order_cols, k, rank_col="shot_no")
     rendered = top.select(*group_cols, "shot_no", shot.alias("shot_text"))
     agg = rendered.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_shots"),
         F.array_sort(F.collect_list(F.struct("shot_no", "shot_text"))).alias("shots"))
-    return agg.filter(F.col("n_shots") == k).select(
-        *group_cols, F.array_join(F.transform("shots", lambda s: s["shot_text"]), "").alias("block"))
+    return agg.select(*group_cols, F.array_join(F.transform("shots", lambda s: s["shot_text"]), "").alias("block"), "n_shots")
+
+
+def with_block(rows: DataFrame, blocks: DataFrame, on: Sequence[str], k: int = 5) -> DataFrame:
+    """Every row with its group's block; ``status`` is 'ok', or 'short' where fewer than k shots exist (none: empty block)."""
+    j = rows.join(blocks, list(on), "left")
+    n = F.coalesce("n_shots", F.lit(0))
+    return j.withColumn("block", F.coalesce("block", F.lit(""))).withColumn(
+        "status", F.when(n < k, "short").otherwise("ok")).withColumn("n_shots", n)
 
 
 def rating_scores(ratings: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Appropriateness lift on Winogrande items (J7, J8, ST11, A-LIFT).
 
-Item key between surveys and answers is (item_id, language); the answer
+Item key between surveys (``answer_item``) and answers (``item_id``) is (item, language); the answer
 side is first reduced to one row per (model, item, language, run) — last
 answer wins, as a dict would — then the three runs are aligned by a
 group-by instead of index arithmetic on three frames.
@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 from evalframe.functions import predicates as P
 from evalframe.session import materialize as materialize_table
 
-ITEM_MOD = 500  # fixture item key: response_id % 500 (FIXTURES.md §C)
-
 
 def _wino_answers(responses: DataFrame) -> DataFrame:
     r = responses.filter(~F.col("was_ft") & (F.col("benchmark") == "winogrande") & P.is_human())
-    return r.select("model", (F.col("response_id") % ITEM_MOD).alias("item_id"), F.col("eval_lang").alias("lang"),
-                    "trial", "response_id", "correct")
+    return r.select("model", "item_id", F.col("eval_lang").alias("lang"), "trial", "response_id", "correct")
 
 
 def item_runs(responses: DataFrame, materialize: bool = False) -> DataFrame:
@@ -68,7 +65,7 @@ def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFr
     runs = item_runs(responses, materialize=True)
     items = assessed_items(runs)
     flags = (policy_filter(surveys, policy).filter(F.col("lang") != "en")
-             .join(items, "item_id", "left_semi")
+             .drop("item_id").withColumnRenamed("answer_item", "item_id").join(items, "item_id", "left_semi")
              .select("item_id", "lang", P.both_typical().cast("int").alias("app")))
     flags = materialize_table(flags, "survey-flags")  # read by three branches: one survey scan
     acc = aligned_runs(runs).select("model", "item_id", "lang", F.col("mean_correct").alias("m"))

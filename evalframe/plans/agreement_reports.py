@@ -227,15 +227,15 @@ def self_join_lang_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- A-LIFT ---------------------------------------------------------------------
 def _lift_sql(policy_where: str) -> str:
     return f"""
-WITH items AS (SELECT DISTINCT response_id % 500 AS item_id FROM v_responses
+WITH items AS (SELECT DISTINCT item_id FROM v_responses
                WHERE NOT was_ft AND benchmark = 'winogrande' AND contains(approach, 'Human')),
 flags AS (
-  SELECT s.item_id, s.lang,
+  SELECT s.answer_item AS item_id, s.lang,
     CASE WHEN coalesce(approp_1 = '{TYP}', false) AND coalesce(approp_2 = '{TYP}', false) THEN 1 ELSE 0 END AS app
-  FROM v_surveys s SEMI JOIN items i ON s.item_id = i.item_id
+  FROM v_surveys s SEMI JOIN items i ON s.answer_item = i.item_id
   WHERE s.lang <> 'en' AND ({policy_where})),
 runs AS (
-  SELECT model, response_id % 500 AS item_id, eval_lang AS lang, trial, arg_max(correct, response_id) AS c
+  SELECT model, item_id, eval_lang AS lang, trial, arg_max(correct, response_id) AS c
   FROM v_responses WHERE NOT was_ft AND benchmark = 'winogrande' AND contains(approach, 'Human')
   GROUP BY ALL),
 acc AS (SELECT model, item_id, lang, CASE WHEN COUNT(*) = 3 THEN SUM(c) / 3.0 END AS m FROM runs GROUP BY ALL),
@@ -280,7 +280,7 @@ def lift_report_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("align_runs", """
 WITH runs AS (
-  SELECT model, response_id % 500 AS item_id, eval_lang AS lang, trial, arg_max(correct, response_id) AS c
+  SELECT model, item_id, eval_lang AS lang, trial, arg_max(correct, response_id) AS c
   FROM v_responses WHERE NOT was_ft AND benchmark = 'winogrande' AND contains(approach, 'Human')
   GROUP BY ALL)
 SELECT model, item_id, lang, COUNT(*) AS n_runs, CAST(SUM(c) AS BIGINT) AS sum_correct,
@@ -294,16 +294,16 @@ def align_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("semi_assessed_items", """
-WITH items AS (SELECT DISTINCT response_id % 500 AS item_id FROM v_responses
+WITH items AS (SELECT DISTINCT item_id FROM v_responses
                WHERE NOT was_ft AND benchmark = 'winogrande' AND contains(approach, 'Human'))
 SELECT s.lang, COUNT(*) AS n_items,
   COUNT(CASE WHEN i.item_id IS NOT NULL THEN 1 END) AS n_matched,
   COUNT(CASE WHEN i.item_id IS NULL THEN 1 END) AS n_unmatched
-FROM v_surveys s LEFT JOIN items i ON s.item_id = i.item_id GROUP BY s.lang
+FROM v_surveys s LEFT JOIN items i ON s.answer_item = i.item_id GROUP BY s.lang
 """)
 def semi_assessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey items restricted to assessed items (semi join) with the anti-join completeness check."""
-    s = v_surveys(spark, sf_dir).select("item_id", "lang")
+    s = v_surveys(spark, sf_dir).select(F.col("answer_item").alias("item_id"), "lang")
     items = lift.assessed_items(lift.item_runs(v_responses(spark, sf_dir))).withColumn("hit", F.lit(True))
     j = s.join(items, "item_id", "left")  # items is distinct: semi + anti in one pass
     return j.groupBy("lang").agg(F.count(F.lit(1)).alias("n_items"), F.count("hit").alias("n_matched"),

@@ -88,13 +88,13 @@ def _mc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 MC_BLOCK_SQL = f"""dev AS (
   SELECT *, row_number() OVER (PARTITION BY section, lang ORDER BY item_no) AS shot_no FROM v_items WHERE split = 'dev'),
 blocks AS (
-  SELECT section, lang, string_agg({printf(pr.MC_SHOT, 'CAST(shot_no AS VARCHAR)', 'question', 'opt_a', 'opt_b', 'opt_c', 'opt_d', 'answer')}, '' ORDER BY shot_no) AS block
-  FROM dev WHERE shot_no <= 5 GROUP BY section, lang HAVING COUNT(*) = 5)"""
+  SELECT section, lang, string_agg({printf(pr.MC_SHOT, 'CAST(shot_no AS VARCHAR)', 'question', 'opt_a', 'opt_b', 'opt_c', 'opt_d', 'answer')}, '' ORDER BY shot_no) AS block,
+    COUNT(*) AS n_shots FROM dev WHERE shot_no <= 5 GROUP BY section, lang)"""
 
 
-@register("few_shot_block", f"WITH {MC_BLOCK_SQL} SELECT section, lang, block FROM blocks")
+@register("few_shot_block", f"WITH {MC_BLOCK_SQL} SELECT section, lang, block, n_shots FROM blocks")
 def few_shot_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First five dev rows per (section, language) rendered as the 5-shot block."""
+    """First five dev rows per (section, language) rendered as the 5-shot block; shorter groups tell their number."""
     return _mc_blocks(spark, sf_dir)
 
 
@@ -102,23 +102,24 @@ def _mc_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None)
     pos = pos if pos is not None else _positioned(spark, sf_dir)
     test = pos.filter(F.col("split") == "test")
     blocks = _mc_blocks(spark, sf_dir)
-    j = test.join(blocks, ["section", "lang"])
+    j = cu.with_block(test, blocks, ["section", "lang"])
     content = F.concat(pr.fmt(pr.MC_HEADER, _topic()), F.col("block"),
                        pr.fmt(pr.MC_QUESTION, "question", "opt_a", "opt_b", "opt_c", "opt_d"))
     cid = F.concat(F.lit(pr.MODEL_PLACEHOLDER + "-on-"), "lang", F.lit("-mmlu-"), "section", F.lit("-"),
                    F.col("position").cast("string"), F.lit("-answer-"), "answer")
-    return j.select(cid.alias("custom_id"), content.alias("content"))
+    return j.select(cid.alias("custom_id"), content.alias("content"), "status")
 
 
 MC_REQ_SQL = f"""{POS_SQL},
 {MC_BLOCK_SQL},
 mc AS (
   SELECT '{pr.MODEL_PLACEHOLDER}-on-' || p.lang || '-mmlu-' || p.section || '-' || CAST(p.position AS VARCHAR) || '-answer-' || p.answer AS custom_id,
-    {printf(pr.MC_HEADER, "replace(p.section, '_', ' ')")} || b.block || {printf(pr.MC_QUESTION, 'p.question', 'p.opt_a', 'p.opt_b', 'p.opt_c', 'p.opt_d')} AS content
-  FROM pos p JOIN blocks b ON p.section = b.section AND p.lang = b.lang WHERE p.split = 'test')"""
+    {printf(pr.MC_HEADER, "replace(p.section, '_', ' ')")} || coalesce(b.block, '') || {printf(pr.MC_QUESTION, 'p.question', 'p.opt_a', 'p.opt_b', 'p.opt_c', 'p.opt_d')} AS content,
+    CASE WHEN coalesce(b.n_shots, 0) < 5 THEN 'short' ELSE 'ok' END AS status
+  FROM pos p LEFT JOIN blocks b ON p.section = b.section AND p.lang = b.lang WHERE p.split = 'test')"""
 
 
-@register("render_prompt_mc", f"WITH {MC_REQ_SQL} SELECT custom_id, content FROM mc")
+@register("render_prompt_mc", f"WITH {MC_REQ_SQL} SELECT custom_id, content, status FROM mc")
 def render_prompt_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MMLU-style 5-shot prompt for every test item, id carries language, section, index and gold letter."""
     return _mc_requests(spark, sf_dir)
@@ -168,11 +169,11 @@ def _cloze_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = No
         _sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi")
     shot = pr.fmt(pr.CLOZE_SHOT, F.col("shot_no").cast("string"), "question", "opt_a", "opt_b", _cloze_answer())
     blocks = cu.few_shot_blocks(dev, ["lang"], ["item_no"], shot)
-    test = pos.filter(F.col("split") == "test").join(blocks, "lang")
+    test = cu.with_block(pos.filter(F.col("split") == "test"), blocks, ["lang"])
     content = F.concat(F.lit(pr.CLOZE_HEADER), F.col("block"), pr.fmt(pr.CLOZE_QUESTION, "question", "opt_a", "opt_b"))
     cid = F.concat(F.lit(pr.MODEL_PLACEHOLDER + "-on-"), "lang", F.lit("-winogrande-"),
                    F.col("position").cast("string"), F.lit("-answer-"), _cloze_answer())
-    return test.select(cid.alias("custom_id"), content.alias("content"))
+    return test.select(cid.alias("custom_id"), content.alias("content"), "status")
 
 
 CLOZE_REQ_SQL = f"""{SAMPLE_SQL},
@@ -180,15 +181,16 @@ cdev AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY item_no) AS shot_no
   FROM pos WHERE split = 'dev' AND position IN (SELECT position FROM smp)),
 cblocks AS (
-  SELECT lang, string_agg({printf(pr.CLOZE_SHOT, 'CAST(shot_no AS VARCHAR)', 'question', 'opt_a', 'opt_b', 'CAST(item_no % 2 + 1 AS VARCHAR)')}, '' ORDER BY shot_no) AS block
-  FROM cdev WHERE shot_no <= 5 GROUP BY lang HAVING COUNT(*) = 5),
+  SELECT lang, string_agg({printf(pr.CLOZE_SHOT, 'CAST(shot_no AS VARCHAR)', 'question', 'opt_a', 'opt_b', 'CAST(item_no % 2 + 1 AS VARCHAR)')}, '' ORDER BY shot_no) AS block,
+    COUNT(*) AS n_shots FROM cdev WHERE shot_no <= 5 GROUP BY lang),
 cloze AS (
   SELECT '{pr.MODEL_PLACEHOLDER}-on-' || p.lang || '-winogrande-' || CAST(p.position AS VARCHAR) || '-answer-' || CAST(p.item_no % 2 + 1 AS VARCHAR) AS custom_id,
-    {q(pr.CLOZE_HEADER)} || b.block || {printf(pr.CLOZE_QUESTION, 'p.question', 'p.opt_a', 'p.opt_b')} AS content
-  FROM pos p JOIN cblocks b ON p.lang = b.lang WHERE p.split = 'test')"""
+    {q(pr.CLOZE_HEADER)} || coalesce(b.block, '') || {printf(pr.CLOZE_QUESTION, 'p.question', 'p.opt_a', 'p.opt_b')} AS content,
+    CASE WHEN coalesce(b.n_shots, 0) < 5 THEN 'short' ELSE 'ok' END AS status
+  FROM pos p LEFT JOIN cblocks b ON p.lang = b.lang WHERE p.split = 'test')"""
 
 
-@register("render_prompt_cloze", f"WITH {CLOZE_REQ_SQL} SELECT custom_id, content FROM cloze")
+@register("render_prompt_cloze", f"WITH {CLOZE_REQ_SQL} SELECT custom_id, content, status FROM cloze")
 def render_prompt_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winogrande-style 5-shot prompt; the same sampled dev items (by position) in every language."""
     return _cloze_requests(spark, sf_dir)
@@ -199,16 +201,16 @@ def _passage_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = pr.fmt(pr.PASSAGE_PROMPT, "question", "section", "opt_a", "opt_b", "opt_c", "opt_d")
     cid = F.concat(F.lit(pr.MODEL_PLACEHOLDER + "-on-"), "lang", F.lit("-belebele-"),
                    F.col("position").cast("string"), F.lit("-answer-"), "answer")
-    return items.select(cid.alias("custom_id"), content.alias("content"))
+    return items.select(cid.alias("custom_id"), content.alias("content"), F.lit("ok").alias("status"))
 
 
 PASSAGE_REQ_SQL = f"""passage AS (
   SELECT '{pr.MODEL_PLACEHOLDER}-on-' || lang || '-belebele-' || CAST(row_number() OVER (PARTITION BY lang ORDER BY item_no) - 1 AS VARCHAR) || '-answer-' || answer AS custom_id,
-    {printf(pr.PASSAGE_PROMPT, 'question', 'section', 'opt_a', 'opt_b', 'opt_c', 'opt_d')} AS content
+    {printf(pr.PASSAGE_PROMPT, 'question', 'section', 'opt_a', 'opt_b', 'opt_c', 'opt_d')} AS content, 'ok' AS status
   FROM v_items)"""
 
 
-@register("render_prompt_passage", f"WITH {PASSAGE_REQ_SQL} SELECT custom_id, content FROM passage")
+@register("render_prompt_passage", f"WITH {PASSAGE_REQ_SQL} SELECT custom_id, content, status FROM passage")
 def render_prompt_passage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Belebele-style zero-shot passage prompt (passage = item text, query = section)."""
     return _passage_requests(spark, sf_dir)
@@ -224,7 +226,7 @@ WITH {MC_REQ_SQL},
 {CLOZE_REQ_SQL.replace(POS_SQL + ',', '', 1)},
 {PASSAGE_REQ_SQL},
 allreq AS (SELECT * FROM mc UNION ALL SELECT * FROM cloze UNION ALL SELECT * FROM passage)
-SELECT custom_id, 'POST' AS method, '/v1/chat/completions' AS url, {_body_json()} AS body FROM allreq
+SELECT custom_id, 'POST' AS method, '/v1/chat/completions' AS url, {_body_json()} AS body, status FROM allreq
 """)
 def build_eval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-REQ: the full evaluation request table (5-shot MC, 5-shot cloze, 0-shot passage) in batch-API shape."""
@@ -233,7 +235,7 @@ def build_eval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         _passage_requests(spark, sf_dir))
     body = pr.request_body(F.lit(pr.MODEL_PLACEHOLDER), F.col("content"))
     return reqs.select("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
-                       F.to_json(body).alias("body"))
+                       F.to_json(body).alias("body"), "status")
 
 
 @register("explode_trials", "SELECT item_no, lang, CAST(t.trial AS BIGINT) AS trial FROM v_items, (VALUES (0), (1), (2)) AS t(trial)")

@@ -121,23 +121,23 @@ def except_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 J1_SQL = f"""j1 AS (
-  SELECT s.survey_key, s.item_id, s.lang, s.quality_1, s.quality_2, s.approp_1, s.approp_2, r.response_id, r.correct
-  FROM v_surveys s LEFT JOIN v_responses r ON r.response_id % 500 = s.item_id AND r.eval_lang = s.lang
+  SELECT s.survey_key, s.answer_item AS item_id, s.lang, s.quality_1, s.quality_2, s.approp_1, s.approp_2, r.response_id, r.correct
+  FROM v_surveys s LEFT JOIN v_responses r ON r.item_id = s.answer_item AND r.eval_lang = s.lang
   WHERE contains(r.approach, 'Human') AND NOT r.was_ft AND r.model = '{FLAGSHIP}' AND r.benchmark = 'winogrande')"""
 
 
 def _j1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surveys ⟕ answers on (item, language) with a filter on the right side — i.e. an inner join."""
-    s = v_surveys(spark, sf_dir)
+    s = v_surveys(spark, sf_dir).drop("item_id").withColumnRenamed("answer_item", "item_id")
     r = v_responses(spark, sf_dir).filter(P.is_human() & ~F.col("was_ft") & (F.col("model") == FLAGSHIP)
                                           & (F.col("benchmark") == "winogrande"))
-    r = r.select((F.col("response_id") % 500).alias("item_id"), F.col("eval_lang").alias("lang"), "response_id", "correct")
+    r = r.select("item_id", F.col("eval_lang").alias("lang"), "response_id", "correct")
     return s.join(r, ["item_id", "lang"], "inner")
 
 
 @register("join_left_composite", f"WITH {J1_SQL} SELECT survey_key, item_id, lang, response_id, CAST(correct AS BIGINT) AS correct FROM j1")
 def join_left_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Composite, differently named keys (item_id, lang) = (response_id % 500, eval_lang)."""
+    """Composite, differently named keys (answer_item, lang) = (item_id, eval_lang)."""
     return _j1(spark, sf_dir).select("survey_key", "item_id", "lang", "response_id", "correct")
 
 

@@ -10,7 +10,7 @@ import re
 
 VIEW_SQL = {
     "v_responses": """
-SELECT event_id AS response_id, event_type AS model,
+SELECT event_id AS response_id, CAST(FLOOR(event_id / 1200) AS BIGINT) AS item_id, event_type AS model,
   CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END AS eval_lang,
   CASE event_id % 5 WHEN 0 THEN 'belebele' WHEN 1 THEN 'winogrande' WHEN 2 THEN 'mmlu-college_medicine'
     WHEN 3 THEN 'mmlu-clinical_knowledge' ELSE 'mmlu-virology' END AS benchmark,
@@ -26,6 +26,7 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
 """,
     "v_surveys": """
 SELECT o_orderkey AS survey_key, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS item_id,
+  CAST(FLOOR(o_orderkey / 1800) AS BIGINT) AS answer_item,
   CASE o_orderkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END AS lang,
   CASE o_custkey % 3 WHEN 0 THEN 'Completely wrong' WHEN 1 THEN 'Good translation' ELSE 'Understandable' END AS quality_1,
   CASE (o_custkey + CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'Completely wrong' WHEN 1 THEN 'Good translation' ELSE 'Understandable' END AS quality_2,

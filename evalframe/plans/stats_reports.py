@@ -11,6 +11,7 @@ from evalframe.operators import sampling as smp
 from evalframe.operators.gains import five_numbers
 from evalframe.plans.catalog import register
 from evalframe.plans.filters_joins import J1_SQL, _j1
+from evalframe.session import materialize
 from evalframe.sources.tables import read_table, v_surveys
 
 SEED = 42
@@ -101,6 +102,7 @@ def resample_null_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     same sizes drawn from all (good-translation) rows of the language."""
     j = _j1(spark, sf_dir).filter(P.neither_wrong())
     d = j.select("lang", "survey_key", "response_id", "correct", P.both_typical().cast("int").alias("app"))
+    d = materialize(d, "null-rows")  # read three times
     sizes = d.groupBy("lang").agg(F.sum("app").alias("n_app"), F.sum(F.col("app") * F.col("correct")).alias("c_app"),
                                   F.sum(1 - F.col("app")).alias("n_in"),
                                   F.sum((1 - F.col("app")) * F.col("correct")).alias("c_in"))

@@ -66,6 +66,7 @@ def v_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     m7 = F.col("event_id") % 7
     return e.select(
         F.col("event_id").alias("response_id"),
+        _fdiv(F.col("event_id"), 1200).alias("item_id"),
         F.col("event_type").alias("model"),
         _lang4(F.col("user_id")).alias("eval_lang"),
         _benchmark5(F.col("event_id")).alias("benchmark"),
@@ -100,6 +101,7 @@ def v_surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         F.col("o_orderkey").alias("survey_key"),
         _fdiv(F.col("o_orderkey"), 4).alias("item_id"),
+        _fdiv(F.col("o_orderkey"), 1800).alias("answer_item"),
         _lang4(F.col("o_orderkey")).alias("lang"),
         quality(ck).alias("quality_1"),
         quality(ck + F.when(ck % 5 == 0, 1).otherwise(0)).alias("quality_2"),
