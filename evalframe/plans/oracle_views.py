@@ -37,7 +37,11 @@ SELECT o_orderkey AS survey_key, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS item_i
 FROM orders
 """,
     "v_generations": """
-SELECT event_id, event_type AS model,
+SELECT event_id + c.n * 1000000000 AS event_id, model, custom_id,
+  CASE WHEN c.n = 0 THEN content WHEN k % 3 = 0 THEN gold ELSE '' END AS content
+FROM (SELECT event_id, k, event_type AS model,
+  CASE WHEN event_id % 5 = 1 THEN CASE WHEN user_id % 2 = 0 THEN '1' ELSE '2' END
+      ELSE CASE user_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END END AS gold,
   concat(event_type, '-on-', CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END, '-',
     CASE event_id % 5 WHEN 0 THEN 'belebele' WHEN 1 THEN 'winogrande' WHEN 2 THEN 'mmlu-college_medicine'
       WHEN 3 THEN 'mmlu-clinical_knowledge' ELSE 'mmlu-virology' END, '-', CAST(event_id AS VARCHAR(20)), '-answer-',
@@ -47,6 +51,7 @@ SELECT event_id, event_type AS model,
     THEN CASE k % 5 WHEN 0 THEN '1' WHEN 1 THEN 'Option 2.' WHEN 2 THEN '1 or 2' WHEN 3 THEN 'neither' ELSE ' 2' END
     ELSE CASE k % 5 WHEN 0 THEN 'A' WHEN 1 THEN '(B) since' WHEN 2 THEN ' c' WHEN 3 THEN '' ELSE '()' END END AS content
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
+) g JOIN (SELECT 0 AS n UNION ALL SELECT 1) c ON c.n = 0 OR event_id % 10 IN (1, 3)
 """,
     "v_ratings": """
 SELECT concat('gpt-4o-on-', CASE p_partkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END, '-',

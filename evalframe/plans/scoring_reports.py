@@ -11,7 +11,7 @@ from evalframe.functions import scoring as sc
 from evalframe.functions.numeric import pct_tenths
 from evalframe.operators import costs, ranking
 from evalframe.plans.catalog import register
-from evalframe.sources.tables import spread, v_generations, v_items
+from evalframe.sources.tables import v_generations, v_items
 
 ID_RE = sc.CUSTOM_ID_PATTERN
 STRIP_SQL = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -24,7 +24,7 @@ LENIENT_ANSWER_SQL = "CASE WHEN contains(content, '1') THEN '1' WHEN contains(co
 
 
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = spread(v_generations(spark, sf_dir), "event_id")
+    g = v_generations(spark, sf_dir)
     p = sc.parse_custom_id(F.col("custom_id"))
     return g.select("event_id", "custom_id", "content", *[c.alias(k) for k, c in p.items()])
 
@@ -81,10 +81,11 @@ ALL_LANGS_SQL = ", ".join(f"('{x}')" for x in dims.LANGUAGES)
 
 @register("score_generations", f"""
 WITH {_parsed_sql()},
+last AS (SELECT model, benchmark, lang, custom_id, arg_max(content, event_id) AS content FROM parsed GROUP BY ALL),
 scored AS (
   SELECT model, benchmark, lang,
     CASE WHEN benchmark = 'winogrande' THEN {STRICT_SQL} ELSE {LETTER_SQL} END AS correct
-  FROM parsed),
+  FROM last),
 agg AS (SELECT model, benchmark, lang, COUNT(*) AS n, SUM(CASE WHEN correct THEN 1 ELSE 0 END) AS c
   FROM scored GROUP BY ALL),
 grid AS (SELECT DISTINCT model, benchmark FROM parsed)
@@ -94,8 +95,9 @@ FROM grid g CROSS JOIN (VALUES {ALL_LANGS_SQL}) AS l(lang)
 LEFT JOIN agg a ON a.model = g.model AND a.benchmark = g.benchmark AND a.lang = l.lang
 """)
 def score_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-SCO: score every generation, accuracy per (model, benchmark, language); −100 for untested languages."""
+    """A-SCO: score the last answer of every request (S9), accuracy per (model, benchmark, language); −100 for untested languages."""
     p = _parsed(spark, sf_dir)
+    p = p.groupBy("model", "benchmark", "lang", "custom_id").agg(F.max_by("content", "event_id").alias("content"))
     scored = p.select("model", "benchmark", "lang",
                       sc.score_generation("custom_id", "content", "benchmark").cast("int").alias("correct"))
     langs = list(dims.LANGUAGES)

@@ -118,11 +118,12 @@ def snk_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("stream_running_accuracy", """
-WITH p AS (
+WITH g AS (SELECT custom_id, arg_max(content, event_id) AS content FROM v_generations GROUP BY custom_id),
+p AS (
   SELECT regexp_extract(custom_id, '^(.*)-on-([a-z]+)-(.+)-([0-9]+)-answer-(.+)$', 1) AS model,
     regexp_extract(custom_id, '^(.*)-on-([a-z]+)-(.+)-([0-9]+)-answer-(.+)$', 2) AS lang,
     regexp_extract(custom_id, '^(.*)-on-([a-z]+)-(.+)-([0-9]+)-answer-(.+)$', 3) AS benchmark, custom_id, content
-  FROM v_generations),
+  FROM g),
 s AS (SELECT model, lang, benchmark, CASE WHEN benchmark = 'winogrande' THEN
     coalesce(contains(content, right(custom_id, 1)) AND NOT contains(content, CAST(3 - CAST(right(custom_id, 1) AS INTEGER) AS VARCHAR)), false)
   ELSE coalesce(length(upper(replace(replace(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '(', ''), ')', ''))) > 0
@@ -132,9 +133,9 @@ SELECT model, lang, benchmark, COUNT(*) AS n_answers, CAST(SUM(CASE WHEN correct
 FROM s GROUP BY ALL
 """)
 def stream_running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR1: answers land as several JSON-lines files; a Structured Streaming job (availableNow) dedups,
-    scores and keeps running counts; the final table equals the batch aggregate."""
+    """STR1: answers land as several JSON-lines files; a Structured Streaming job (availableNow) keeps the
+    last answer of each request and its score; the final counts equal the batch aggregate."""
     base = files.scratch_path(spark, "stream")
     src = f"{base}/answers"
-    v_generations(spark, sf_dir).select("custom_id", "content").write.option("maxRecordsPerFile", 2500).json(src)
+    v_generations(spark, sf_dir).select(F.col("event_id").alias("seq"), "custom_id", "content").write.option("maxRecordsPerFile", 2500).json(src)
     return stream.run_available(spark, src, f"{base}/table", f"{base}/_checkpoint")

@@ -11,7 +11,7 @@ from evalframe.operators import ranking
 from evalframe.operators.pairing import consecutive_turns, translation_triples
 from evalframe.operators.rouge import rouge1, rouge1_many
 from evalframe.plans.catalog import register
-from evalframe.sources.tables import read_table, spread, v_translations, v_workflow
+from evalframe.sources.tables import read_table, v_translations, v_workflow
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
 BOX = ["p_min", "p_q1", "p_median", "p_q3", "p_max"]
@@ -165,7 +165,7 @@ FROM documents GROUP BY ROLLUP (lang, source)
 """)
 def word_count_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F7 / AG12 / A-WC: whitespace words per (language, source) with subtotals and the grand total (rollup)."""
-    d = spread(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return d.rollup("lang", "source").agg(F.sum(word_count("text")).alias("words"), F.count(F.lit(1)).alias("n_docs"))
 
 

@@ -18,24 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread an under-partitioned input on ``key`` before CPU-heavy per-row work (regex, tokenising).
-
-    A 100 TB scan already has thousands of splits and this is a no-op; a
-    small file stored as one row group would otherwise run on one core.
-    Decided at planning time from the partition count, no job is run. Hash
-    (not round-robin) partitioning needs no pre-sort for retry determinism.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect has no RDD API: leave partitioning to the scan
-        return df
-    if current < target:
-        return df.repartition(target, key)
-    return df
-
-
 def _lang4(x: Column) -> Column:
     m = x % 4
     return (F.when(m == 0, "en").when(m == 1, "af").when(m == 2, "zu").otherwise("xh"))
@@ -122,14 +104,20 @@ def v_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
         wino,
         F.when(km == 0, "1").when(km == 1, "Option 2.").when(km == 2, "1 or 2").when(km == 3, "neither").otherwise(" 2"),
     ).otherwise(F.when(km == 0, "A").when(km == 1, "(B) since").when(km == 2, " c").when(km == 3, "").otherwise("()"))
-    return e.select(
+    g = e.select(
         F.col("event_id"),
         F.col("event_type").alias("model"),
         F.concat(F.col("event_type"), F.lit("-on-"), _lang4(F.col("user_id")), F.lit("-"),
                  _benchmark5(F.col("event_id")), F.lit("-"), F.col("event_id").cast("string"),
                  F.lit("-answer-"), gold).alias("custom_id"),
-        content.alias("content"),
+        content.alias("content"), gold.alias("gold"), "k",
     )
+    # some requests were asked again: a second answer, later in load order
+    again = F.when(F.col("event_id") % 10 == 1, True).otherwise(F.col("event_id") % 10 == 3)
+    g = g.withColumn("n", F.explode(F.when(again, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    second = F.when(F.col("k") % 3 == 0, F.col("gold")).otherwise("")
+    return g.select((F.col("event_id") + F.col("n") * F.lit(1_000_000_000)).alias("event_id"), "model", "custom_id",
+                    F.when(F.col("n") == 0, F.col("content")).otherwise(second).alias("content"))
 
 
 def v_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,54 +1,74 @@
 """STR1: incremental scorer over a growing answers folder (Structured Streaming).
 
 The reference appends answers to a log and resumes where it stopped. Here the
-log is a folder of JSON-lines files read with ``readStream``; every
-micro-batch parses ids, drops duplicate ids (the state is bounded by the
-request table), scores, and updates the running accuracy per
-(model, language, benchmark) in ``complete`` mode. Each epoch's aggregate is
-written with ``foreachBatch`` to a table folder, so results never pile up on
-the driver; the streaming checkpoint (in the shared checkpoint dir) makes the
-job resumable after a failure, like the reference's resume-on-rerun.
-
-Note: streaming dedup keeps the FIRST answer of an id, batch scoring
-(``dedup_last_wins``) the LAST; with unique ids both agree.
+log is a folder of JSON-lines files read with ``readStream``; a request can be
+answered again, and the answer latest in load order (``seq``) counts, as in the
+batch scorer. Every micro-batch is reduced to its last answers, scored, and
+merged with the scores so far; the merged table (one narrow row per request, so
+bounded by the request table) is written as a folder of its epoch. Readers take
+the newest finished epoch, never a half-written one; a repeated epoch rewrites
+its own folder only. The streaming checkpoint makes the job resumable. Read
+errors raise; only a table that has no epoch yet counts as empty.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalframe.functions import scoring as sc
 
-FLAT_GENERATION_SCHEMA = T.StructType([
-    T.StructField("custom_id", T.StringType()), T.StructField("content", T.StringType())])
+GENERATION_SCHEMA = T.StructType([
+    T.StructField("seq", T.LongType()), T.StructField("custom_id", T.StringType()), T.StructField("content", T.StringType())])
+STATE_SCHEMA = "custom_id string, seq long, model string, lang string, benchmark string, correct int"
+FILES_PER_TRIGGER = 1000
 
 
-def running_accuracy(stream: DataFrame) -> DataFrame:
-    """Streaming plan: dedup by id → parse → score → running counts."""
-    s = stream.dropDuplicates(["custom_id"])
+def last_scores(answers: DataFrame) -> DataFrame:
+    """The score of each request's last answer: ``STATE_SCHEMA``."""
+    last = answers.groupBy("custom_id").agg(F.max(F.struct("seq", "content")).alias("a")).select("custom_id", "a.seq", "a.content")
     p = sc.parse_custom_id(F.col("custom_id"))
-    scored = s.select(p["model"].alias("model"), p["lang"].alias("lang"), p["benchmark"].alias("benchmark"),
-                      sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
-    return scored.groupBy("model", "lang", "benchmark").agg(
+    return last.select("custom_id", "seq", p["model"].alias("model"), p["lang"].alias("lang"), p["benchmark"].alias("benchmark"),
+                       sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
+
+
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    cols = ["seq", "model", "lang", "benchmark", "correct"]
+    return (old.unionByName(new).groupBy("custom_id").agg(F.max(F.struct(*cols)).alias("s"))
+            .select("custom_id", *[F.col(f"s.{c}").alias(c) for c in cols]))
+
+
+def running_accuracy(scores: DataFrame) -> DataFrame:
+    """Counts per (model, language, benchmark) of a table of last scores."""
+    return scores.groupBy("model", "lang", "benchmark").agg(
         F.count(F.lit(1)).alias("n_answers"), F.sum("correct").alias("n_correct"))
 
 
+def _newest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame:
+    """The newest epoch's table (older than ``before``); empty if there is none."""
+    try:
+        epochs = spark.read.schema(STATE_SCHEMA + ", epoch long").parquet(table_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATE_SCHEMA)
+    if before is not None:
+        epochs = epochs.filter(F.col("epoch") < before)
+    newest = epochs.agg(F.max("epoch")).first()[0]
+    return epochs.filter(F.col("epoch").eqNullSafe(F.lit(newest))).drop("epoch")  # partition pruning: one folder is read
+
+
 def run_available(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str,
-                  files_per_trigger: int = 1) -> DataFrame:
-    """Process everything currently in ``source_dir`` (``availableNow``) and return the result table."""
-    src = (spark.readStream.schema(FLAT_GENERATION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-           .json(source_dir))
+                  files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Process everything currently in ``source_dir`` (``availableNow``) and return the running counts."""
+    src = (spark.readStream.schema(GENERATION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source_dir))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_dir)
+        state = merged(_newest(spark, table_dir, epoch_id), last_scores(batch))
+        state.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch_id}")
 
-    plan = running_accuracy(src)
-    q = (plan.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(table_dir)
-    except Exception:  # nothing has arrived yet: empty running table
-        return spark.createDataFrame([], plan.schema)
+    return running_accuracy(_newest(spark, table_dir))

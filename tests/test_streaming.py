@@ -1,7 +1,8 @@
-"""STR1: the streaming scorer resumes from its checkpoint and ends equal to the batch aggregate."""
+"""STR1: the streaming scorer resumes from its checkpoint and ends equal to the batch rule (the last answer counts)."""
 
 from pyspark.sql import functions as F
 
+from evalframe.plans import catalog
 from evalframe.sources import files
 from evalframe.sources.tables import v_generations
 from evalframe.streaming import running_accuracy as stream
@@ -12,13 +13,34 @@ from conftest import SF_SMALL
 def test_resume_from_checkpoint_equals_batch(spark):
     base = files.scratch_path(spark, "stream-test")
     src, table, ckpt = f"{base}/answers", f"{base}/table", f"{base}/_checkpoint"
-    g = v_generations(spark, SF_SMALL).select("event_id", "custom_id", "content")
-    g.filter(F.col("event_id") < 3000).drop("event_id").write.json(src)
-    first = stream.run_available(spark, src, table, ckpt).agg(F.sum("n_answers")).first()[0]
-    assert first == g.filter(F.col("event_id") < 3000).count()
-    g.filter(F.col("event_id") >= 3000).drop("event_id").write.mode("append").json(src)  # new answers arrive
-    final = stream.run_available(spark, src, table, ckpt)                            # rerun resumes
-    batch = stream.running_accuracy(g.drop("event_id"))                                # same plan, batch mode
-    diff = final.exceptAll(batch).count() + batch.exceptAll(final).count()
-    assert diff == 0
-    assert final.agg(F.sum("n_answers")).first()[0] == g.count()
+    g = v_generations(spark, SF_SMALL).select(F.col("event_id").alias("seq"), "custom_id", "content")
+    assert g.count() > g.select("custom_id").distinct().count()  # requests answered twice
+    early = F.col("seq") < 600
+    g.filter(early).repartition(4).write.json(src)
+    first = stream.run_available(spark, src, table, ckpt, files_per_trigger=2)
+    assert first.agg(F.sum("n_answers")).first()[0] == g.filter(early).select("custom_id").distinct().count()
+    g.filter(~early).repartition(3).write.mode("append").json(src)        # new answers arrive, some to old requests
+    final = stream.run_available(spark, src, table, ckpt, files_per_trigger=1)  # rerun resumes
+    batch = stream.running_accuracy(stream.last_scores(g))
+    assert final.exceptAll(batch).count() == 0 and batch.exceptAll(final).count() == 0
+    total = final.groupBy("model", "benchmark", "lang").agg(F.sum("n_answers").alias("n"))
+    scored = catalog.queries()["score_generations"](spark, SF_SMALL).filter("n_answers > 0").select("model", "benchmark", "lang", F.col("n_answers").alias("n"))
+    assert total.exceptAll(scored).count() == 0 and scored.exceptAll(total).count() == 0
+
+
+def test_last_answer_wins_whatever_the_order_of_arrival(spark):
+    base = files.scratch_path(spark, "stream-order")
+    ids = "view-on-af-mmlu-virology-4-answer-A"
+    rows = [[(2, ids, "A")], [(1, ids, "")], [(3, ids, "B")]]
+    for k, want in ((2, 1), (3, 0)):
+        src = f"{base}/{k}/answers"
+        for part in rows[:k]:
+            spark.createDataFrame(part, "seq long, custom_id string, content string").write.mode("append").json(src)
+        got = stream.run_available(spark, src, f"{base}/{k}/table", f"{base}/{k}/c", files_per_trigger=1).collect()
+        assert [(r.n_answers, r.n_correct) for r in got] == [(1, want)]
+
+
+def test_nothing_has_arrived(spark):
+    base = files.scratch_path(spark, "stream-empty")
+    spark.createDataFrame([], "seq long, custom_id string, content string").write.json(f"{base}/answers")
+    assert stream.run_available(spark, f"{base}/answers", f"{base}/table", f"{base}/c").count() == 0
