@@ -7,13 +7,12 @@ except for report-sized results (``write_report_csv``).
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalframe.session import checkpoint_dir
+from evalframe.session import scratch_folder
 
 MC_ITEM_SCHEMA = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(6)])
 MC_ITEM_NAMES = ["question", "opt_a", "opt_b", "opt_c", "opt_d", "answer"]
@@ -24,7 +23,7 @@ CHAT_SCHEMA = T.StructType([
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared checkpoint dir (never a machine-local temp dir)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_folder(spark, name)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:

@@ -6,12 +6,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from evalframe.plans import catalog
 from evalframe.sources.tables import TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
+#: Queries whose result is empty on the smallest tables because what they look for is not there.
+MAY_BE_EMPTY: set[str] = set()
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
 
 
@@ -50,6 +53,7 @@ def test_query_matches_oracle(spark, duck, name):
     order = [rel.columns.index(c) for c in sdf.columns]
     drows = [tuple(r[i] for i in order) for r in rel.fetchall()]
     assert len(srows) == len(drows)
+    assert srows or name in MAY_BE_EMPTY, "nothing is compared"
     assert _sorted(srows) == _sorted(drows)
 
 
