@@ -3,13 +3,16 @@
 ``link`` is given posts (bucket, id) and a test of pairs. Two ids are linked if
 they share a bucket and pass the test; wanted are the connected components.
 
-1. Hub rounds: in each bucket only the hub (highest rank) is paired with the
-   members, so a bucket of n members costs n pairs. After each round the
-   components are updated; a bucket whose members are all in one component is
-   done. Groups of near copies mostly end here.
+1. Hub rounds, while the buckets hold more than ``FEW`` pairs per post: in each
+   bucket only the hub is paired with the members, so a bucket of n members
+   costs n pairs. The first hub is the member of the highest rank, later ones
+   the member most similar to a hub before, which leads to the middle of a group
+   (its original, where there is one). After each round the components are
+   updated; a bucket whose members are all in one component is done.
 2. The rest, exactly: in buckets that still hold several components, every
-   pair of members of different components is tested. Pairs inside a component
-   are never formed, pairs tested before are not tested again.
+   pair of members of different components is tested, but for those that a bound
+   of the caller rules out as the pairs are formed. Pairs inside a component are
+   never formed, pairs tested before are not tested again.
 
 So the components are those of the full graph: a pair that was never tested has
 both ends in one component already. Nothing is collected; all steps are joins
@@ -27,6 +30,8 @@ from evalframe.session import materialize
 
 #: Ids of this number (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Pairs per post up to which all pairs of different components are formed at once.
+FEW = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
     task and a skewed join that can be split.
     """
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -45,10 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == mark:
+        n = e.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+        if n["n"] == n["u"] and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():  # stars only
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        mark = now
 
 
 def shared(posts: DataFrame) -> DataFrame:
@@ -58,12 +61,15 @@ def shared(posts: DataFrame) -> DataFrame:
 
 
 def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None,
-         payload: tuple[str, ...] = (), rounds: int = 2) -> DataFrame:
+         payload: tuple[str, ...] = (), bound: Callable[[DataFrame], DataFrame] | None = None,
+         possible: Callable[[str, str], Column] | None = None, rounds: int = 2) -> DataFrame:
     """``(id, component)`` as ``components`` gives it.
 
     ``posts``: ``(bucket, id, rank, *payload)``. ``test`` maps pairs ``(a, b)``,
-    a < b, to those linked. ``near(x, y)`` is a cheap condition on the payload
-    columns with prefixes ``x`` and ``y``, applied as pairs are formed.
+    a < b, to the linked ones with their similarity, ``(a, b, score long)``. ``near(x, y)`` is a cheap condition on the payload
+    columns with prefixes ``x`` and ``y``, applied as pairs are formed. For the
+    rest, ``bound`` gives columns for its ids ``(id)``, and ``possible(x, y)`` is
+    a condition on them that every linked pair fulfils.
     """
     cols = ["id", *payload]
     ok = near if near is not None else lambda x, y: F.lit(True)
@@ -76,42 +82,65 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
         posts = x.alias("x").join(y.alias("y"), cond, "left_semi")
         posts = posts.select("bucket", *[F.col(f"x_{c}").alias(c) for c in ("id", "rank", *payload)])
     posts = materialize(posts, "posts")
-    tried, found, comp = None, None, None
+    n_posts = posts.count()
+    tried, found, last, used, comp = None, None, None, None, None
 
-    def named(df: DataFrame) -> DataFrame:
+    def labelled() -> DataFrame:
+        """Posts with the component ``c`` of their id as known so far."""
         if comp is None:
-            return df.withColumn("c", F.col("id"))
-        return df.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-
-    def tested(pairs: DataFrame) -> bool:
-        """Tests new pairs and updates the components; False if there were none to test."""
-        nonlocal tried, found, comp
+            return posts.withColumn("c", F.col("id"))
+        return materialize(posts.join(comp, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "posts")
+
+    def open_buckets(p: DataFrame) -> DataFrame:
+        """Buckets with several components: pairs across them, and the hub."""
+        if found is None:
+            order = [F.lit(0).alias("w"), "rank", (-F.col("id")).alias("first")]
+        else:
+            linked = last.select(F.col("a").alias("id"), "score").unionByName(last.select(F.col("b").alias("id"), "score"))
+            was = used.withColumn("score", F.lit(None).cast("long")).withColumn("u", F.lit(1))
+            worth = (linked.withColumn("u", F.lit(0)).unionByName(was).groupBy("id").agg(F.max("score").alias("w"), F.max("u").alias("u"))
+                     .select("id", F.when(F.col("u") == 1, -1).otherwise(F.col("w")).alias("w")))
+            p = p.join(worth, "id", "left")
+            order = [F.coalesce("w", F.lit(0)).alias("w"), "rank", (-F.col("id")).alias("first")]
+        parts = p.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.max(F.struct(*order, *cols, "c")).alias("h"))
+        b = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max("h").alias("h"))
+        return materialize(b.filter("k > 1").select("bucket", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("across"),
+                                                    *[F.col(f"h.{c}").alias(f"y_{c}") for c in [*cols, "c"]]), "buckets")
+
+    def tested(pairs: DataFrame) -> None:
+        """Tests the pairs that are new and updates the components."""
+        nonlocal tried, found, last, comp
         pairs = pairs.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            return False
+            return
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = materialize(test(pairs), "links")
-        found = new if found is None else found.unionByName(new)
+        last = materialize(test(pairs), "links")
+        found = last if found is None else found.unionByName(last)
         comp = components(found)
-        return True
 
     def side(df: DataFrame, p: str) -> DataFrame:
         return df.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in [*cols, "c"]])
 
-    for r in range(rounds):
-        p = named(posts)
-        order = F.col("rank") if r == 0 else F.xxhash64("id", F.lit(r))
-        b = p.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max(F.struct(order.alias("o"), *cols, "c")).alias("h"))
-        hubs = b.filter("lo < hi").select("bucket", *[F.col(f"h.{c}").alias(f"y_{c}") for c in [*cols, "c"]])
-        if not tested(side(p, "x").join(hubs, "bucket").filter((F.col("x_c") != F.col("y_c")) & ok("x", "y"))) and r == 0:
+    for r in range(rounds + 1):
+        p = labelled()
+        b = open_buckets(p)
+        left = b.agg(F.sum("across")).first()[0] or 0
+        if left <= FEW * n_posts or r == rounds:
             break
-    p = named(posts)
-    b = p.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket")
-    rest = materialize(p.join(b, "bucket").select("bucket", *cols, "c"), "rest")
-    tested(side(rest, "x").join(side(rest, "y"), "bucket").filter((F.col("x_c") < F.col("y_c")) & ok("x", "y")))
+        tested(side(p, "x").join(b.drop("across"), "bucket").filter((F.col("x_c") != F.col("y_c")) & ok("x", "y")))
+        hubs = b.select(F.col("y_id").alias("id")).distinct()
+        used = hubs if used is None else used.unionByName(hubs)
+    if left:
+        rest = materialize(p.join(b.select("bucket"), "bucket").select("bucket", *cols, "c"), "rest")
+        also = lambda x, y: F.lit(True)
+        if bound is not None:
+            extra = bound(rest.select("id").distinct())
+            cols += [c for c in extra.columns if c != "id"]
+            rest, also = materialize(rest.join(extra, "id"), "rest"), possible
+        tested(side(rest, "x").join(side(rest, "y"), "bucket").filter((F.col("x_c") < F.col("y_c")) & ok("x", "y") & also("x", "y")))
     return comp if comp is not None else posts.limit(0).select("id", F.col("id").alias("component"))
 
 

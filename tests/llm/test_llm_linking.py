@@ -45,7 +45,7 @@ def test_link_finds_the_components_of_all_pairs(spark, seed):
 
     def test(pairs):
         x = pairs.join(where.toDF("a", "pa"), "a").join(where.toDF("b", "pb"), "b")
-        return x.filter(F.abs(F.col("pa") - F.col("pb")) <= 2).select("a", "b")
+        return x.filter(F.abs(F.col("pa") - F.col("pb")) <= 2).select("a", "b", F.lit(1).cast("long").alias("score"))
 
     got = labels(link(spark.createDataFrame(posts, "bucket long, id long, rank long"), test))
     assert {i: got.get(i, i) for i in pos} == {i: u.find(i) for i in pos}
@@ -56,7 +56,7 @@ def test_hub_of_a_large_group_costs_no_pairs(spark):
 
     def test(pairs):
         seen.append(pairs.count())
-        return pairs
+        return pairs.withColumn("score", F.lit(1).cast("long"))
 
     posts = spark.range(n).select(F.explode(F.array(F.lit(1), F.lit(2))).alias("bucket"), "id", F.lit(0).alias("rank"))
     assert set(labels(link(posts, test)).values()) == {0}
