@@ -10,9 +10,9 @@ they share a bucket and pass the test; wanted are the connected components.
    (its original, where there is one). After each round the components are
    updated; a bucket whose members are all in one component is done.
 2. The rest, exactly: in buckets that still hold several components, every
-   pair of members of different components is tested, but for those that a bound
-   of the caller rules out as the pairs are formed. Pairs inside a component are
-   never formed, pairs tested before are not tested again.
+   pair of members of different components is tested. The caller can give a bound
+   that linked pairs fulfil, and a test that runs inside the join, so that only
+   links leave it. Pairs inside a component are never formed.
 
 So the components are those of the full graph: a pair that was never tested has
 both ends in one component already. Nothing is collected; all steps are joins
@@ -62,14 +62,16 @@ def shared(posts: DataFrame) -> DataFrame:
 
 def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None,
          payload: tuple[str, ...] = (), bound: Callable[[DataFrame], DataFrame] | None = None,
-         possible: Callable[[str, str], Column] | None = None, rounds: int = 2) -> DataFrame:
+         possible: Callable[[str, str], Column] | None = None,
+         inside: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, rounds: int = 2) -> DataFrame:
     """``(id, component)`` as ``components`` gives it.
 
     ``posts``: ``(bucket, id, rank, *payload)``. ``test`` maps pairs ``(a, b)``,
     a < b, to the linked ones with their similarity, ``(a, b, score long)``. ``near(x, y)`` is a cheap condition on the payload
     columns with prefixes ``x`` and ``y``, applied as pairs are formed. For the
     rest, ``bound`` gives columns for its ids ``(id)``, and ``possible(x, y)`` is
-    a condition on them that every linked pair fulfils.
+    a condition on them that every linked pair fulfils; ``inside`` gives columns
+    for those that may have a partner, and the exact test on them as a condition.
     """
     cols = ["id", *payload]
     ok = near if near is not None else lambda x, y: F.lit(True)
@@ -140,7 +142,21 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
             extra = bound(rest.select("id").distinct())
             cols += [c for c in extra.columns if c != "id"]
             rest, also = materialize(rest.join(extra, "id"), "rest"), possible
-        tested(side(rest, "x").join(side(rest, "y"), "bucket").filter((F.col("x_c") < F.col("y_c")) & ok("x", "y") & also("x", "y")))
+        pair = lambda x, y: ok(x, y) & also(x, y)
+        if inside is None:
+            tested(side(rest, "x").join(side(rest, "y"), "bucket").filter((F.col("x_c") < F.col("y_c")) & pair("x", "y")))
+        else:
+            extra, linked = inside
+            x, y = side(rest, "x").alias("x"), side(rest, "y").alias("y")
+            met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_c") != F.col("y_c")) & pair("x", "y"), "left_semi")
+            met = materialize(met.select("bucket", *[F.col(f"x_{c}").alias(c) for c in [*cols, "c"]]), "met")
+            more = extra(met.select("id").distinct())
+            cols += [c for c in more.columns if c != "id"]
+            met = materialize(met.join(more, "id"), "met")
+            x, y = side(met, "x").alias("x"), side(met, "y").alias("y")
+            cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_c") < F.col("y_c")) & pair("x", "y") & linked("x", "y")
+            new = materialize(x.join(y, cond).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.lit(1).cast("long").alias("score")), "links")
+            comp = components(new if found is None else found.unionByName(new))
     return comp if comp is not None else posts.limit(0).select("id", F.col("id").alias("component"))
 
 
