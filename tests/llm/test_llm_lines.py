@@ -20,7 +20,7 @@ def norm(line):
     return re.sub("[0-9]+", "0", " ".join(words(line))).lower()
 
 
-def brute(docs, profiles, blocks=4, bits=8, edit=0.9):
+def brute(docs, profiles, blocks=4, bits=8, edit=0.85):
     """{doc: text} from the lines' profiles by comparing all pairs of lines."""
     text, sig, occ = {}, {}, []
     for r in profiles:
@@ -29,10 +29,11 @@ def brute(docs, profiles, blocks=4, bits=8, edit=0.9):
     ids, u, m = sorted(text), Union(text), (1 << 64 // blocks) - 1
     for k, a in enumerate(ids):
         for b in ids[k + 1:]:
-            x, long = sig[a] ^ sig[b], max(len(text[a]), len(text[b]))
-            if x.bit_count() > bits or min(len(text[a]), len(text[b])) < edit * long or all((x >> (64 // blocks * j)) & m for j in range(blocks)):
+            x, p, q = sig[a] ^ sig[b], text[a].split(), text[b].split()
+            long = max(len(p), len(q))
+            if x.bit_count() > bits or min(len(p), len(q)) < edit * long or all((x >> (64 // blocks * j)) & m for j in range(blocks)):
                 continue
-            if distance(text[a], text[b]) <= int((1 - edit) * long + 1e-9):
+            if distance(p, q) <= int((1 - edit) * long + 1e-9):
                 u.join(a, b)
     seen, lost = set(), {d: set() for d in docs}
     for d, line, h in sorted(occ):
