@@ -63,10 +63,12 @@ def shared(posts: DataFrame) -> DataFrame:
 def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None,
          payload: tuple[str, ...] = (), bound: Callable[[DataFrame], DataFrame] | None = None,
          possible: Callable[[str, str], Column] | None = None,
-         inside: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None, rounds: int = 2) -> DataFrame:
+         inside: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
+         ranks: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """``(id, component)`` as ``components`` gives it.
 
-    ``posts``: ``(bucket, id, rank, *payload)``. ``test`` maps pairs ``(a, b)``,
+    ``posts``: ``(bucket, id, rank, *payload)``; with ``near``, ranks come from
+    ``ranks (id, rank)`` instead and are added once posts are few. ``test`` maps pairs ``(a, b)``,
     a < b, to the linked ones with their similarity, ``(a, b, score long)``. ``near(x, y)`` is a cheap condition on the payload
     columns with prefixes ``x`` and ``y``, applied as pairs are formed. For the
     rest, ``bound`` gives columns for its ids ``(id)``, and ``possible(x, y)`` is
@@ -75,14 +77,13 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     """
     cols = ["id", *payload]
     ok = near if near is not None else lambda x, y: F.lit(True)
-    posts = posts.select("bucket", "id", "rank", *payload)
     if near is None:
-        posts = shared(posts)
+        posts = shared(posts.select("bucket", "id", "rank", *payload))
     else:  # only posts with a near one in their bucket; a semi-join stops at the first and emits no pairs
-        x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "rank", *payload)]) for p in "xy"]
+        x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols]).alias(p) for p in "xy"]
         cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_id") != F.col("y_id")) & near("x", "y")
-        posts = x.alias("x").join(y.alias("y"), cond, "left_semi")
-        posts = posts.select("bucket", *[F.col(f"x_{c}").alias(c) for c in ("id", "rank", *payload)])
+        met = materialize(x.join(y, cond, "left_semi").select("bucket", *[F.col(f"x_{c}").alias(c) for c in cols]), "posts")
+        posts = met.join(ranks, "id").select("bucket", "id", "rank", *payload)
     posts = materialize(posts, "posts")
     n_posts = posts.count()
     tried, found, last, used, comp = None, None, None, None, None
