@@ -151,7 +151,7 @@ def acc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 HEADLINE_BENCH = ["belebele", "winogrande", "mmlu-college_medicine", "mmlu-clinical_knowledge", "mmlu-virology"]
 
 
-@register("report_headline", f"""
+HEADLINE_SQL = f"""
 WITH per AS (
   SELECT model, benchmark, eval_lang, {TENTHS_SQL} AS tenths
   FROM v_responses WHERE {OOB_SQL}
@@ -174,7 +174,10 @@ long AS (
 SELECT row_label, CAST(row_order AS BIGINT) AS row_order,
   {", ".join(f"round(max(CASE WHEN benchmark = '{b}' THEN tenths END) / 10.0, 6) AS {_bench_col(b)}" for b in HEADLINE_BENCH)}
 FROM long GROUP BY row_label, row_order
-""")
+"""
+
+
+@register("report_headline", HEADLINE_SQL)
 def report_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English flagship vs African average per model, random baseline, gap (A-T1)."""
     r = acc.out_of_box(cells(spark, sf_dir))

@@ -108,7 +108,7 @@ def release_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce(F.col("n_written") == F.col("n_expected"), F.lit(False)).alias("counts_match"))
 
 
-@register("snk_report_csv")
+@register("snk_report_csv", accuracy_reports.HEADLINE_SQL)
 def snk_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1: the headline report written as one ordered CSV (report-sized) and read back."""
     path = files.scratch_path(spark, "report")

@@ -41,7 +41,7 @@ def test_every_query_is_registered_with_an_oracle_or_is_rows_only():
     assert len(QUERIES) >= 120
     assert set(ORACLE) <= set(QUERIES)
     assert ROWS_ONLY == ["permutation_importance", "predictor_report", "predictor_report_quality",
-                         "predictor_report_with_quality", "rf_fit_predict", "snk_report_csv"]
+                         "predictor_report_with_quality", "rf_fit_predict"]
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
