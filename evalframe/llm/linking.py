@@ -64,7 +64,7 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
          payload: tuple[str, ...] = (), bound: Callable[[DataFrame], DataFrame] | None = None,
          possible: Callable[[str, str], Column] | None = None,
          inside: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
-         ranks: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+         ranks: DataFrame | None = None, rounds: int = 1) -> DataFrame:
     """``(id, component)`` as ``components`` gives it.
 
     ``posts``: ``(bucket, id, rank, *payload)``; with ``near``, ranks come from
@@ -78,7 +78,7 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     cols = ["id", *payload]
     ok = near if near is not None else lambda x, y: F.lit(True)
     if near is None:
-        posts = shared(posts.select("bucket", "id", "rank", *payload))
+        posts = shared(materialize(posts.select("bucket", "id", "rank", *payload), "posts"))
     else:  # only posts with a near one in their bucket; a semi-join stops at the first and emits no pairs
         x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols]).alias(p) for p in "xy"]
         cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_id") != F.col("y_id")) & near("x", "y")
