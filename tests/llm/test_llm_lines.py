@@ -77,12 +77,14 @@ def test_quality_query_matches_sql(spark):
 def test_quality_edges_match_sql(spark, tmp_path):
     import pyarrow.parquet as pq
 
-    body = " ".join(f"w{k}" for k in range(60))
-    rows = [(k, f"{body} {k} only here\n" + "Common 12 line of the host\n" * (k % 3), f"h{k % 2}", 1) for k in range(80)]
+    own = lambda k: " ".join(chr(97 + (7 * k + j) % 26) * (1 + j % 9) + chr(97 + k % 26) + chr(97 + k // 26) for j in range(60))
+    shared = " ".join(chr(97 + j % 26) * 3 + chr(97 + j // 26) for j in range(80))
+    rows = [(k, f"{own(k)} {k} only here\n" + "Common 12 line of the host\n" * (k % 3), f"h{k % 2}", 1) for k in range(80)]
     rows += [(100 + k, "Common 7 line of the  HOST\n" * 30, "h0", 1) for k in range(3)]
     rows += [(200, None, None, 1), (201, "", "h0", 1), (202, " \t\n\x0b", "h1", 1), (203, "a b a b a b a b", "h1", 1), (204, "x y", "h1", 1),
              (205, "#*$%&|<> é z " * 30, None, 1), (206, "same same same " * 40, "h1", 1), (0, rows[0][1], "h0", 1)]
     rows += [(300 + k, "boiler plate of a host that comes again\n" * 1 + " ".join(f"b{j}" for j in range(k, k + 20)) + "\n" + " ".join(f"q{j}" for j in range(50)), "h2", 1) for k in range(40)]
+    rows += [(400 + k, f"{shared}\nfew words of its own {chr(97 + k % 26)}{chr(97 + k // 26)}", "h3", 1) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lines int").coalesce(1)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = same(registry.queries()["op8_line_quality"](spark, str(tmp_path)), registry.oracle_sql()["op8_line_quality"], documents=pq.read_table(f"{tmp_path}/documents.parquet"))
