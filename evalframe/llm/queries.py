@@ -161,7 +161,7 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_fuzzy_lines")
 def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that occur, exactly or nearly, earlier in the table."""
-    x = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), stored=True)
+    x = fuzzy_lines.dedup_lines(_table(spark, sf_dir, "documents"), stored=True, whole=True)
     return x.select("doc_id", "n_lines", "n_removed", "text")
 
 

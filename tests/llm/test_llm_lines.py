@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -105,3 +106,43 @@ def test_native_plans_run_no_python(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert duck("SELECT 1")[1] == [(1,)]
+
+
+def by_edits(docs, linked):
+    """{doc: text} by comparing all pairs of lines with ``linked(a, b)`` on their normal texts."""
+    occ = [(d, i, norm(x)) for d, t in sorted(docs.items()) for i, x in enumerate(t.split("\n")) if words(x)]
+    ids = sorted({t for *_, t in occ})
+    u = Union(ids)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            if linked(a, b):
+                u.join(a, b)
+    seen, lost = set(), set()
+    for d, i, t in occ:
+        if u.find(t) in seen:
+            lost.add((d, i))
+        seen.add(u.find(t))
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in lost) for d, t in docs.items()}
+
+
+def word_linked(a, b, edit=0.85):
+    p, q = a.split(), b.split()
+    limit = int((1 - edit) * max(len(p), len(q)) + 1e-9)
+    return abs(len(p) - len(q)) <= limit and distance(p, q) <= limit
+
+
+def test_pairs_at_the_threshold_are_all_found(spark):
+    """Near copies with as many edited words as the threshold allows (SimHashes far apart), and one word more."""
+    rng, docs = random.Random(3), {}
+    for k in range(60):
+        n = rng.choice((9, 13, 14, 20, 40, 41, 200))
+        line = [f"{rng.choice('abcdefg')}{rng.choice('xyz')}{rng.choice('mnopq')}" for _ in range(n)]
+        copy, d = list(line), int(0.15 * n + 1e-9) + k % 5 // 4
+        for i in sorted(rng.sample(range(n), d), reverse=True):
+            kind = rng.randrange(3)
+            copy[i:i + 1] = [["new" + chr(97 + i % 26)], [], [copy[i], "more"]][kind]
+        docs |= {2 * k: " ".join(line), 2 * k + 1: " ".join(copy)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(2)
+    want = by_edits(docs, word_linked)
+    assert sum(not t for t in want.values()) > 40
+    assert {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(df, whole=True).collect()} == want
