@@ -146,3 +146,25 @@ def test_pairs_at_the_threshold_are_all_found(spark):
     want = by_edits(docs, word_linked)
     assert sum(not t for t in want.values()) > 40
     assert {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(df, whole=True).collect()} == want
+
+
+def test_short_lines_are_compared_by_characters(spark):
+    rng = random.Random(4)
+    lines = ["Sign up for our newsletter today", "Sign up for our newsletters today", "Sign up for our news letter today",
+             "sign up for her newspaper soon", "a b c d", "a b c e", "a b cd e", "read more of it", "read more of lt", "“read more of it”"]
+    for _ in range(40):
+        line = " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(3, 10)))
+        copy = list(line)
+        for i in rng.sample([i for i, c in enumerate(line) if c != " "], rng.randrange(1, 2 + int(0.15 * len(line)))):
+            copy[i] = rng.choice(["", "x", copy[i] + "y"])
+        lines += [line, "".join(copy)]
+    docs = dict(enumerate(lines))
+
+    def linked(a, b):
+        short = all(3 <= len(x.split()) <= 8 for x in (a, b))
+        return word_linked(a, b) or short and distance(a, b) <= int(0.15 * max(len(a), len(b)) + 1e-9)
+
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(2)
+    want = by_edits(docs, linked)
+    assert want[1] == want[2] == "" and 20 < sum(not t for t in want.values()) < 45
+    assert {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(df, whole=True).collect()} == want
