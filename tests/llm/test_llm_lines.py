@@ -168,3 +168,16 @@ def test_short_lines_are_compared_by_characters(spark):
     want = by_edits(docs, linked)
     assert want[1] == want[2] == "" and 20 < sum(not t for t in want.values()) < 45
     assert {r.doc_id: r.text for r in fuzzy_lines.dedup_lines(df, whole=True).collect()} == want
+
+
+def test_lines_of_any_length(spark):
+    """Lines below and above the SimHash's word counts, and one without blanks."""
+    rng = random.Random(5)
+    long = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(17_000)]
+    near, far = list(long), list(long)
+    near[::8], far[::5] = ["new"] * len(near[::8]), ["other"] * len(far[::5])
+    chinese = "我们都是好人" * 40
+    lines = ["Les.", "LES.", "Lea.", "two words", "two  words", chinese, chinese, " ".join(long), " ".join(near), " ".join(far), " "]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(2)
+    gone = {r.doc_id for r in fuzzy_lines.dedup_lines(df, whole=True).collect() if r.n_removed}
+    assert gone == {1, 4, 6, 8}
