@@ -1,24 +1,19 @@
-"""Embedding near-duplicates by a robust-pruned flat graph.
+"""Embedding near-duplicates: overlapping shards, compared whole.
 
 1. Vectors are normalised in double precision; equal ones are one representative
    with a weight. Centroids are fitted on a bounded sample (``MAX_SAMPLE``);
    every representative is placed in the shards of its ``overlap`` nearest
    centroids, so shards overlap.
-2. In each shard every node keeps at most ``DEGREE`` neighbours by robust pruning
-   (a candidate is left out if a chosen neighbour is ``ALPHA`` times closer to it
-   than the node is). The lists of a node's shards are united.
-3. Search: each representative is a query in its home shard. Greedy search starts
-   from the shard's medoid and the query's own node; then the range is expanded:
-   nodes at or above the threshold are followed until none is new. Cosines are
-   computed exactly, so no pair below the threshold is linked.
-4. Audit: ``AUDIT`` queries (by hash) are compared with all rows by brute force.
+2. Search: each representative is a query in its home shard and is compared
+   with all rows there, block by block, so the links inside a shard are whole.
+3. Audit: ``AUDIT`` queries (by hash) are compared with all rows by brute force.
    If recall is below ``MIN_RECALL``, the overlap is doubled and the work is
    done again, up to all shards, where it is exact.
 
 Links are counted in the tasks; what leaves them is a count per query and a
 spanning forest, never the pairs of a group. A shard of more than ``BLOCK``
-rows is cut into blocks, each with a graph of its own, and every block of
-queries searches every block, so a task's memory is bounded.
+rows is cut into blocks, and every block of queries is compared with every
+block, so a task's memory is bounded.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing (a component of their own); vectors of different
@@ -42,7 +37,7 @@ from evalframe.session import materialize
 
 PER_CLUSTER, MAX_CLUSTERS, MAX_SAMPLE = 400, 4096, 40_000
 OVERLAP, BLOCK = 4, 2500
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 24, 1.2, 16
+DEGREE, ALPHA = 24, 1.2
 AUDIT, MIN_RECALL = 256, 0.9
 
 
@@ -91,7 +86,7 @@ def fit_centroids(sample: np.ndarray, k: int, steps: int = 8) -> np.ndarray:
 
 
 def prune(i: int, cand: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Robust pruning of a node's candidates (nearest first); ``sims`` is the shard's cosine matrix."""
+    """Robust pruning of a node's candidates (nearest first); ``sims`` is the shard's cosine matrix. Not used by the search, which compares whole blocks."""
     d = np.sqrt(np.maximum(0.0, 2 - 2 * sims[i, cand]))
     alive, chosen = np.ones(len(cand), dtype=bool), []
     for j in range(len(cand)):
@@ -104,48 +99,6 @@ def prune(i: int, cand: np.ndarray, sims: np.ndarray, degree: int = DEGREE, alph
     return chosen
 
 
-def build_graph(v: np.ndarray, candidates: int = CANDIDATES) -> list[list[int]]:
-    """Pruned neighbour lists of a block's rows, with the reverse edges that room is left for."""
-    m = len(v)
-    if m < 2:
-        return [[] for _ in range(m)]
-    sims = v @ v.T
-    np.fill_diagonal(sims, -2)
-    c = min(candidates, m - 1)
-    near = np.argpartition(-sims, c - 1, axis=1)[:, :c]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable"), axis=1)
-    lists = [prune(i, near[i], sims) for i in range(m)]
-    have = [set(x) for x in lists]
-    for i, x in enumerate(lists):
-        for j in x:
-            if i not in have[j] and len(have[j]) < 2 * DEGREE:
-                have[j].add(i)
-    return [sorted(x) for x in have]
-
-
-def range_search(q: np.ndarray, entries: list[int], v: np.ndarray, adj: np.ndarray, threshold: float, beam: int = BEAM) -> np.ndarray:
-    """Rows of ``v`` found at or above the threshold: greedy from the entries, then expanding inside the range."""
-    seen = np.zeros(len(v) + 1, dtype=bool)
-    done = np.zeros(len(v), dtype=bool)
-    seen[-1] = True  # the padding of adjacency rows
-    nodes = np.unique(np.array(entries))
-    seen[nodes] = True
-    score = v[nodes] @ q
-    while True:
-        best = nodes[np.argsort(-score, kind="stable")[:beam]] if len(nodes) > beam else nodes
-        go = np.concatenate([best, nodes[score >= threshold]])
-        go = np.unique(go[~done[go]])
-        if not len(go):
-            return nodes[score >= threshold]
-        done[go] = True
-        new = np.unique(adj[go])
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            nodes = np.concatenate([nodes, new])
-            score = np.concatenate([score, v[new] @ q])
-
-
 def _matrix(raw) -> np.ndarray:
     return np.stack([np.frombuffer(x, np.float64) for x in raw]) if len(raw) else np.zeros((0, 1))
 
@@ -173,15 +126,7 @@ def _search(placed: DataFrame, threshold: float, block: int) -> DataFrame:
     blocks = F.ceil(F.count("*") / block).cast("int").alias("nb")
     sizes = F.broadcast(spread.groupBy("c").agg(blocks))  # a row per centroid: MAX_CLUSTERS at most
     member = materialize(spread.join(sizes, "c").withColumn("gb", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "vec-shards")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "n": [ids[x].tolist() for x in build_graph(_matrix(pdf["v"].tolist()))]})
-
-    lists = member.select("c", "gb", "id", "v").groupBy("c", "gb").applyInPandas(build, "id long, n array<long>")
-    flat = materialize(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("n"))).alias("n")), "vec-graph")
-    graph = member.join(flat, "id").select("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("qb"), "gb", "id", "w", "v", "n")
+    nodes = member.select("c", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("qb"), "gb", "id", "w", "v")
     home = placed.select("id", "v", F.col("places")[0].alias("c")).join(sizes, "c")
     ask = home.select("c", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int").alias("qb"),
                       F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("gb"), "id", "v")
@@ -192,43 +137,26 @@ def _search(placed: DataFrame, threshold: float, block: int) -> DataFrame:
         nodes = nodes.sort_values("id", kind="stable")
         ids, w, v = nodes["id"].to_numpy(), nodes["w"].to_numpy(), _matrix(nodes["v"].tolist())
         at = {i: k for k, i in enumerate(ids.tolist())}
-        rows = [[at[j] for j in n if j in at] for n in nodes["n"]]
-        adj = np.full((len(ids), max(1, max(map(len, rows)))), len(ids))
-        for k, r in enumerate(rows):
-            adj[k, :len(r)] = r
-        centre = v.mean(axis=0)
-        medoid = int(np.argmax(v @ centre))
-        up = list(range(len(ids)))
-
-        def root(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        a, b, links, other = [], [], [], {}
-        for i, raw in zip(asked["id"].tolist(), asked["v"]):
+        hits = _matrix(asked["v"].tolist()) @ v.T >= threshold
+        group = np.arange(len(ids))  # each row's group so far, named by its first row
+        a, b, links = [], [], []
+        for i, hit in zip(asked["id"].tolist(), hits):
             own = at.get(i)
-            q = np.frombuffer(raw, np.float64)
-            found = range_search(q, [medoid] if own is None else [medoid, own], v, adj, threshold)
             if own is not None:
-                found = found[found != own]
+                hit[own] = False
+            found = np.flatnonzero(hit)
             a.append(i), b.append(None), links.append(int(w[found].sum()))
             if len(found):
-                for x in found.tolist() if own is not None else found[1:].tolist():
-                    p, r = root(x), root(own if own is not None else int(found[0]))
-                    if p != r:
-                        up[max(p, r)] = min(p, r)
+                met = np.unique(group[found if own is None else np.append(found, own)])
+                if len(met) > 1:
+                    group[np.isin(group, met)] = met[0]
                 if own is None:
-                    other[i] = int(found[0])
-        for x in range(len(ids)):
-            if root(x) != x:
-                a.append(int(ids[x])), b.append(int(ids[root(x)])), links.append(None)
-        for i, x in other.items():
-            a.append(i), b.append(int(ids[x])), links.append(None)
+                    a.append(i), b.append(int(ids[found[0]])), links.append(None)
+        for x in np.flatnonzero(group != np.arange(len(ids))):
+            a.append(int(ids[x])), b.append(int(ids[group[x]])), links.append(None)
         return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "links": pd.array(links, "Int64")})
 
-    return materialize(ask.groupBy("c", "qb", "gb").cogroup(graph.groupBy("c", "qb", "gb"))
+    return materialize(ask.groupBy("c", "qb", "gb").cogroup(nodes.groupBy("c", "qb", "gb"))
                        .applyInPandas(lambda x, y: search(x, y), "a long, b long, links long"), "vec-links")
 
 

@@ -67,3 +67,28 @@ def test_audit_sees_missing_links(spark):
     full = spark.createDataFrame([(k, 3) for k in range(4)], "id long, links long")
     half = spark.createDataFrame([(k, 1) for k in range(4)], "id long, links long")
     assert embed_dedup.audit(reps, full, 0.9) == 1.0 and abs(embed_dedup.audit(reps, half, 0.9) - 1 / 3) < 1e-9
+
+
+def groups(sizes, dim=64, seed=6, noise=0.03):
+    rng, rows = np.random.default_rng(seed), []
+    for size in sizes:
+        base = rng.normal(size=dim)
+        rows += [(base + rng.normal(size=dim) * noise).tolist() for _ in range(size)]
+    return list(enumerate(rows))
+
+
+def exact(rows, threshold=0.9):
+    """{id: links} by all cosines."""
+    v = np.array([x for _, x in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return {i: int(n) for (i, _), n in zip(rows, (v @ v.T >= threshold).sum(axis=1) - 1)}
+
+
+def test_blocks_of_a_shard_are_compared_whole(spark, monkeypatch):
+    """One shard in several blocks, groups with many members in each block."""
+    monkeypatch.setattr(embed_dedup, "PER_CLUSTER", 10**9)
+    rows = groups([130] * 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    got = embed_dedup.near_vectors(df, block=500).collect()
+    assert {r.vec_id: r.n_links for r in got} == exact(rows)
+    assert {r.vec_id: r.component_id for r in got} == {i: i // 130 * 130 for i, _ in rows}
