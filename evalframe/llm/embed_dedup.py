@@ -7,8 +7,10 @@
 2. Search: each representative is a query in its home shard and is compared
    with all rows there, block by block, so the links inside a shard are whole.
 3. Audit: ``AUDIT`` queries (by hash) are compared with all rows by brute force.
-   If recall is below ``MIN_RECALL``, the overlap is doubled and the work is
-   done again, up to all shards, where it is exact.
+   If recall, in total or per query of a class of group sizes, is below
+   ``MIN_RECALL``, the overlap is doubled and the work is done again. Once it
+   reaches the number of centroids, all rows are one shard, so every block is
+   compared with every block and no pair is left out: there is nothing to audit.
 
 Links are counted in the tasks; what leaves them is a count per query and a
 spanning forest, never the pairs of a group. A shard of more than ``BLOCK``
@@ -38,7 +40,7 @@ from evalframe.session import materialize
 PER_CLUSTER, MAX_CLUSTERS, MAX_SAMPLE = 400, 4096, 40_000
 OVERLAP, BLOCK = 4, 2500
 DEGREE, ALPHA = 24, 1.2
-AUDIT, MIN_RECALL = 256, 0.9
+AUDIT, MIN_RECALL, CLASS = 256, 0.9, 8
 
 
 def unit(v) -> np.ndarray | None:
@@ -161,8 +163,15 @@ def _search(placed: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def audit(reps: DataFrame, counts: DataFrame, threshold: float, n: int = AUDIT) -> float:
-    """Share of the true links of ``n`` queries (by hash) that ``counts (id, links)`` has; all rows are looked at."""
-    asked = reps.join(counts, "id").orderBy(F.xxhash64("id"), "id").limit(n).select("id", "v", "links").collect()
+    """Recall of ``counts (id, links)`` on ``n`` queries (by hash), all rows being looked at.
+
+    The lowest of the share of all true links and the mean share per query in
+    each class of queries with about as many true links (powers of two, classes
+    of less than ``CLASS`` queries together), so that a large group does not
+    outweigh the losses of small ones.
+    """
+    asked = (reps.join(counts, "id", "left").orderBy(F.xxhash64("id"), "id").limit(n)
+             .select("id", "v", F.coalesce("links", F.lit(0)).alias("links")).collect())
     if not asked:
         return 1.0
     q, own = _matrix([r["v"] for r in asked]), np.array([r["id"] for r in asked])
@@ -178,8 +187,19 @@ def audit(reps: DataFrame, counts: DataFrame, threshold: float, n: int = AUDIT)
         yield from batched(((int(i), int(t)) for i, t in zip(ids, total)), schema)
 
     schema = arrow_schema("id long, n long")
-    true = reps.select("id", "w", "v").mapInArrow(run, "id long, n long").agg(F.sum("n")).first()[0] or 0
-    return sum(r["links"] for r in asked) / true if true else 1.0
+    sums = reps.select("id", "w", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = {r["id"]: r["n"] for r in sums.collect()}  # a row per query
+    pairs = [(r["links"], true.get(r["id"]) or 0) for r in asked]
+    pairs = [(got, of) for got, of in pairs if of]
+    if not pairs:
+        return 1.0
+    classes, few = {}, []
+    for got, of in pairs:
+        classes.setdefault(of.bit_length(), []).append(got / of)
+    for k in [k for k, x in classes.items() if len(x) < CLASS]:
+        few += classes.pop(k)
+    means = [sum(x) / len(x) for x in [*classes.values(), few] if x]
+    return min([sum(got for got, _ in pairs) / sum(of for _, of in pairs), *means])
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding",
@@ -195,9 +215,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
         sample = _matrix([r["v"] for r in reps.orderBy(F.xxhash64("id"), "id").limit(min(MAX_SAMPLE, 50 * k)).select("v").collect()])
         centroids, wide = fit_centroids(sample, min(k, len(sample))), overlap
         while True:
-            found = _search(_shards(reps, centroids, wide), threshold, block)
+            last = wide >= len(centroids)  # one shard of all rows, compared with itself block by block: exact
+            found = _search(_shards(reps, centroids[:1] if last else centroids, 1 if last else wide), threshold, block)
             c = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-            if wide >= len(centroids) or audit(reps, c, threshold) >= min_recall:
+            if last or audit(reps, c, threshold) >= min_recall:
                 break
             wide *= 2
         e = found.filter("b is not null").select("a", "b")

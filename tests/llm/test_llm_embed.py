@@ -92,3 +92,25 @@ def test_blocks_of_a_shard_are_compared_whole(spark, monkeypatch):
     got = embed_dedup.near_vectors(df, block=500).collect()
     assert {r.vec_id: r.n_links for r in got} == exact(rows)
     assert {r.vec_id: r.component_id for r in got} == {i: i // 130 * 130 for i, _ in rows}
+
+
+def test_audit_sees_losses_of_small_groups(spark):
+    """A complete group of 100 outweighs in links what 50 pairs lose."""
+    e = lambda k: np.eye(51)[k].tobytes()
+    reps = spark.createDataFrame([(k, 1, e(50)) for k in range(100)] + [(100 + k, 1, e(k // 2)) for k in range(100)], "id long, w long, v binary")
+    counts = spark.createDataFrame([(k, 99) for k in range(100)] + [(100 + k, 0) for k in range(100)], "id long, links long")
+    assert embed_dedup.audit(reps, counts, 0.9) == 0.0
+    assert embed_dedup.audit(reps, counts.filter("id < 100"), 0.9) == 0.0
+
+
+@pytest.mark.parametrize("overlap", [1, 64])
+def test_small_groups_beside_a_hot_one(spark, monkeypatch, overlap):
+    """Groups cut by shards: the rounds go on until no class of groups loses links, or all rows are compared."""
+    monkeypatch.setattr(embed_dedup, "PER_CLUSTER", 40)
+    rows = groups([250] + [3] * 100, dim=12, noise=0.15)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(2)
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df, overlap=overlap, block=100).collect()}
+    want = exact(rows)
+    small = [i for i, n in want.items() if 0 < n < 30]
+    assert all(found[i] <= want[i] for i in want) and sum(found[i] for i in small) >= 0.9 * sum(want[i] for i in small)
+    assert overlap == 1 or found == want
