@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalframe.llm import bpe, chat_format, embed_dedup, fuzzy_lines, line_quality, minhash, packing, quality_clf, toxicity, warc
+from evalframe.llm import (bpe, chat_format, divergence, embed_dedup, fuzzy_lines, language_id, line_quality, minhash, packing, quality_clf, resampling,
+                           toxicity, warc)
 from evalframe.llm.registry import register
 from evalframe.llm.streams import fold_groups
 from evalframe.session import checkpoint_dir
@@ -237,3 +238,82 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(is_response, warc.base32_sha1(F.col("response.payload"))).otherwise(F.col("response.payload_digest")).alias("payload_digest"),
         F.col("response.warc_type").alias("record_type"),
         F.nullif(F.regexp_extract("response.refers_to", r"^<urn:capture:response:([^:]*):", 1), F.lit("")).cast("long").alias("refers_to"))
+
+
+# --- 11 importance resampling --------------------------------------------------------------------
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_STEP = "xor({c} >> 4, tab[1 + (xor({c}, instr('0123456789ABCDEF', substr(h, {k}, 1)) - 1) & 15)])"
+#: CRC-32 by half bytes (fixed values: the check sums of the numbers 0 to 15).
+_CRC_TABLE = [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888,
+              3412177804, 2607071920, 2262029012, 2685067896, 3183342108]
+
+
+@register("op11_resample_kernels", oracle=rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+k AS (SELECT uid, w, unnest(range(1, len(w) + 1)) AS i FROM d UNION ALL SELECT NULL, w, unnest(range(1, len(w) + 1)) FROM b),
+f AS (SELECT uid, array_to_string(w[i:i + n - 1], ' ') AS f FROM k, (VALUES (1), (2), (3)) x(n) WHERE i + n - 1 <= len(w)),
+u AS (SELECT f, count(uid) AS s, count(*) - count(uid) AS t, hex(encode(f)) AS h FROM f GROUP BY f),
+tab AS (SELECT {_CRC_TABLE} AS tab),
+crc(f, h, s, t, k, c) AS (SELECT f, h, s, t, 1, 4294967295::BIGINT FROM u
+  UNION ALL SELECT f, h, s, t, k + 2, {_CRC_STEP.format(c="c1", k="k")}
+  FROM (SELECT f, h, s, t, k, tab, {_CRC_STEP.format(c="c", k="k + 1")} AS c1 FROM crc, tab WHERE k < length(h))),
+bucket AS (SELECT f, s, t, xor(c, 4294967295) % 10000 AS b FROM crc WHERE k > length(h)),
+total AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s, coalesce(sum(t), 0)::DOUBLE AS t FROM bucket),
+gain AS (SELECT b, floor(1000 * ln((x.t + 1) * (total.s + 10000) / ((x.s + 1) * (total.t + 10000))))::BIGINT AS g
+         FROM (SELECT b, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM bucket GROUP BY b) x, total),
+weight AS (SELECT uid, count(*) AS n_features, sum(g)::BIGINT AS weight FROM f JOIN bucket USING (f) JOIN gain USING (b) WHERE uid IS NOT NULL GROUP BY uid),
+scored AS (SELECT doc_id, len(w) >= 20 AS open, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+             + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+           FROM d LEFT JOIN weight USING (uid)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY open) AS n FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN open AND r <= (5 * n) // 100 THEN r END AS rank FROM placed
+""")
+def op11_resample_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of all documents towards the benchmark's texts."""
+    x = resampling.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), stored=True)
+    return x.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# --- 12 source divergence ------------------------------------------------------------------------
+
+_P = "1 + (1000000000 * ({n} + 5)::HUGEINT) // ({total} + 5 * v)::HUGEINT"
+
+
+@register("op12_source_divergence", oracle=rf"""
+WITH d AS (SELECT row_number() OVER () AS uid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+     FROM documents),
+u AS (SELECT uid, lang, source, unnest(w) AS term FROM d),
+keep AS (SELECT lang, term, count(*) AS n FROM u GROUP BY lang, term HAVING count(DISTINCT uid) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM u SEMI JOIN keep USING (lang, term) GROUP BY lang, source, term),
+l AS (SELECT d.lang, coalesce(any_value(k.v), 0) AS v, coalesce(any_value(k.total), 0) AS lang_total FROM d
+      LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS total FROM keep GROUP BY lang) k ON k.lang = d.lang GROUP BY d.lang),
+g AS (SELECT x.lang, x.source, l.v, l.lang_total, coalesce(s.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) x JOIN l USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) s ON s.lang = x.lang AND s.source = x.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format(n="coalesce(c.n, 0)", total="g.total")} AS p,
+             {_P.format(n="k.n", total="g.lang_total")} AS q
+      FROM g JOIN keep k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                    GROUP BY x.lang, x.source, y.source) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+           UNION ALL
+           SELECT * FROM (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value,
+                                 row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(term)) AS rank FROM p WHERE n > 0 AND p > q) WHERE rank <= 50)
+SELECT lang, source, part, item, value, rank::BIGINT AS rank FROM ranked
+""")
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between all sources of a language, and the terms each has too much of, over all documents."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+# --- 13 language ID ------------------------------------------------------------------------------
+
+@register("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and calibrated probability of all documents; learned from the rows outside the held-out fourth."""
+    docs = _table(spark, sf_dir, "documents")
+    x = language_id.with_language(docs.select("doc_id", "text"), language_id.learn(docs))
+    return x.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
