@@ -36,8 +36,8 @@ def words(texts: pa.Array, separators: str) -> tuple[np.ndarray, np.ndarray, pa.
     ``separators`` is a pattern of what stands between words. The arrays are
     large (64-bit offsets), so a text may be of any length.
     """
-    whole = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern_regex(pc.ascii_lower(whole), separators)
+    lower = pc.fill_null(pc.ascii_lower(texts), "").cast(pa.large_string())  # in this order: the kernel misreads a cast slice
+    lists = pc.split_pattern_regex(lower, separators)
     flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
     some = pc.greater(pc.binary_length(flat), 0)
     found = pc.dictionary_encode(flat.filter(some))

@@ -53,8 +53,8 @@ STEP = 1 << 16
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(row of each word, its place in the dictionary, distinct lower-cased words)."""
-    whole = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.split_pattern_regex(pc.utf8_lower(whole), SEPARATORS)
+    lower = pc.fill_null(pc.utf8_lower(texts), "").cast(pa.large_string())
+    lists = pc.split_pattern_regex(lower, SEPARATORS)
     flat, row = pc.list_flatten(lists), pc.list_parent_indices(lists)
     some = pc.greater(pc.binary_length(flat), 0)
     found = pc.dictionary_encode(flat.filter(some))

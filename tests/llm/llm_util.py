@@ -3,7 +3,7 @@ import re
 import duckdb
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels", "conversations")
+TABLES = ("documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 
 def table(spark, name, sf=SF):
