@@ -134,12 +134,20 @@ def distances(counts: np.ndarray, shares: np.ndarray, times: np.ndarray, left: i
     return out
 
 
+def _pairs(rows: list[tuple]) -> pd.DataFrame:
+    kinds = {"lang": object, "a": object, "b": object, "value": np.int64}
+    return pd.DataFrame({c: np.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(kinds.items())})
+
+
 def _unit(rows: pd.DataFrame) -> pd.DataFrame:
     """One block of terms by two blocks of sources: ``(lang, a, b, value)`` for a < b."""
     head, body = rows[rows["term"].isna()], rows[rows["term"].notna()]
     two = rows["bi"].iat[0] != rows["bj"].iat[0]
     head = head.sort_values(["block", "source"], key=lambda c: c if c.name == "block" else c.map(str.encode))
     names = list(head["source"])
+    left = int((head["block"] == rows["bi"].iat[0]).sum()) if two else len(names)
+    if two and left in (0, len(names)):  # a block without sources
+        return _pairs([])
     at = {s: k for k, s in enumerate(names)}
     codes, terms = pd.factorize(body["term"])
     counts = np.zeros((len(terms) + 1, len(names)), np.int64)  # the last row stands for terms that none of these sources has
@@ -147,12 +155,11 @@ def _unit(rows: pd.DataFrame) -> pd.DataFrame:
     cols = body["source"].map(at).to_numpy(np.int64)
     counts[codes, cols], shares[codes, cols] = body["n"].to_numpy(np.int64), body["p"].to_numpy(np.int64)
     times = np.append(np.ones(len(terms), np.int64), int(head["n"].iat[0]) - len(terms))
-    left = int((head["block"] == rows["bi"].iat[0]).sum()) if two else len(names)
     value = distances(counts, shares, times, left)
     others = names[left:] if two else names
     out = [(rows["lang"].iat[0], a, b, int(value[i, j])) if a.encode() < b.encode() else (rows["lang"].iat[0], b, a, int(value[i, j]))
            for i, a in enumerate(names[:left]) for j, b in enumerate(others) if two or i < j]
-    return pd.DataFrame(out, columns=["lang", "a", "b", "value"])
+    return _pairs(out)
 
 
 def source_pairs(kept: DataFrame, groups: DataFrame, terms: int = TERMS, group_block: int = GROUPS) -> DataFrame:

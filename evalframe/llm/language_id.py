@@ -47,6 +47,8 @@ SIZES = (2, 3, 4, 5)
 EPOCHS, RATE = 5, 1.0
 PER_LANG, MAX_LANGS = 500, 400
 UNKNOWN = "und"
+#: Parts in which a language's ids are cut down to ``per_lang`` each, before they meet.
+SALTS = 64
 #: Words whose logits are added up at once.
 STEP = 1 << 16
 
@@ -183,8 +185,10 @@ def sample(docs: DataFrame, keep: Column, per_lang: int = PER_LANG, max_langs: i
     y = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).isNotNull().alias("has"))
     y = y.filter(keep & F.col("lang").isNotNull() & F.col("has")).select("doc_id", "lang")
     langs = y.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = y.join(F.broadcast(langs), "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang)
+    pick = y.join(F.broadcast(langs), "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for part in (["lang", "salt"], ["lang"]):  # a frequent language is first cut down in parts
+        order = Window.partitionBy(*part).orderBy(F.xxhash64("doc_id"), "doc_id")
+        pick = pick.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_lang).drop("k")
     pick = pick.select(F.col("doc_id").alias("pick_id"), F.col("lang").alias("pick_lang")).distinct()
     x = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     x = x.filter(F.col("text").isNotNull()).join(F.broadcast(pick), (F.col("doc_id") == F.col("pick_id")) & (F.col("lang") == F.col("pick_lang")), "left_semi")
