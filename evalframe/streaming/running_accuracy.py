@@ -1,18 +1,31 @@
-"""STR1: incremental scorer over a growing answers folder (Structured Streaming).
+"""STR1: incremental scorer over a growing answers folder (Structured Streaming, keyed state).
 
 The reference appends answers to a log and resumes where it stopped. Here the
 log is a folder of JSON-lines files read with ``readStream``; a request can be
 answered again, and the answer latest in load order (``seq``) counts, as in the
-batch scorer. Every micro-batch is reduced to its last answers, scored, and
-merged with the scores so far; the merged table (one narrow row per request, so
-bounded by the request table) is written as a folder of its epoch. Readers take
-the newest finished epoch, never a half-written one; a repeated epoch rewrites
-its own folder only. The streaming checkpoint makes the job resumable. Read
-errors raise; only a table that has no epoch yet counts as empty.
+batch scorer (of equal ``seq`` a right one).
+
+Answers are scored as they are read. The state store keeps, per request, the
+``seq`` and score of its last answer; an epoch touches only the requests it has
+answers for, and emits what they change in the counts: one more answer where the
+request is new, the difference of the scores where it is answered again, nothing
+where the answer is older than the known one. The sink adds an epoch's changes to
+the counts of the epoch before, a table of one row per (model, language,
+benchmark), and writes them as a folder of this epoch. So the work of an epoch
+follows its batch, whatever has been answered before.
+
+Restarts: an epoch that failed runs again on the same files and the state before
+it, so it emits the same changes, and it rewrites its own folder from that of the
+epoch before. Readers take the newest epoch whose folder is complete. The counts
+folder and the checkpoint belong together; a counts folder that lacks the epoch
+before raises.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,40 +35,75 @@ from evalframe.functions import scoring as sc
 
 GENERATION_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("custom_id", T.StringType()), T.StructField("content", T.StringType())])
-STATE_SCHEMA = "custom_id string, seq long, model string, lang string, benchmark string, correct int"
+CELL = ["model", "lang", "benchmark"]
+COUNTS_SCHEMA = "model string, lang string, benchmark string, n_answers long, n_correct long"
 FILES_PER_TRIGGER = 1000
+#: State on the executors' disks with increments in the checkpoint, not in their heaps.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def last_scores(answers: DataFrame) -> DataFrame:
-    """The score of each request's last answer: ``STATE_SCHEMA``."""
-    last = answers.groupBy("custom_id").agg(F.max(F.struct("seq", "content")).alias("a")).select("custom_id", "a.seq", "a.content")
+def scored(answers: DataFrame) -> DataFrame:
+    """``(custom_id, model, lang, benchmark, seq, correct)`` of every answer; the texts go no further."""
     p = sc.parse_custom_id(F.col("custom_id"))
-    return last.select("custom_id", "seq", p["model"].alias("model"), p["lang"].alias("lang"), p["benchmark"].alias("benchmark"),
-                       sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
+    return answers.select("custom_id", *[p[c].alias(c) for c in CELL], "seq",
+                          sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
 
 
-def merged(old: DataFrame, new: DataFrame) -> DataFrame:
-    cols = ["seq", "model", "lang", "benchmark", "correct"]
-    return (old.unionByName(new).groupBy("custom_id").agg(F.max(F.struct(*cols)).alias("s"))
-            .select("custom_id", *[F.col(f"s.{c}").alias(c) for c in cols]))
+def last_scores(answers: DataFrame) -> DataFrame:
+    """The batch rule: the score of each request's last answer."""
+    last = scored(answers).groupBy("custom_id", *CELL).agg(F.max(F.struct("seq", "correct")).alias("a"))
+    return last.select("custom_id", "a.seq", *CELL, "a.correct")
 
 
 def running_accuracy(scores: DataFrame) -> DataFrame:
     """Counts per (model, language, benchmark) of a table of last scores."""
-    return scores.groupBy("model", "lang", "benchmark").agg(
-        F.count(F.lit(1)).alias("n_answers"), F.sum("correct").alias("n_correct"))
+    return scores.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_answers"), F.sum("correct").alias("n_correct"))
+
+
+def changes(answers: DataFrame) -> DataFrame:
+    """The stream of changes in the counts. Answers without an id or ``seq`` are left out."""
+    cell = list(CELL)
+
+    def change_of(key: tuple, answers: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """What new answers of one request change in the counts."""
+        known = state.get if state.exists else None
+        best = known
+        for part in answers:
+            for seq, correct in zip(part["seq"], part["correct"]):
+                if best is None or (seq, correct) > best:
+                    best = (int(seq), int(correct))
+        if best is None or best == known:
+            return
+        state.update(best)
+        change = (0, best[1] - known[1]) if known else (1, best[1])
+        if any(change):
+            yield pd.DataFrame([(*key[1:], *change)], columns=[*cell, "n_answers", "n_correct"])
+
+    known = scored(answers).filter(F.col("custom_id").isNotNull() & F.col("seq").isNotNull() & F.col("correct").isNotNull())
+    return known.groupBy("custom_id", *CELL).applyInPandasWithState(change_of, COUNTS_SCHEMA, "seq long, correct int", "update", "NoTimeout")
 
 
-def _newest(spark: SparkSession, table_dir: str, before: int | None = None) -> DataFrame:
-    """The newest epoch's table (older than ``before``); empty if there is none."""
+def _folder(table_dir: str, epoch: int) -> str:
+    return f"{table_dir}/epoch={epoch}"
+
+
+def _add(batch: DataFrame, epoch: int, table_dir: str) -> None:
+    """Writes the counts after this epoch."""
+    spark = batch.sparkSession
+    if epoch:
+        batch = batch.unionByName(spark.read.schema(COUNTS_SCHEMA).parquet(_folder(table_dir, epoch - 1)))
+    total = batch.groupBy(*CELL).agg(F.sum("n_answers").alias("n_answers"), F.sum("n_correct").alias("n_correct"))
+    total.coalesce(1).write.mode("overwrite").parquet(_folder(table_dir, epoch))
+
+
+def counts(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The counts after the newest epoch; none if nothing has been answered yet. Read errors raise."""
     try:
-        epochs = spark.read.schema(STATE_SCHEMA + ", epoch long").parquet(table_dir)
+        epochs = spark.read.schema(COUNTS_SCHEMA + ", epoch long").parquet(table_dir)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], STATE_SCHEMA)
-    if before is not None:
-        epochs = epochs.filter(F.col("epoch") < before)
+        return spark.createDataFrame([], COUNTS_SCHEMA)
     newest = epochs.agg(F.max("epoch")).first()[0]
     return epochs.filter(F.col("epoch").eqNullSafe(F.lit(newest))).drop("epoch")  # partition pruning: one folder is read
 
@@ -64,11 +112,16 @@ def run_available(spark: SparkSession, source_dir: str, table_dir: str, checkpoi
                   files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Process everything currently in ``source_dir`` (``availableNow``) and return the running counts."""
     src = (spark.readStream.schema(GENERATION_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(source_dir))
-
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        state = merged(_newest(spark, table_dir, epoch_id), last_scores(batch))
-        state.write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch_id}")
-
-    q = (src.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return running_accuracy(_newest(spark, table_dir))
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, STATE_STORE)
+    try:
+        q = (changes(src).writeStream.foreachBatch(lambda batch, epoch: _add(batch, epoch, table_dir)).outputMode("update")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+    return counts(spark, table_dir)
