@@ -81,6 +81,12 @@ def _range_partitions(df: DataFrame) -> int:
     return n
 
 
+def numbered(df: DataFrame, keys: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """All rows in order of ``keys``, as a stored table: ``part`` numbers the ranges in order, ``at`` ascends along all of them."""
+    ranged = df.repartitionByRange(num_partitions or _range_partitions(df), *_as_cols(keys)).sortWithinPartitions(*_as_cols(keys))
+    return materialize(ranged.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "numbered")
+
+
 def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, pos_col: str = "pos",
               size_col: str = "group_n", num_partitions: int | None = None) -> DataFrame:
     """Append 0-based position within group (by ``order_cols``) and the group size."""

@@ -14,6 +14,7 @@ from evalframe.operators import ranking
 from evalframe.operators.pairing import consecutive_turns
 from evalframe.plans.accuracy_reports import cells as acc_cells
 from evalframe.plans.catalog import register
+from evalframe.sources import files, json_objects
 from evalframe.sources.tables import read_table, v_items, v_ratings
 
 SEED = 42
@@ -455,11 +456,12 @@ FROM ordered
 def build_rating_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-RAT + SNK4: rating request table split into two equal halves (shard 0 / 1) for the batch size limit."""
     r = _rating_requests(spark, sf_dir)
-    ranked = ranking.positions(r, [], ["lang", "train", "row_id", "trial", "eval"])
-    shard = F.when(F.col("pos") < F.floor(F.col("group_n") / 2), 0).otherwise(1)
+    keys = ["lang", "train", "row_id", "trial", "eval"]
+    ranked = ranking.positions(r.select(*keys), [], keys)  # keys only; the prompts meet one key, that of the middle row
+    middle = ranked.filter(F.col("pos") == F.floor(F.col("group_n") / 2)).agg(F.max(F.struct(*keys))).scalar()
     body = pr.request_body(F.lit(pr.RATER_MODEL), F.col("content"))
-    return ranked.select("custom_id", shard.alias("shard"), F.lit("POST").alias("method"),
-                         F.lit("/v1/chat/completions").alias("url"), F.to_json(body).alias("body"))
+    return r.select("custom_id", F.when(F.struct(*keys) < middle, 0).otherwise(1).alias("shard"), F.lit("POST").alias("method"),
+                    F.lit("/v1/chat/completions").alias("url"), F.to_json(body).alias("body"))
 
 
 SHARD_LIMIT = 1000
@@ -477,6 +479,27 @@ def snk_shard_by_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("custom_id", F.floor(F.col("pos") / SHARD_LIMIT).cast("bigint").alias("shard"))
 
 
+@register("snk_request_shards", f"""
+WITH {RATING_REQ_SQL},
+s AS (SELECT custom_id, (row_number() OVER (ORDER BY lang, train, row_id, trial, eval) - 1) // {SHARD_LIMIT} AS shard FROM rr)
+SELECT shard, COUNT(*) AS n_requests, md5(string_agg(custom_id, ',' ORDER BY custom_id)) AS ids_md5 FROM s GROUP BY shard
+""")
+def snk_request_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK4: request files of at most ``SHARD_LIMIT`` requests, written as JSON lines by shard and read back (batches of the
+    published runs hold 50,000; a smaller limit makes several here)."""
+    keys = ["lang", "train", "row_id", "trial", "eval"]
+    r = _rating_requests(spark, sf_dir)
+    ranked = ranking.positions(r.select("custom_id", *keys), [], keys)  # ids only; the prompts are met by id
+    shards = ranked.select("custom_id", F.floor(F.col("pos") / SHARD_LIMIT).cast("bigint").alias("shard"))
+    rows = r.select("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
+                    pr.request_body(F.lit(pr.RATER_MODEL), F.col("content")).alias("body")).join(shards, "custom_id")
+    path = files.scratch_path(spark, "request-shards")
+    files.write_sharded_jsonl(rows, path, "shard")
+    back = spark.read.schema("custom_id string, method string, url string, shard long").json(path)
+    ids = F.array_join(F.sort_array(F.collect_list("custom_id")), ",")  # at most SHARD_LIMIT ids
+    return back.filter(F.col("method") == "POST").groupBy("shard").agg(F.count(F.lit(1)).alias("n_requests"), F.md5(ids.cast("binary")).alias("ids_md5"))
+
+
 BUCKET_ROWS_SQL = f"""{SCORES_SQL},
 {TRAIN_ROWS_SQL},
 br AS (
@@ -572,8 +595,11 @@ SELECT lang, train, eval, CASE tile WHEN 1 THEN 'low' WHEN 2 THEN 'med' ELSE 'hi
 FROM tert
 """)
 def snk_bucket_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK5 re-aimed: bucket membership as JSON lines (one per id), partitionable by (lang, train, eval, bucket);
-    the nested one-object-per-file map would pull a whole bucket into one row."""
+    """SNK5: the nested object lang → train → eval → bucket → ids, written in range-sorted parts that join to one valid
+    object, and read back from its lines (a line per id)."""
     t = cu.tertiles(cu.rating_scores(v_ratings(spark, sf_dir)))
-    line = F.to_json(F.struct("lang", "train", "eval", "bucket", F.col("row_id").alias("id")))
-    return t.select("lang", "train", "eval", "bucket", line.alias("line"))
+    path = files.scratch_path(spark, "buckets")
+    levels = ["lang", "train", "eval", "bucket"]
+    json_objects.write_nested(t, path, levels, "row_id")
+    back = json_objects.read_nested(spark, path, levels, "id")
+    return back.select(*levels, F.to_json(F.struct(*levels, "id")).alias("line"))

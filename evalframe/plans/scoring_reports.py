@@ -11,6 +11,7 @@ from evalframe.functions import scoring as sc
 from evalframe.functions.numeric import pct_tenths
 from evalframe.operators import costs, ranking
 from evalframe.plans.catalog import register
+from evalframe.sources import answers, files, json_objects
 from evalframe.sources.tables import v_generations, v_items
 
 ID_RE = sc.CUSTOM_ID_PATTERN
@@ -181,11 +182,85 @@ def src_generations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, custom_id, content FROM v_generations
 """)
 def src_json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC4: id → answer JSON objects (``map<string,string>``) parsed and exploded to a long table."""
+    """SRC4: one JSON object, id → struct over several lines, written and scanned back from any splits."""
     g = v_generations(spark, sf_dir)
-    obj = g.select("event_id", F.to_json(F.create_map("custom_id", "content")).alias("obj"))
-    m = obj.select("event_id", F.explode(F.from_json("obj", T.MapType(T.StringType(), T.StringType()))))
-    return m.select("event_id", F.col("key").alias("custom_id"), F.col("value").alias("content"))
+    path = files.scratch_path(spark, "answers-object")
+    json_objects.write_object(g.select("event_id", F.struct("custom_id", "content").alias("answer")), path, "event_id", "answer")
+    m = json_objects.read_members(spark, path, "struct<custom_id: string, content: string>")
+    return m.select(F.col("key").cast("bigint").alias("event_id"), "value.custom_id", "value.content")
+
+
+@register("score_answers_object", f"""
+WITH {_parsed_sql()},
+last AS (SELECT model, benchmark, lang, custom_id, arg_max(content, event_id) AS content FROM parsed GROUP BY ALL)
+SELECT model, benchmark, lang, COUNT(*) AS n_answers,
+  CAST(SUM(CASE WHEN CASE WHEN benchmark = 'winogrande' THEN {STRICT_SQL} ELSE {LETTER_SQL} END THEN 1 ELSE 0 END) AS BIGINT) AS n_correct
+FROM last GROUP BY ALL
+""")
+def score_answers_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4 / A-SCO: the map form of answers, one object id → answer, scanned in splits and scored."""
+    g = v_generations(spark, sf_dir).groupBy("custom_id").agg(F.max_by("content", "event_id").alias("content"))
+    path = files.scratch_path(spark, "answers-map")
+    json_objects.write_object(g, path, "custom_id", "content")
+    m = json_objects.read_object(spark, path, "string").select(F.col("key").alias("custom_id"), F.col("value").alias("content"))
+    p = sc.parse_custom_id(F.col("custom_id"))
+    scored = m.select(*[p[c].alias(c) for c in ("model", "benchmark", "lang")], sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
+    return scored.groupBy("model", "benchmark", "lang").agg(F.count(F.lit(1)).alias("n_answers"), F.sum("correct").alias("n_correct"))
+
+
+_OUTCOMES_SQL = f"""o AS (SELECT event_id, custom_id, model, content,
+    CASE WHEN event_id % 13 = 5 THEN 'broken' WHEN event_id % 17 = 3 THEN 'failed' ELSE 'answered' END AS status FROM v_generations),
+last AS (SELECT model, custom_id, arg_max(content, event_id) AS content FROM o WHERE status = 'answered' GROUP BY ALL),
+hit AS (SELECT model, custom_id, CASE WHEN contains(custom_id, '-winogrande-') THEN {STRICT_SQL} ELSE {LETTER_SQL} END AS correct FROM last)"""
+
+
+def _answer_files(spark: SparkSession, sf_dir: str) -> str:
+    """Answers as JSON lines, a folder per model, in which some lines are cut off and some calls failed; returns the path."""
+    path = files.scratch_path(spark, "generation-files")
+    g = v_generations(spark, sf_dir)
+    body = F.struct(F.array(F.struct(F.struct("content").alias("message"))).alias("choices"))
+    response = F.when(F.col("event_id") % 17 != 3, F.struct(body.alias("body")))
+    line = F.to_json(F.struct(F.col("event_id").alias("seq"), "custom_id", response.alias("response")), {"ignoreNullFields": "false"})
+    line = F.when(F.col("event_id") % 13 == 5, F.substring(line, F.lit(1), F.length(line) - 7)).otherwise(line)
+    g.select("model", line.alias("value")).write.mode("overwrite").partitionBy("model").text(path)
+    return path
+
+
+@register("src_generations_quarantine", f"""
+WITH {_OUTCOMES_SQL}
+SELECT o.model, COUNT(*) AS n_lines, COUNT(CASE WHEN status = 'answered' THEN 1 END) AS n_answered,
+  COUNT(CASE WHEN status = 'failed' THEN 1 END) AS n_failed, COUNT(CASE WHEN status = 'broken' THEN 1 END) AS n_broken,
+  COUNT(CASE WHEN status = 'broken' THEN 1 END) AS n_quarantined,
+  any_value(h.n) AS n_scored, any_value(h.c) AS n_correct
+FROM o JOIN (SELECT model, COUNT(*) AS n, CAST(SUM(CASE WHEN correct THEN 1 ELSE 0 END) AS BIGINT) AS c FROM hit GROUP BY model) h ON h.model = o.model
+GROUP BY o.model
+""")
+def src_generations_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3 / S33: answer files with cut-off lines and failed calls: outcomes by file, the quarantine table, accuracy over the answered."""
+    outcomes = answers.read_outcomes(spark, _answer_files(spark, sf_dir))
+    kept = files.scratch_path(spark, "quarantine")
+    answers.quarantine(outcomes, kept)
+    model = F.regexp_extract("folder", "model=(.*)", 1).alias("model")
+    held = spark.read.schema("folder string, file string, line string").parquet(kept).groupBy(model).agg(F.count("line").alias("n_quarantined"))
+    counts = answers.file_counts(outcomes, "folder").withColumn("model", model).drop("folder")
+    last = answers.last_answers(outcomes)
+    p = sc.parse_custom_id(F.col("custom_id"))
+    scored = last.select(p["model"].alias("model"), sc.score_generation("custom_id", "content", p["benchmark"]).cast("int").alias("correct"))
+    scored = scored.groupBy("model").agg(F.count(F.lit(1)).alias("n_scored"), F.sum("correct").alias("n_correct"))
+    return counts.join(held, "model").join(scored, "model")
+
+
+@register("request_coverage", f"""
+WITH {_OUTCOMES_SQL}
+SELECT model, CASE WHEN ok = 1 THEN 'answered' WHEN ok = 0 THEN 'failed' ELSE 'pending' END AS outcome, COUNT(*) AS n_requests
+FROM (SELECT model, custom_id, max(CASE status WHEN 'answered' THEN 1 WHEN 'failed' THEN 0 END) AS ok FROM o GROUP BY ALL) GROUP BY ALL
+""")
+def request_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request beside its lines: answered, failed, or pending."""
+    requests = v_generations(spark, sf_dir).select("custom_id")
+    c = answers.coverage(requests, answers.read_outcomes(spark, _answer_files(spark, sf_dir)))
+    model = sc.parse_custom_id(F.col("custom_id"))["model"]
+    return c.groupBy(model.alias("model"), "outcome").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
 def position_map(spark: SparkSession, sf_dir: str) -> DataFrame:
