@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalframe.dims import HUMAN_MARKER, literal_array
+from evalframe.operators import checks
 from evalframe.functions.numeric import mean_tenths, pct_tenths, safe_ratio
 from evalframe.functions.predicates import is_human
 from evalframe.session import materialize as materialize_table
@@ -123,13 +124,14 @@ def pivot_languages(long: DataFrame, keys: Sequence[str], value: str, langs: Seq
                     lang_col: str = "eval_lang") -> DataFrame:
     """AG15: long -> wide with an explicit value list (no extra distinct job, C1).
 
-    Uniqueness of (keys, lang) is the caller's contract (S10); accuracy
-    frames are unique by construction because they come out of a group-by.
-    Written as conditional aggregates (one per language) — the same plan a
-    pivot with a value list produces, without its PivotFirst bookkeeping.
+    A repeated (keys, language) cell raises (S10), counted by the aggregate
+    that makes the row. Written as conditional aggregates (one per language) —
+    the same plan a pivot with a value list produces, without its PivotFirst bookkeeping.
     """
+    kind = dict(long.dtypes)[value]
+    row = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
     return long.groupBy(*keys).agg(*[
-        F.first(F.when(F.col(lang_col) == x, F.col(value)), ignorenulls=True).alias(x) for x in langs])
+        checks.the_only(F.col(lang_col).eqNullSafe(x), F.col(value), kind, F.concat(row, F.lit(f", {x}"))).alias(x) for x in langs])
 
 
 def dense_grid(models: DataFrame, benchmarks: Sequence[str], langs: Sequence[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalframe.operators import checks
+
 
 def _first(cond: Column, value: Column) -> Column:
     return F.first(F.when(cond, value), ignorenulls=True)
@@ -37,7 +39,7 @@ def consecutive_turns(conv: DataFrame) -> DataFrame:
         "conv_id", F.col("turn_key").alias("turn"), "a", "b")
 
 
-def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> DataFrame:
+def translation_triples(t: DataFrame, langs: Sequence[str] | None = None, raise_on: Sequence[str] = ()) -> DataFrame:
     """Each human translation with its English original and its machine translation.
 
     The source finds partners by rewriting the human id (``-{lang}-`` →
@@ -46,8 +48,12 @@ def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> Dat
     one item share it. One aggregate per canonical key gathers the item's
     rows (at most 1 + 2·|languages|: bounded by the language list, not by
     data); higher-order functions then pick, for every human row, the English
-    row and the MT row of its language, with their counts (the exactly-one
-    check). ``langs`` optionally restricts the human languages.
+    row and the MT row of its language. ``langs`` optionally restricts the human languages.
+
+    Exactly one row must match on either side. ``n_en`` and ``n_mt`` count them
+    and ``status`` names the outcome (``ok``, ``missing``, ``repeated``: the worse
+    side); only a single match is a partner, so no choice depends on the order
+    of rows. A status in ``raise_on`` raises where a row has it.
     """
     human = F.col("approach").contains("Human")
     is_en = human & (F.col("target_lang") == "en")
@@ -61,7 +67,7 @@ def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> Dat
     canon = F.when(is_mt, F.replace("question_id", gt_tag, F.lit("-~-"))) \
         .otherwise(F.replace("question_id", tag, F.lit("-~-")))
     keyed = t.select(canon.alias("canon"), F.struct(
-        role.alias("role"), "target_lang", "question_id", "translator", F.col("question").alias("text")).alias("r"))
+        role.alias("role"), "target_lang", "question_id", "benchmark", F.col("question").alias("text")).alias("r"))
     keyed = keyed.filter(F.col("r.role").isNotNull())
     g = keyed.groupBy("canon").agg(F.collect_list("r").alias("rows"))
 
@@ -71,9 +77,19 @@ def translation_triples(t: DataFrame, langs: Sequence[str] | None = None) -> Dat
         return F.struct(h.alias("h"), ens.alias("ens"), mts.alias("mts"))
 
     triples = g.select("canon", F.explode(F.transform(F.filter("rows", lambda r: r["role"] == "h"), pick)).alias("x"))
-    en, mt = F.try_element_at("x.ens", F.lit(1)), F.try_element_at("x.mts", F.lit(1))  # a missing partner is null
+    n_en, n_mt = F.size("x.ens").cast("bigint"), F.size("x.mts").cast("bigint")
+
+    def only(side: str, n: Column, field: str) -> Column:
+        return F.when(n == 1, F.get(f"x.{side}", F.lit(0))[field])
+
+    sides = [checks.status_of(n_en), checks.status_of(n_mt)]
+    status = F.when(F.array_contains(F.array(*sides), checks.REPEATED), checks.REPEATED).otherwise(
+        F.when(F.array_contains(F.array(*sides), checks.MISSING), checks.MISSING).otherwise(checks.OK))
+    if raise_on:
+        message = F.concat(F.lit("partners of "), F.col("x.h.question_id"), F.lit(": "), n_en.cast("string"), F.lit(" English, "), n_mt.cast("string"), F.lit(" machine"))
+        status = checks.guarded(status, status.isin(*raise_on), message, "string")
     return triples.select(
         "canon", F.col("x.h.target_lang").alias("target_lang"), F.col("x.h.question_id").alias("question_id"),
-        F.col("x.h.translator").alias("translator"), F.col("x.h.text").alias("question"),
-        en["question_id"].alias("en_id"), en["text"].alias("en_text"), F.size("x.ens").cast("bigint").alias("n_en"),
-        mt["question_id"].alias("mt_id"), mt["text"].alias("mt_text"), F.size("x.mts").cast("bigint").alias("n_mt"))
+        F.col("x.h.benchmark").alias("benchmark"), F.col("x.h.text").alias("question"),
+        only("ens", n_en, "question_id").alias("en_id"), only("ens", n_en, "text").alias("en_text"), n_en.alias("n_en"),
+        only("mts", n_mt, "question_id").alias("mt_id"), only("mts", n_mt, "text").alias("mt_text"), n_mt.alias("n_mt"), status.alias("status"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalframe import dims
 from evalframe.functions import predicates as P
 from evalframe.operators import agreement as ag
-from evalframe.operators import lift
+from evalframe.operators import checks, lift
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import read_table, v_responses, v_surveys
 
@@ -310,6 +310,22 @@ def semi_assessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.count(F.when(F.col("hit").isNull(), 1)).alias("n_unmatched"))
 
 
+@register("lookup_assessed_items", """
+WITH a AS (SELECT item_id, eval_lang AS lang, COUNT(*) AS n FROM v_responses
+           WHERE NOT was_ft AND benchmark = 'winogrande' AND contains(approach, 'Human') AND model = 'click' AND trial = 1 GROUP BY ALL)
+SELECT s.lang, CASE coalesce(a.n, 0) WHEN 1 THEN 'ok' WHEN 0 THEN 'missing' ELSE 'repeated' END AS status,
+  COUNT(*) AS n_items, COUNT(DISTINCT s.answer_item) AS n_labels
+FROM v_surveys s LEFT JOIN a ON s.answer_item = a.item_id AND s.lang = a.lang GROUP BY ALL
+""")
+def lookup_assessed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every survey looks up the one answer of one model in one run; how many find it, miss it, or find several."""
+    s = v_surveys(spark, sf_dir).select(F.col("answer_item").alias("item_id"), "lang")
+    r = v_responses(spark, sf_dir).filter(~F.col("was_ft") & (F.col("benchmark") == "winogrande") & P.is_human())
+    r = r.filter((F.col("model") == "click") & (F.col("trial") == 1)).select("item_id", F.col("eval_lang").alias("lang"), "correct")
+    found = checks.lookup(s, r, ["item_id", "lang"], on_broken="status")
+    return found.groupBy("lang", "status").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("item_id").alias("n_labels"))
+
+
 @register("lift_did", f"""
 WITH t AS ({_lift_sql('TRUE')})
 SELECT model, lang, did FROM t
