@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from evalframe.plans import accuracy_reports, curation_reports
 from evalframe.plans.catalog import register
-from evalframe.sources import files
+from evalframe.sources import files, layouts, release
 from evalframe.sources.tables import read_table, v_generations, v_items
 from evalframe.streaming import running_accuracy as stream
 
@@ -24,7 +24,7 @@ PART_SCHEMA = T.StructType([
 SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, round(p_retailprice, 6) AS p_retailprice FROM part
 """)
 def src_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC1: header CSV written and read back with a declared schema (multiLine, doubled-quote escapes)."""
+    """SRC1: header CSV written and read back with a declared schema (doubled-quote escapes)."""
     path = files.scratch_path(spark, "part-csv")
     files.write_csv(read_table(spark, sf_dir, "part"), path)
     return files.read_csv(spark, path, PART_SCHEMA)
@@ -47,7 +47,7 @@ def src_files_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_csv(items, path, partition_by=["lang", "split"])
     schema = T.StructType([T.StructField("item_no", T.LongType()), T.StructField("question", T.StringType()),
                            T.StructField("answer", T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"')
+    df = (spark.read.schema(schema).option("header", True).option("escape", '"')
           .option("recursiveFileLookup", True).csv(path))
     df = files.with_file_name(df, r"lang=([^/]+)/", 1, "lang")
     df = files.with_file_name(df, r"split=([^/]+)/", 1, "split")
@@ -94,18 +94,62 @@ SELECT section, split, lang, COUNT(*) AS n_written, COUNT(*) AS n_expected, true
 FROM v_items GROUP BY ALL
 """)
 def release_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK6: normalise names to the release schema, write parquet partitioned by (section, split, lang),
-    and check written row counts against the source per partition."""
-    path = files.scratch_path(spark, "release")
+    """SNK6: names of the release schema, published by (section, split, lang) with its audit: written rows per partition
+    against the source's."""
+    by = ["section", "split", "lang"]
     items = v_items(spark, sf_dir)
-    release = items.select(*[F.col(a).alias(b) for a, b in RELEASE_NAMES.items()], "section", "split", "lang")
-    release.write.mode("overwrite").partitionBy("section", "split", "lang").parquet(path)
-    written = spark.read.parquet(path).groupBy("section", "split", "lang").agg(F.count(F.lit(1)).alias("n_written"))
-    expected = items.groupBy("section", "split", "lang").agg(F.count(F.lit(1)).alias("n_expected"))
-    j = expected.join(written, ["section", "split", "lang"], "full")
-    return j.select("section", "split", "lang", F.coalesce("n_written", F.lit(0)).alias("n_written"),
-                    F.coalesce("n_expected", F.lit(0)).alias("n_expected"),
-                    F.coalesce(F.col("n_written") == F.col("n_expected"), F.lit(False)).alias("counts_match"))
+    rows = items.select(*[F.col(a).alias(b) for a, b in RELEASE_NAMES.items()], *by)
+    expected = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n_expected"))
+    return release.publish(rows, files.scratch_path(spark, "release"), "1", by, expected)
+
+
+@register("release_rows", """
+SELECT section, split, lang, question AS "Question", opt_a AS "OptionA", opt_d AS "OptionD", answer AS "Answer" FROM v_items
+""")
+def release_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK6: the rows of a release that was published twice, read by its manifest."""
+    by = ["section", "split", "lang"]
+    items, path = v_items(spark, sf_dir), files.scratch_path(spark, "release")
+    rows = items.select(*[F.col(a).alias(b) for a, b in RELEASE_NAMES.items()], *by)
+    expected = items.groupBy(*by).agg(F.count(F.lit(1)).alias("n_expected"))
+    for _ in range(2):  # the second changes nothing
+        release.publish(rows, path, "1", by, expected)
+    return release.read_release(spark, path, "1").select("section", "split", "lang", "Question", "OptionA", "OptionD", "Answer")
+
+
+WORD_FILES = [
+    layouts.Layout("items", "mmlu", 6, stop=-1, skip="_(af|zu|xh)", unless="virology"),
+    layouts.Layout("sentences", "winogrande", 8, 4, 7, header=True, skip="_(af|zu|xh)", unless="virology")]
+_WORDS = r"length(regexp_replace(regexp_replace(coalesce({x}, ''), '\S+', 'x', 'g'), '\s+', '', 'g'))"
+
+
+@register("word_count_files", f"""
+WITH r AS (
+  SELECT CASE WHEN doc_id % 3 = 0 THEN 'mmlu' WHEN doc_id % 3 = 1 THEN 'mmlu_virology' WHEN lang = 'es' THEN 'notes' ELSE 'winogrande' END AS kind,
+    CASE lang WHEN 'en' THEN 'af' WHEN 'de' THEN 'zu' ELSE lang END AS lang, {_WORDS.format(x="translate(text, chr(10) || chr(13), '  ')")} AS n, {_WORDS.format(x="source")} AS s FROM documents),
+f AS (SELECT kind || '_' || lang || '.csv' AS file, lang, CASE kind WHEN 'notes' THEN NULL WHEN 'winogrande' THEN 'sentences' ELSE 'items' END AS layout,
+    CASE WHEN kind = 'notes' THEN 'unknown' WHEN lang IN ('af', 'zu') AND kind <> 'mmlu_virology' THEN 'skipped' ELSE 'counted' END AS status,
+    COUNT(*) AS n_rows, SUM(CASE WHEN kind = 'winogrande' THEN n ELSE n + s END) AS w FROM r GROUP BY ALL),
+g AS (SELECT file, lang, layout, status, n_rows, CAST(CASE WHEN status = 'counted' THEN w ELSE 0 END AS BIGINT) AS words FROM f)
+SELECT * FROM g UNION ALL SELECT NULL, NULL, NULL, 'total', CAST(SUM(n_rows) AS BIGINT), CAST(SUM(words) AS BIGINT) FROM g
+""")
+def word_count_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-WC / SRC5: words per file and in total over a folder of three layouts, some files skipped, one unknown, one absent.
+
+    ``documents`` as files: without header (first five of six columns count), with header (columns 4 to 6), and of no known layout."""
+    path = files.scratch_path(spark, "word-files")
+    text = F.translate("text", "\n\r", "  ")
+    lang = F.when(F.col("lang") == "en", "af").when(F.col("lang") == "de", "zu").otherwise(F.col("lang"))
+    m = F.col("doc_id") % 3
+    kind = F.when(m == 0, "mmlu").when(m == 1, "mmlu_virology").when(F.col("lang") == "es", "notes").otherwise("winogrande")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "source", F.concat(kind, F.lit("_"), lang, F.lit(".csv")).alias("name"), kind.alias("kind"))
+    none = F.lit(None).cast("string")
+    plain = d.filter("kind <> 'winogrande'").select(F.col("text").alias("a"), "source", none.alias("c"), none.alias("d"), none.alias("e"), F.lit("A").alias("f"), "name")
+    titled = d.filter("kind = 'winogrande'").select(F.col("doc_id").cast("string").alias("qID"), *[F.lit(x).alias(x) for x in ("p", "q", "r")],
+                                                    F.col("text").alias("sentence"), none.alias("option1"), none.alias("option2"), F.lit("1 2").alias("answer"), "name")
+    layouts.write_named(plain, f"{path}/plain", "name")
+    layouts.write_named(titled, f"{path}/titled", "name", header=True)
+    return layouts.words_by_file(layouts.read_layouts(spark, path, WORD_FILES))
 
 
 @register("snk_report_csv", accuracy_reports.HEADLINE_SQL)

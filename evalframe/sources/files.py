@@ -26,9 +26,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return scratch_folder(spark, name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """SRC1/SRC2: CSV with quoted newlines and doubled quotes (S32), declared schema, FAILFAST."""
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """SRC1/SRC2: CSV with doubled quotes, declared schema, FAILFAST.
+
+    ``multi_line`` reads cells that hold line breaks (S32); a file is then one
+    task. Without it files are split, and a cell with a line break fails.
+    """
+    return (spark.read.schema(schema).option("header", header).option("multiLine", multi_line)
             .option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
@@ -39,9 +43,9 @@ def write_csv(df: DataFrame, path: str, header: bool = True, partition_by: list[
     w.csv(path)
 
 
-def read_mc_items(spark: SparkSession, path: str) -> DataFrame:
+def read_mc_items(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """SRC2: headerless multiple-choice files, positional columns named after the fact."""
-    df = read_csv(spark, path, MC_ITEM_SCHEMA, header=False)
+    df = read_csv(spark, path, MC_ITEM_SCHEMA, header=False, multi_line=multi_line)
     return df.toDF(*MC_ITEM_NAMES)
 
 

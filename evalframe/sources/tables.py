@@ -161,12 +161,14 @@ def v_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation questions by translation approach (schema A4)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    m3 = F.col("doc_id") % 3
+    m3, item = F.col("doc_id") % 3, _fdiv(F.col("doc_id"), 3)
+    lang = F.when(item % 3 == 0, "af").when(item % 3 == 1, "zu").otherwise("xh")
     return d.select(
-        F.concat(F.lit("q-"), F.when(m3 == 0, "en").when(m3 == 1, "af").otherwise("gt-af"), F.lit("-"),
-                 _fdiv(F.col("doc_id"), 3).cast("string")).alias("question_id"),
-        F.when(m3 == 0, "en").otherwise("af").alias("target_lang"),
+        F.concat(F.lit("q-"), F.when(m3 == 0, "en").when(m3 == 1, lang).otherwise(F.concat(F.lit("gt-"), lang)), F.lit("-"),
+                 item.cast("string")).alias("question_id"),
+        F.when(m3 == 0, "en").otherwise(lang).alias("target_lang"),
         F.when(m3 == 2, "Machine").otherwise("Human").alias("approach"),
+        F.when(_fdiv(item, 3) % 2 == 0, "winogrande").otherwise("mmlu").alias("benchmark"),
         F.col("source").alias("translator"),
         F.col("text").alias("question"),
     )
@@ -182,7 +184,8 @@ def v_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang"),
         F.col("source").alias("translator"),
         F.col("text").alias("initial_text"),
-        F.when(F.col("quality") == 0, F.col("text")).alias("correction"),
+        F.when(F.col("quality") == 0, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("checked "), F.col("text")))
+               .otherwise(F.substring_index("text", "\n", 1))).alias("correction"),
         F.col("quality"),
         F.col("toxic"),
         F.when(F.col("n_chars") % 11 == 0, "n/a").otherwise(F.col("n_chars").cast("string")).alias("dirty_number"),
