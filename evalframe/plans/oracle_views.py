@@ -69,15 +69,17 @@ SELECT p_partkey AS item_no, p_type AS section,
 FROM part
 """,
     "v_translations": """
-SELECT concat('q-', CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'af' ELSE 'gt-af' END, '-', CAST(CAST(FLOOR(doc_id / 3) AS BIGINT) AS VARCHAR(20))) AS question_id,
-  CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE 'af' END AS target_lang,
+SELECT concat('q-', CASE doc_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN l ELSE concat('gt-', l) END, '-', CAST(item AS VARCHAR(20))) AS question_id,
+  CASE WHEN doc_id % 3 = 0 THEN 'en' ELSE l END AS target_lang,
   CASE WHEN doc_id % 3 = 2 THEN 'Machine' ELSE 'Human' END AS approach,
+  CASE WHEN CAST(FLOOR(item / 3) AS BIGINT) % 2 = 0 THEN 'winogrande' ELSE 'mmlu' END AS benchmark,
   source AS translator, text AS question
-FROM documents
+FROM (SELECT *, CASE item % 3 WHEN 0 THEN 'af' WHEN 1 THEN 'zu' ELSE 'xh' END AS l
+      FROM (SELECT *, CAST(FLOOR(doc_id / 3) AS BIGINT) AS item FROM documents) d0) d
 """,
     "v_workflow": """
 SELECT d.doc_id AS wkey, d.lang, d.source AS translator, d.text AS initial_text,
-  CASE WHEN l.quality = 0 THEN d.text END AS correction, l.quality, l.toxic,
+  CASE WHEN l.quality = 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN 'checked ' || d.text ELSE split_part(d.text, chr(10), 1) END END AS correction, l.quality, l.toxic,
   CASE WHEN d.n_chars % 11 = 0 THEN 'n/a' ELSE CAST(d.n_chars AS VARCHAR(12)) END AS dirty_number
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """,

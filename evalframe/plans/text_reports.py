@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.text import initials as initials_fn
 from evalframe.functions.text import word_count
-from evalframe.operators import ranking
+from evalframe.operators import checks, ranking
 from evalframe.operators.pairing import consecutive_turns, translation_triples
 from evalframe.operators.rouge import rouge1, rouge1_many
 from evalframe.plans.catalog import register
@@ -56,14 +56,14 @@ def rouge1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "len_a", "len_b", "overlap", "rouge1")
 
 
-def _translation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _translation_pairs(spark: SparkSession, sf_dir: str, raise_on: tuple[str, ...] = ()) -> DataFrame:
     """Each human (non-English) row with its English original and its machine translation —
     the source's id rewrite (``-{lang}-`` → ``-en-`` / ``-gt-{lang}-``) as one grouping pass."""
-    return translation_triples(v_translations(spark, sf_dir))
+    return translation_triples(v_translations(spark, sf_dir), raise_on=raise_on)
 
 
 TRANSLATION_PAIRS_SQL = """h AS (
-  SELECT question_id, target_lang, translator, question,
+  SELECT question_id, target_lang, benchmark, question,
     replace(question_id, '-' || target_lang || '-', '-en-') AS en_key,
     replace(question_id, '-' || target_lang || '-', '-gt-' || target_lang || '-') AS mt_key
   FROM v_translations WHERE contains(approach, 'Human') AND target_lang <> 'en'),
@@ -74,7 +74,9 @@ tp AS (SELECT h.*, en.en_id, en.en_text, mt.mt_id, mt.mt_text FROM h LEFT JOIN e
 
 @register("join_key_rewrite", f"""
 WITH {TRANSLATION_PAIRS_SQL}
-SELECT question_id, en_key, mt_key, COUNT(en_id) AS n_en, COUNT(mt_id) AS n_mt FROM tp GROUP BY ALL
+SELECT question_id, en_key, mt_key, COUNT(DISTINCT en_id) AS n_en, COUNT(DISTINCT mt_id) AS n_mt,
+  CASE WHEN COUNT(DISTINCT en_id) = 1 AND COUNT(DISTINCT mt_id) = 1 THEN 'ok' ELSE 'missing' END AS status
+FROM tp GROUP BY question_id, en_key, mt_key
 """)
 def join_key_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rewritten keys of every human row and the exactly-one check (n_en, n_mt must be 1)."""
@@ -82,7 +84,7 @@ def join_key_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.concat(F.lit("-"), F.col("target_lang"), F.lit("-"))
     return p.select("question_id", F.replace("question_id", tag, F.lit("-en-")).alias("en_key"),
                     F.replace("question_id", tag, F.concat(F.lit("-gt-"), F.col("target_lang"), F.lit("-"))).alias("mt_key"),
-                    "n_en", "n_mt")
+                    "n_en", "n_mt", "status")
 
 
 def _box(scores: DataFrame, group_cols: list[str], value: str, tie: str) -> DataFrame:
@@ -100,21 +102,21 @@ FROM {src} GROUP BY {group_cols}"""
 
 def _translation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Human text scored against its MT and its English original in one tokenisation pass."""
-    p = _translation_pairs(spark, sf_dir).filter(F.col("en_id").isNotNull() & F.col("mt_id").isNotNull())
+    p = _translation_pairs(spark, sf_dir, raise_on=(checks.REPEATED,)).filter(F.col("status") == checks.OK)  # items without a partner are left out
     ids = ["canon", "target_lang"]  # clustered by canon since the pairing aggregate: no new exchange for texts
     r = rouge1_many(p, ids, "question", ["mt_text", "en_text"], partition=False)
-    meta = p.select(*ids, "question_id", "translator")  # id columns only, joined after the word counts
+    meta = p.select(*ids, "question_id", "benchmark")  # id columns only, joined after the word counts
     r = r.join(meta, ids)
-    long = r.select("question_id", "target_lang", "translator", F.explode(F.array(
+    long = r.select("question_id", "target_lang", "benchmark", F.explode(F.array(
         F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
         F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
-    return long.select("question_id", "target_lang", "translator", "m.measure", "m.rouge1")
+    return long.select("question_id", "target_lang", "benchmark", "m.measure", "m.rouge1")
 
 
 TRANSLATION_SCORES_SQL = f"""{TRANSLATION_PAIRS_SQL},
 {_rouge_sql("SELECT question_id || '|m' AS pair_id, question AS a, mt_text AS b FROM tp WHERE en_id IS NOT NULL AND mt_id IS NOT NULL UNION ALL SELECT question_id || '|e', question, en_text FROM tp WHERE en_id IS NOT NULL AND mt_id IS NOT NULL")},
 scores AS (
-  SELECT tp.target_lang, tp.translator, CASE WHEN right(r.pair_id, 1) = 'm' THEN 'vs_machine_translation' ELSE 'vs_original_english' END AS measure, r.rouge1
+  SELECT tp.question_id, tp.target_lang, tp.benchmark, CASE WHEN right(r.pair_id, 1) = 'm' THEN 'vs_machine_translation' ELSE 'vs_original_english' END AS measure, r.rouge1
   FROM rouge r JOIN tp ON tp.question_id = left(r.pair_id, length(r.pair_id) - 2))"""
 
 
@@ -128,14 +130,71 @@ def rouge_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _box(s, ["target_lang", "measure"], "rouge1", "question_id")
 
 
-@register("rouge_by_translator", f"""
+@register("rouge_by_benchmark", f"""
 WITH {TRANSLATION_SCORES_SQL}
-{_box_sql('scores', 'translator, measure', 'rouge1')}
+{_box_sql('scores', 'target_lang, benchmark, measure', 'rouge1')}
+""")
+def rouge_by_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-RG1: the same distributions by language and benchmark."""
+    return _box(_translation_scores(spark, sf_dir), ["target_lang", "benchmark", "measure"], "rouge1", "question_id")
+
+
+WORKFLOW_KEY_SQL = """CASE WHEN wkey % 3 = 1 THEN concat('q-', CASE CAST(FLOOR(wkey / 3) AS BIGINT) % 3 WHEN 0 THEN 'af' WHEN 1 THEN 'zu' ELSE 'xh' END, '-',
+    CAST(CAST(FLOOR(wkey / 3) AS BIGINT) AS VARCHAR)) END"""
+
+
+def _workflow_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workflow rows of human translations, under the id their question has among the translations."""
+    item = F.floor(F.col("wkey") / 3)
+    lang = F.when(item % 3 == 0, "af").when(item % 3 == 1, "zu").otherwise("xh")
+    w = v_workflow(spark, sf_dir).filter(F.col("wkey") % 3 == 1)
+    return w.withColumn("question_id", F.concat(F.lit("q-"), lang, F.lit("-"), item.cast("string")))
+
+
+@register("rouge_by_translator", f"""
+WITH {TRANSLATION_SCORES_SQL},
+w AS (SELECT {WORKFLOW_KEY_SQL} AS question_id, CASE WHEN regexp_matches(translator, '^\\D+\\d+$')
+        THEN regexp_extract(translator, '^(\\D+)(\\d+)$', 1) || '.' || regexp_extract(translator, '^(\\D+)(\\d+)$', 2) || '.' ELSE 'unknown' END AS translator FROM v_workflow),
+t AS (SELECT coalesce(w.translator, 'unknown') AS translator, s.measure, s.rouge1 FROM scores s LEFT JOIN w ON w.question_id = s.question_id)
+{_box_sql('t', 'translator, measure', 'rouge1')}
 """)
 def rouge_by_translator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A-RG3: the same ROUGE-1 distributions by translator (J5 lookup already carried by the view)."""
+    """A-RG3: the same ROUGE-1 distributions by translator: looked up by key in the workflow (J5), named by initials (F8),
+    ``unknown`` where the workflow has no name."""
     s = _translation_scores(spark, sf_dir)
-    return _box(s, ["translator", "measure"], "rouge1", "question_id")
+    name = F.regexp_replace("translator", r"^(\D+)(\d+)$", "$1-$2")
+    w = _workflow_by_question(spark, sf_dir).select("question_id", initials_fn(name).alias("translator"))
+    t = s.join(w, "question_id", "left").na.fill({"translator": "unknown"})
+    return _box(t, ["translator", "measure"], "rouge1", "question_id")
+
+
+@register("rouge_before_after", f"""
+WITH {TRANSLATION_PAIRS_SQL},
+w AS (SELECT {WORKFLOW_KEY_SQL} AS question_id, initial_text, coalesce(correction, initial_text) AS final_text FROM v_workflow),
+x AS (SELECT tp.question_id, tp.target_lang, w.initial_text, w.final_text, tp.mt_text, tp.en_text FROM tp JOIN w ON w.question_id = tp.question_id
+      WHERE tp.en_id IS NOT NULL AND tp.mt_id IS NOT NULL),
+{_rouge_sql("SELECT question_id || '|bm' AS pair_id, initial_text AS a, mt_text AS b FROM x UNION ALL SELECT question_id || '|am', final_text, mt_text FROM x UNION ALL SELECT question_id || '|be', initial_text, en_text FROM x UNION ALL SELECT question_id || '|ae', final_text, en_text FROM x")},
+s AS (SELECT x.target_lang, CASE WHEN substr(right(r.pair_id, 2), 1, 1) = 'b' THEN 'before' ELSE 'after' END AS round,
+        CASE WHEN right(r.pair_id, 1) = 'm' THEN 'vs_machine_translation' ELSE 'vs_original_english' END AS measure, r.rouge1
+      FROM rouge r JOIN x ON x.question_id = left(r.pair_id, length(r.pair_id) - 3))
+{_box_sql('s', 'target_lang, round, measure', 'rouge1')}
+""")
+def rouge_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-RG2: translations before and after the verifier's correction, each against the machine translation and the English
+    original, by language. Both texts of a row are scored in one pass each; only scores leave it."""
+    p = _translation_pairs(spark, sf_dir, raise_on=(checks.REPEATED,)).filter(F.col("status") == checks.OK)
+    w = _workflow_by_question(spark, sf_dir).select("question_id", "initial_text", F.coalesce("correction", "initial_text").alias("final_text"))
+    x = p.select("question_id", "target_lang", "mt_text", "en_text").join(w, "question_id")
+    ids = ["question_id", "target_lang"]
+    long = None
+    for name, text in (("before", "initial_text"), ("after", "final_text")):
+        r = rouge1_many(x, ids, text, ["mt_text", "en_text"])
+        r = r.select(*ids, F.lit(name).alias("round"), F.explode(F.array(
+            F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
+            F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
+        r = r.select("question_id", "target_lang", "round", "m.measure", "m.rouge1")
+        long = r if long is None else long.unionByName(r)
+    return _box(long, ["target_lang", "round", "measure"], "rouge1", "question_id")
 
 
 WORKFLOW_PAIRS_SQL = "SELECT CAST(wkey AS VARCHAR) AS pair_id, initial_text AS a, correction AS b FROM v_workflow WHERE correction IS NOT NULL"

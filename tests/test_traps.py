@@ -120,8 +120,8 @@ def test_g6_inserted_model_sits_directly_above_flagship(spark):
 
 def test_s12_missing_run_gives_null_mean_but_keeps_denominator(spark):
     from evalframe.operators import lift
-    rows = [(i, "winogrande", "m", "en", t, 1, False, "Human") for i, t in [(0, 1), (500, 2), (1000, 3), (1, 1), (501, 2)]]
-    df = spark.createDataFrame(rows, "response_id long, benchmark string, model string, eval_lang string, trial int, "
+    rows = [(i, i % 500, "winogrande", "m", "en", t, 1, False, "Human") for i, t in [(0, 1), (500, 2), (1000, 3), (1, 1), (501, 2)]]
+    df = spark.createDataFrame(rows, "response_id long, item_id long, benchmark string, model string, eval_lang string, trial int, "
                                      "correct int, was_ft boolean, approach string")
     out = {r["item_id"]: r for r in lift.aligned_runs(lift.item_runs(df)).collect()}
     assert out[0]["n_runs"] == 3 and out[0]["mean_correct"] == 1.0
