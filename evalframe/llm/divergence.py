@@ -38,8 +38,10 @@ from evalframe.session import materialize
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE, PRIOR = 1_000_000_000, 5
 TERMS, GROUPS = 1024, 64
-#: Indicator columns that are multiplied at once, and partial counts that a task holds before it hands them on.
-COLUMNS, HELD = 2048, 1_000_000
+#: Indicator columns that are multiplied at once, and about how many partial counts a task holds before it hands them on.
+COLUMNS, HELD = 2048, 250_000
+#: Text that is split at once in a task (a longer single text is taken whole).
+SLICE = 1 << 20
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -49,13 +51,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     keys = ["lang", "source", "term"]
 
     def added(tables: list[pa.Table]) -> pa.Table:
-        t = pa.concat_tables(tables).group_by(keys).aggregate([("n", "sum"), ("docs", "sum")])
+        t = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
         return t.select([*keys, "n_sum", "docs_sum"]).rename_columns([*keys, "n", "docs"])
 
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 row, index, dictionary = words(part.column("text"), SEPARATORS)
                 if not len(row):
                     continue
