@@ -19,8 +19,9 @@ into a two-variable logistic curve fitted on the sample.
 
 Defined results: null and empty texts have no hits and get the curve's base
 score; without toxic or without clean rows in the sample the lexicon is empty
-and the score is the toxic share of the sample (0 if there is none); repeated
-rows get equal scores; extra columns are ignored. Labels, language, source and
+and the score is the toxic share of the sample (0 if there is none); words above
+``LONGEST_WORD`` letters are no entries, and in runs of signs above that length
+no substitutes are undone; repeated rows get equal scores; extra columns are ignored. Labels, language, source and
 ids are no inputs of a score.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ from evalframe.llm.streams import arrow_schema, batched, rows_of
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MAX_TERMS = 5000
 MIN_WEIGHT = 2.3
+#: Longer words are no words of a lexicon, and longer blank-separated runs are no disguised words (addresses, keys, tables).
+LONGEST_WORD = 40
 
 #: Look-alike letters -> Latin letters (fixed values).
 HOMOGLYPHS = {
@@ -80,14 +84,14 @@ _LETTER, _STANDS = re.compile(r"[^\W\d_]"), re.compile(r"[0134578@$!|](?=[\w@$!|
 
 def _mixed(word: str) -> bool:
     """A word of letters with substitutes inside (not only behind), of a length that words have."""
-    return 3 <= len(word) <= 40 and _LETTER.search(word) is not None and _STANDS.search(word) is not None
+    return 3 <= len(word) <= LONGEST_WORD and _LETTER.search(word) is not None and _STANDS.search(word) is not None
 
 
 def terms(folded: str) -> set[str]:
     """Candidate entries of a folded text: whole words and word beginnings, with their blanks."""
     out = set()
     for w in set(folded.split()):
-        if len(w) <= 40:
+        if len(w) <= LONGEST_WORD:
             out.add(f" {w} ")
             out.update(f" {w[:k]}" for k in PREFIXES if len(w) >= k)
     return out
@@ -214,13 +218,15 @@ def fit(sample: DataFrame, max_terms: int = MAX_TERMS) -> tuple[Lexicon, np.ndar
 
 def score(text: Column, lexicon: Lexicon, curve: np.ndarray, spark: SparkSession) -> Column:
     """The score of a text column, whole texts; other columns of the row stay in the JVM."""
-    held = spark.sparkContext.broadcast((lexicon, curve))
+    held = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, curve))  # plain values: workers may lack this package
 
     @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        lex, c = held.value
-        m = np.array([lex.measure(t or "") for t in texts]).reshape(-1, 2)
-        return pd.Series(1 / (1 + np.exp(-np.clip(m @ c[:2] + c[2], -35, 35))))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        weights, exceptions, c = held.value
+        lex = Lexicon(weights, exceptions)  # the automaton is built once a task
+        for texts in batches:
+            m = np.array([lex.measure(t or "") for t in texts]).reshape(-1, 2)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(m @ c[:2] + c[2], -35, 35))))
 
     return of(text)
 
