@@ -5,11 +5,12 @@ shapes (letters by case, digits, signs; a word equal to the one before is a
 shape of its own), in pairs and triples. Each is hashed to one of ``2**BITS``
 slots; a slot's value is log(1 + count), divided by the vector's length.
 
-Training: a bounded sample (``sampling.training_sample``) is dealt to
-``SHARDS`` tasks; each runs FTRL-proximal over its documents, in hash order,
-``EPOCHS`` times, and the weights are averaged by slot. What reaches the driver
-is the weights, at most ``2**BITS`` numbers whatever the data. Scoring is a
-sparse dot product per document in the scan, without a shuffle.
+Training: a bounded sample (``sampling.training_sample``) goes to ``SHARDS``
+tasks; each runs FTRL-proximal over its documents, in hash order, ``EPOCHS``
+times, both classes weighing the same. One task takes the whole sample, whose
+size is a parameter; with more, the weights are averaged by slot, over the shards whose documents hold it. What
+reaches the driver is the weights, at most ``2**BITS`` numbers whatever the
+data. Scoring is a sparse dot product per document in the scan, without a shuffle.
 
 Defined results: null and empty texts have no features and get the bias' score;
 a sample that lacks a class gives the score 0.5 everywhere if it is empty, else
@@ -31,7 +32,7 @@ from evalframe.llm.streams import arrow_schema, batched, rows_of
 from evalframe.llm.tokens import _held
 
 BITS = 18
-SHARDS = 4
+SHARDS = 1
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 
@@ -39,9 +40,8 @@ _RUNS = re.compile(r"([A-ZÀ-ÖØ-Þ]+(?![a-zß-öø-ÿ]))|([A-ZÀ-ÖØ-Þ][a-z
 
 
 def shape(word: str) -> bytes:
-    """Runs of letters as A (capitals), B (capitalised) or a, digits as 9, other signs as they are (at most four)."""
-    s = _RUNS.sub(lambda m: "A" if m[1] else "B" if m[2] else "a" if m[3] else "9", word[:64])
-    return s[:8].encode()
+    """Runs of letters as A (capitals), B (capitalised) or a, runs of digits as 9, other signs as they are."""
+    return _RUNS.sub(lambda m: "A" if m[1] else "B" if m[2] else "a" if m[3] else "9", word).encode()
 
 
 class _Shapes(dict):
@@ -72,7 +72,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """FTRL-proximal weights, the bias last."""
+    """FTRL-proximal weights, the bias last. Both classes weigh the same, however many examples each has."""
+    of = np.bincount([y for _, _, y in examples], minlength=2)
+    share = np.where(of > 0, len(examples) / np.maximum(2.0 * of, 1), 0) if (of > 0).all() else np.ones(2)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS])
     for _ in range(epochs):
@@ -81,7 +83,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
             x = np.append(values, 1.0)
             zi, ni = z[i], n[i]
             w = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            g = (1.0 / (1.0 + np.exp(-np.clip(np.dot(w, x), -35, 35))) - y) * x
+            g = share[y] * (1.0 / (1.0 + np.exp(-np.clip(np.dot(w, x), -35, 35))) - y) * x
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA
             z[i] = zi + g - sigma * w
             n[i] = ni + g * g
@@ -89,7 +91,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
 
 
 def fit(sample: DataFrame, shards: int = SHARDS) -> np.ndarray:
-    """Averaged weights of a sample ``(doc_id, label, text, sketch)``."""
+    """Weights of a sample ``(doc_id, label, text, sketch)``: per slot the mean over the shards that have seen it."""
     out = "slot int, w double"
     schema = arrow_schema(out)
 
@@ -97,11 +99,12 @@ def fit(sample: DataFrame, shards: int = SHARDS) -> np.ndarray:
         examples = [(*features(t), y) for _, y, t in rows_of(batches)]
         if examples:
             w = train(examples)
-            yield from batched(((int(i), float(w[i])) for i in np.flatnonzero(w)), schema, n=50_000)
+            seen = np.unique(np.concatenate([slots for slots, _, _ in examples] + [[1 << BITS]]))
+            yield from batched(((int(i), float(w[i])) for i in seen), schema, n=50_000)
 
     dealt = (sample.select(F.xxhash64("sketch").alias("o"), "label", "text").repartition(shards, "o")
              .sortWithinPartitions("o", "label"))
-    got = dealt.mapInArrow(run, out).groupBy("slot").agg((F.sum("w") / shards).alias("w")).toPandas()
+    got = dealt.mapInArrow(run, out).groupBy("slot").agg(F.avg("w").alias("w")).toPandas()
     weights = np.zeros((1 << BITS) + 1, dtype=np.float32)
     weights[got["slot"].to_numpy(dtype=np.int64)] = got["w"].to_numpy()
     return weights
