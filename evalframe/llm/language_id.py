@@ -48,7 +48,7 @@ EPOCHS, RATE = 5, 1.0
 PER_LANG, MAX_LANGS = 500, 400
 UNKNOWN = "und"
 #: Parts in which a language's ids are cut down to ``per_lang`` each, before they meet.
-SALTS = 64
+SALTS = 16
 #: Words whose logits are added up at once.
 STEP = 1 << 16
 
