@@ -31,10 +31,33 @@ def printf(template: str, *args: str) -> str:
 
 
 # --- item views ------------------------------------------------------------------
-def _positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense position of each item inside its (language, split) file, by item order."""
+ITEM_KEY = ["lang", "split", "item_no"]
+
+
+def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense position of each item inside its (language, split) file, by item order: keys and position only."""
+    items = v_items(spark, sf_dir).select(*ITEM_KEY)
+    return ranking.positions(items, ["lang", "split"], ["item_no"], pos_col="position").select(*ITEM_KEY, "position")
+
+
+#: Input sets of the request tables (A-REQ): human texts, their machine translations, and those translated back to English. The latter two
+#: have no English part, and keep the language the items came from in their ids.
+INPUTS = ["human", "mt", "bt"]
+
+
+def _input_items(spark: SparkSession, sf_dir: str, source: str = "human") -> DataFrame:
+    """Items of an input set; on the fixture the machine's texts are the human ones with a mark."""
     items = v_items(spark, sf_dir)
-    return ranking.positions(items, ["lang", "split"], ["item_no"], pos_col="position")
+    if source == "human":
+        return items
+    marked = [F.concat(F.lit(f"{source} "), F.col(c)).alias(c) if c in ("question", "opt_a", "opt_b") else F.col(c) for c in items.columns]
+    return items.filter(F.col("lang") != "en").select(*marked)
+
+
+def _positioned(spark: SparkSession, sf_dir: str, source: str = "human", pos: DataFrame | None = None) -> DataFrame:
+    """Whole items with their positions, met by key after the ranking."""
+    pos = pos if pos is not None else _positions(spark, sf_dir)
+    return _input_items(spark, sf_dir, source).join(pos, ITEM_KEY)
 
 
 POS_SQL = """pos AS (SELECT *, row_number() OVER (PARTITION BY lang, split ORDER BY item_no) - 1 AS position FROM v_items)"""
@@ -43,7 +66,7 @@ POS_SQL = """pos AS (SELECT *, row_number() OVER (PARTITION BY lang, split ORDER
 @register("position_index", f"WITH {POS_SQL} SELECT item_no, lang, split, position FROM pos")
 def position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sort_values().reset_index`` per (language, split) — same position = same item across languages."""
-    return _positioned(spark, sf_dir).select("item_no", "lang", "split", "position")
+    return _positions(spark, sf_dir).select("item_no", "lang", "split", "position")
 
 
 @register("union_splits", """
@@ -69,7 +92,7 @@ FROM pos
 """)
 def tag_split_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF10: literal split tag plus 0-based index inside each split file; the pair keys a training row."""
-    p = _positioned(spark, sf_dir)
+    p = _positions(spark, sf_dir)
     return p.select("lang", "split", "item_no", F.col("position").alias("index_value"),
                     F.concat(F.lit("mmlu-college_medicine-"), "split", F.lit("-"),
                              F.col("position").cast("string")).alias("row_key"))
@@ -80,8 +103,8 @@ def _topic(section: str = "section"):
     return F.replace(F.col(section), F.lit("_"), F.lit(" "))
 
 
-def _mc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dev = v_items(spark, sf_dir).filter(F.col("split") == "dev")
+def _mc_blocks(spark: SparkSession, sf_dir: str, source: str = "human") -> DataFrame:
+    dev = _input_items(spark, sf_dir, source).filter(F.col("split") == "dev")
     shot = pr.fmt(pr.MC_SHOT, F.col("shot_no").cast("string"), "question", "opt_a", "opt_b", "opt_c", "opt_d", "answer")
     return cu.few_shot_blocks(dev, ["section", "lang"], ["item_no"], shot)
 
@@ -99,10 +122,9 @@ def few_shot_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mc_blocks(spark, sf_dir)
 
 
-def _mc_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
-    pos = pos if pos is not None else _positioned(spark, sf_dir)
-    test = pos.filter(F.col("split") == "test")
-    blocks = _mc_blocks(spark, sf_dir)
+def _mc_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None, source: str = "human") -> DataFrame:
+    test = _positioned(spark, sf_dir, source, pos).filter(F.col("split") == "test")
+    blocks = _mc_blocks(spark, sf_dir, source)
     j = cu.with_block(test, blocks, ["section", "lang"])
     content = F.concat(pr.fmt(pr.MC_HEADER, _topic()), F.col("block"),
                        pr.fmt(pr.MC_QUESTION, "question", "opt_a", "opt_b", "opt_c", "opt_d"))
@@ -133,7 +155,7 @@ def _cloze_answer():
 
 def _sampled_dev_positions(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
     """SP1: five English dev items by md5 order; their positions are reused in every language."""
-    pos = pos if pos is not None else _positioned(spark, sf_dir)
+    pos = pos if pos is not None else _positions(spark, sf_dir)
     dev_en = pos.filter((F.col("split") == "dev") & (F.col("lang") == "en"))
     keyed = dev_en.withColumn("h", cu.md5_key(SEED, "item_no"))
     return ranking.top_k(keyed, [], ["h", "item_no"], 5, rank_col="sample_rank").select(
@@ -158,19 +180,20 @@ SELECT p.item_no, p.lang, p.position FROM pos p WHERE p.split = 'dev' AND p.posi
 """)
 def semi_dev_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PF6: dev rows of every language whose position is in the sampled set (left-semi join, not a Python set)."""
-    pos = _positioned(spark, sf_dir)
+    pos = _positions(spark, sf_dir)
     dev = pos.filter(F.col("split") == "dev")
     return dev.join(_sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi") \
         .select("item_no", "lang", "position")
 
 
-def _cloze_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
-    pos = pos if pos is not None else _positioned(spark, sf_dir)
-    dev = pos.filter(F.col("split") == "dev").join(
-        _sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi")
+def _cloze_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None, source: str = "human") -> DataFrame:
+    pos = pos if pos is not None else _positions(spark, sf_dir)
+    items = _positioned(spark, sf_dir, source, pos)
+    dev = items.filter(F.col("split") == "dev").join(
+        _sampled_dev_positions(spark, sf_dir, pos).select("position"), "position", "left_semi")  # sampled from the human English items
     shot = pr.fmt(pr.CLOZE_SHOT, F.col("shot_no").cast("string"), "question", "opt_a", "opt_b", _cloze_answer())
     blocks = cu.few_shot_blocks(dev, ["lang"], ["item_no"], shot)
-    test = cu.with_block(pos.filter(F.col("split") == "test"), blocks, ["lang"])
+    test = cu.with_block(items.filter(F.col("split") == "test"), blocks, ["lang"])
     content = F.concat(F.lit(pr.CLOZE_HEADER), F.col("block"), pr.fmt(pr.CLOZE_QUESTION, "question", "opt_a", "opt_b"))
     cid = F.concat(F.lit(pr.MODEL_PLACEHOLDER + "-on-"), "lang", F.lit("-winogrande-"),
                    F.col("position").cast("string"), F.lit("-answer-"), _cloze_answer())
@@ -197,8 +220,13 @@ def render_prompt_cloze(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cloze_requests(spark, sf_dir)
 
 
-def _passage_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = ranking.positions(v_items(spark, sf_dir), ["lang"], ["item_no"], pos_col="position")
+def _passage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.positions(v_items(spark, sf_dir).select("lang", "item_no"), ["lang"], ["item_no"], pos_col="position").select("lang", "item_no", "position")
+
+
+def _passage_requests(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None, source: str = "human") -> DataFrame:
+    pos = pos if pos is not None else _passage_positions(spark, sf_dir)
+    items = _input_items(spark, sf_dir, source).join(pos, ["lang", "item_no"])
     content = pr.fmt(pr.PASSAGE_PROMPT, "question", "section", "opt_a", "opt_b", "opt_c", "opt_d")
     cid = F.concat(F.lit(pr.MODEL_PLACEHOLDER + "-on-"), "lang", F.lit("-belebele-"),
                    F.col("position").cast("string"), F.lit("-answer-"), "answer")
@@ -231,14 +259,47 @@ SELECT custom_id, 'POST' AS method, '/v1/chat/completions' AS url, {_body_json()
 """)
 def build_eval_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-REQ: the full evaluation request table (5-shot MC, 5-shot cloze, 0-shot passage) in batch-API shape."""
-    pos = _positioned(spark, sf_dir)  # ranked once, shared by the two few-shot builders
-    reqs = _mc_requests(spark, sf_dir, pos).unionByName(_cloze_requests(spark, sf_dir, pos)).unionByName(
-        _passage_requests(spark, sf_dir))
+    return _as_batch(_all_requests(spark, sf_dir, "human", _positions(spark, sf_dir), _passage_positions(spark, sf_dir)))
+
+
+def _all_requests(spark: SparkSession, sf_dir: str, source: str, pos: DataFrame, passage_pos: DataFrame) -> DataFrame:
+    return (_mc_requests(spark, sf_dir, pos, source).unionByName(_cloze_requests(spark, sf_dir, pos, source))
+            .unionByName(_passage_requests(spark, sf_dir, passage_pos, source)))
+
+
+def _as_batch(reqs: DataFrame, *more: str) -> DataFrame:
     body = pr.request_body(F.lit(pr.MODEL_PLACEHOLDER), F.col("content"))
-    return reqs.select("custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
+    return reqs.select(*more, "custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
                        F.to_json(body).alias("body"), "status")
 
 
+def _input_sql(source: str) -> str:
+    """The three request tables of an input set; its own items everywhere but in the sample of English examples."""
+    req = f"""{MC_REQ_SQL},
+{CLOZE_REQ_SQL.replace(POS_SQL + ',', '', 1)},
+{PASSAGE_REQ_SQL}"""
+    req = req.replace("FROM pos WHERE split = 'dev' AND lang = 'en'", "FROM pos_human WHERE split = 'dev' AND lang = 'en'")
+    marked = ", ".join(f"'{source} ' || {c} AS {c}" for c in ("question", "opt_a", "opt_b"))
+    items = "items_in AS (SELECT * FROM v_items)" if source == "human" else f"items_in AS (SELECT * REPLACE ({marked}) FROM v_items WHERE lang <> 'en')"
+    return f"""SELECT '{source}' AS input, * FROM (WITH {items}, {POS_SQL.replace('pos AS', 'pos_human AS')}, {req.replace('FROM v_items', 'FROM items_in')}
+  SELECT * FROM mc UNION ALL SELECT * FROM cloze UNION ALL SELECT * FROM passage)"""
+
+
+@register("build_input_requests", f"""
+WITH r AS ({" UNION ALL ".join(_input_sql(x) for x in INPUTS)})
+SELECT input, custom_id, 'POST' AS method, '/v1/chat/completions' AS url, {_body_json()} AS body, status FROM r
+""")
+def build_input_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-REQ: the request tables of all input sets: human, machine-translated, translated back. Positions, and the sampled
+    English examples, are those of the human items, so an id means the same item in each; they are ranked once."""
+    pos, passage = _positions(spark, sf_dir), _passage_positions(spark, sf_dir)
+    out = None
+    for source in INPUTS:
+        r = _all_requests(spark, sf_dir, source, pos, passage).withColumn("input", F.lit(source))
+        out = r if out is None else out.unionByName(r)
+    return _as_batch(out, "input")
+
+
 @register("explode_trials", "SELECT item_no, lang, CAST(t.trial AS BIGINT) AS trial FROM v_items, (VALUES (0), (1), (2)) AS t(trial)")
 def explode_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sample asked three times — ``explode(sequence(0, 2))`` instead of a cross join."""

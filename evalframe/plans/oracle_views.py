@@ -21,6 +21,8 @@ SELECT event_id AS response_id, CAST(FLOOR(event_id / 1200) AS BIGINT) AS item_i
   CASE WHEN k % 2 = 1 AND k % 3 = 1 THEN 'low' WHEN k % 2 = 1 AND k % 3 = 2 THEN 'high' END AS quality,
   CASE WHEN k % 2 = 1 AND k % 3 > 0 THEN CASE CAST(FLOOR(event_id / 15) AS BIGINT) % 4 WHEN 0 THEN '25%' WHEN 1 THEN '50%' WHEN 2 THEN '75%' ELSE '100%' END END AS pct_used,
   CASE WHEN event_id % 7 < 4 THEN 'Human - Upwork.com' WHEN event_id % 7 < 6 THEN 'Machine (gt)' ELSE 'Machine (bt)' END AS approach,
+  CASE WHEN event_id % 7 < 6 THEN 'en' ELSE CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END END AS source_lang,
+  CASE WHEN event_id % 7 < 6 THEN CASE user_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'af' WHEN 2 THEN 'zu' ELSE 'xh' END ELSE 'en' END AS target_lang,
   CASE WHEN value > 30 + 5 * (user_id % 4) THEN 1 ELSE 0 END AS correct
 FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) e
 """,

@@ -59,6 +59,8 @@ def v_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         q.alias("quality"),
         F.when(ft & (F.col("k") % 3 > 0), pct).alias("pct_used"),
         F.when(m7 < 4, "Human - Upwork.com").when(m7 < 6, "Machine (gt)").otherwise("Machine (bt)").alias("approach"),
+        F.when(m7 < 6, "en").otherwise(_lang4(F.col("user_id"))).alias("source_lang"),
+        F.when(m7 < 6, _lang4(F.col("user_id"))).otherwise("en").alias("target_lang"),
         F.when(F.col("value") > 30 + 5 * (F.col("user_id") % 4), 1).otherwise(0).alias("correct"),
     )
 
