@@ -193,7 +193,7 @@ def test_lines_with_clashing_names(spark, tmp_path):
     docs = clashing(spark)
     docs.write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
-    out = fuzzy_lines.dedup_lines(docs, stored=True, whole=True)
+    out = fuzzy_lines.dedup_lines(docs, stored=True)
     got = {r.doc_id: (r.n_lines, r.n_removed, r.uid) for r in out.filter("doc_id < 4").collect()}
     assert got == {1: (2, 0, "own"), 2: (2, 1, "own"), 3: (0, 0, "own")} and out.columns == [c for c in docs.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"]
     stage = cp.lines(spark, docs, str(tmp_path))
