@@ -42,20 +42,6 @@ QUALITY_CATEGORIES = ["Completely wrong", "Good translation", "Understandable"]
 RANDOM_BASELINE_PCT = {"winogrande": 50.0}  # every other benchmark: 4 options -> 25.0
 LIFT_THRESHOLD_PCT = 5
 ANSWER_LETTERS = ["A", "B", "C", "D"]
-
-# Model id -> display label, as printed in the headline tables.
-REFERENCE_MODEL_LABELS = {
-    "gpt-4o-2024-05-13": "GPT-4o",
-    "gpt-4-turbo-2024-04-09": "GPT-4",
-    "gpt-3.5-turbo-1106": "GPT-3.5",
-    "unsloth/llama-3-70b-Instruct-bnb-4bit": "Llama 3 70B IT",
-    "unsloth/llama-3-8b-Instruct-bnb-4bit": "Llama 3 8B IT",
-    "unsloth/Phi-3-mini-4k-instruct-bnb-4bit": "Phi 3 Mini 4K IT",
-    "CohereForAI/aya-23-35B": "Aya 23 35B",
-    "CohereForAI/aya-101": "Aya 101",
-    "bigscience/bloomz-7b1": "BLOOMZ 7b1",
-}
-REFERENCE_BASELINE_MODEL = "unsloth/llama-3-70b-Instruct-bnb-4bit"
 # ---------------------------------------------------------------------------
 
 # The driver fixtures (FIXTURES.md §C) express models as event types. These

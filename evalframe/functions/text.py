@@ -42,8 +42,3 @@ def initials(name) -> Column:
     parts = F.split(_c(name), "-")
     first, second = F.try_element_at(parts, F.lit(1)), F.try_element_at(parts, F.lit(2))
     return F.when(second.isNotNull(), F.concat(first, F.lit("."), second, F.lit(".")))
-
-
-def chat_messages(*turns: tuple[str, Column]) -> Column:
-    """``array<struct<role, content>>`` from (role, content) pairs."""
-    return F.array(*[F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns])

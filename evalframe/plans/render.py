@@ -22,8 +22,8 @@ GAIN_LINES = {
 
 
 def gain_report_text(report: DataFrame) -> str:
-    """Render the (metric, value_pct, n) frame as text lines, rounded to 0.1 for display."""
-    rows = {r["metric"]: r for r in report.collect()}  # bounded: one row per metric name
+    """Render the (metric, value_pct, n) frame as text lines, rounded to 0.1 for display; a metric without gains has no line."""
+    rows = {r["metric"]: r for r in report.filter("value_pct IS NOT NULL").collect()}  # bounded: one row per metric name
     lines = []
     for key, template in GAIN_LINES.items():
         if key in rows:
