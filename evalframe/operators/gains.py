@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalframe.operators import checks
+
 from evalframe import dims
 from evalframe.operators import accuracy as acc
 
@@ -59,3 +61,14 @@ def five_numbers(value: Column) -> list[Column]:
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
     names = ["p_min", "p_q1", "p_median", "p_q3", "p_max"]
     return [p.getItem(i).alias(n) for i, n in enumerate(names)]
+
+
+def step_gains(cells: DataFrame, keys: list[str], axis: str, upper: str, lower: str, value: str = "m") -> DataFrame:
+    """``(*keys, gain)``: by how much the cell at ``upper`` of an axis exceeds that at ``lower``, where both exist.
+
+    One aggregate per key instead of a self-join; a repeated cell raises.
+    """
+    what = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    of = lambda x: checks.the_only(F.col(axis).eqNullSafe(x), F.col(value), "double", F.concat(what, F.lit(f", {x}")))
+    steps = cells.groupBy(*keys).agg((of(upper) - of(lower)).alias("gain"))
+    return steps.filter(F.col("gain").isNotNull())

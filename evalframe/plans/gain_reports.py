@@ -210,13 +210,8 @@ def gain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                  & (F.col("train_data") == "mmlu-college_medicine"))
     qm = acc.mean_over_trials(q, ["eval_lang", "quality", "pct_used"]).select(
         "eval_lang", "quality", "pct_used", F.col("mean_acc").alias("m"))
-    a, b = qm.alias("a"), qm.alias("b")
-    quantity = a.join(b, (F.col("a.eval_lang") == F.col("b.eval_lang")) & (F.col("a.quality") == F.col("b.quality"))
-                      & (F.col("a.pct_used") == "100%") & (F.col("b.pct_used") == "50%")) \
-        .select((F.col("a.m") - F.col("b.m")).alias("gain"))
-    quality = a.join(b, (F.col("a.eval_lang") == F.col("b.eval_lang")) & (F.col("a.pct_used") == F.col("b.pct_used"))
-                     & (F.col("a.quality") == "high") & (F.col("b.quality") == "low")) \
-        .select((F.col("a.m") - F.col("b.m")).alias("gain"))
+    quantity = g.step_gains(qm, ["eval_lang", "quality"], "pct_used", "100%", "50%")
+    quality = g.step_gains(qm, ["eval_lang", "pct_used"], "quality", "high", "low")
 
     def stat(df: DataFrame, metric, fn) -> DataFrame:
         return df.agg(fn(F.col("gain") * 100).alias("value_pct"), F.count(F.lit(1)).alias("n")) \

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.numeric import mean_tenths
 from evalframe.operators import agreement as ag
+from evalframe.operators import gains
 from evalframe.operators.costs import project_costs
 
 # --- fixed values: translation-quality contingency (rater 1 / rater 2) per language -------------
@@ -87,3 +88,33 @@ def test_g7_cost_projection(spark):
     assert mini["std"] == pytest.approx(29.43, abs=0.01)
     assert mini["ci_lower"] == pytest.approx(265.25, abs=0.02) and mini["ci_upper"] == pytest.approx(382.97, abs=0.02)
     assert out["o1_costs"]["mean"] == pytest.approx(1620.54, abs=0.02)
+
+
+# --- fixed values: mean accuracies at 25, 50, 75 and 100 % of the low- and the high-quality training rows, by language, and the published statistics
+G5 = {
+    "af": ([64.4, 63.8, 67.3, 71.1], [72.5, 75.4, 76.3, 75.6]),
+    "am": ([44.8, 42.9, 45.9, 48.4], [48.2, 48.2, 51.3, 51.7]),
+    "bm": ([32.8, 34.9, 32.7, 33.9], [32.1, 33.6, 38.7, 36.1]),
+    "ig": ([41.9, 43.4, 40.9, 47.5], [48.7, 47.9, 50.8, 50.3]),
+    "nso": ([39.5, 46.3, 41.9, 46.4], [46.9, 47.4, 54.0, 53.6]),
+    "sn": ([43.7, 46.7, 43.8, 44.5], [46.8, 48.9, 50.1, 52.4]),
+    "st": ([48.8, 44.4, 39.5, 44.0], [47.9, 50.7, 53.3, 54.7]),
+    "tn": ([44.0, 44.3, 46.7, 35.9], [46.9, 46.9, 45.7, 45.3]),
+    "ts": ([36.4, 36.8, 34.3, 40.5], [37.9, 43.6, 43.3, 47.4]),
+    "xh": ([42.2, 34.3, 40.7, 42.3], [39.9, 48.8, 47.6, 48.9]),
+    "zu": ([44.6, 39.5, 42.5, 41.5], [40.5, 44.0, 49.8, 50.2]),
+}
+G5_QUALITY_AVG, G5_QUALITY_MAX, G5_QUALITY_N, G5_QUANTITY_AVG, G5_QUANTITY_N = 5.4, 14.5, 44, 2.3, 22
+
+
+def test_g5_gains_by_quality_and_quantity(spark):
+    rows = [(lang, q, f"{p}%", v) for lang, both in G5.items() for q, values in zip(("low", "high"), both) for p, v in zip((25, 50, 75, 100), values)]
+    cells = spark.createDataFrame(rows, "eval_lang string, quality string, pct_used string, m double")
+    quality = gains.step_gains(cells, ["eval_lang", "pct_used"], "quality", "high", "low")
+    q = quality.agg(F.avg("gain").alias("a"), F.max("gain").alias("m"), F.count("gain").alias("n")).first()
+    assert (round(q.a, 1), round(q.m, 1), q.n) == (G5_QUALITY_AVG, G5_QUALITY_MAX, G5_QUALITY_N)
+    quantity = gains.step_gains(cells, ["eval_lang", "quality"], "pct_used", "100%", "50%")
+    d = quantity.agg(F.avg("gain").alias("a"), F.count("gain").alias("n")).first()
+    assert d.n == G5_QUANTITY_N and abs(d.a - G5_QUANTITY_AVG) <= 0.05 + 1e-9  # from rounded cells: 2.25
+    with pytest.raises(Exception, match="2 rows for one cell"):
+        gains.step_gains(cells.unionByName(cells.filter("eval_lang = 'af' and pct_used = '25%'")), ["eval_lang", "pct_used"], "quality", "high", "low").collect()
