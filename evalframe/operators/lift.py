@@ -55,6 +55,12 @@ def policy_filter(surveys: DataFrame, policy: str) -> DataFrame:
     raise ValueError(policy)
 
 
+def with_differences(r: DataFrame) -> DataFrame:
+    """ST11: gaps between appropriate and inappropriate items, in the language and in English, and their difference."""
+    return (r.withColumn("diff", F.col("app_acc") - F.col("inapp_acc")).withColumn("en_diff", F.col("en_app_acc") - F.col("en_inapp_acc"))
+            .withColumn("did", F.col("diff") - F.col("en_diff")))
+
+
 def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFrame:
     """Per (model, language): item totals by stratum, accuracy on appropriate / inappropriate items in the
     language and in English on the same items, their gaps and the difference-in-differences.
@@ -85,6 +91,4 @@ def lift_report(surveys: DataFrame, responses: DataFrame, policy: str) -> DataFr
     r = r.select("model", "lang", "n_app", "n_inapp",
                  pct("s_app", "n_app").alias("app_acc"), pct("s_inapp", "n_inapp").alias("inapp_acc"),
                  pct("e_app", "n_app").alias("en_app_acc"), pct("e_inapp", "n_inapp").alias("en_inapp_acc"))
-    return r.withColumn("diff", F.col("app_acc") - F.col("inapp_acc")) \
-        .withColumn("en_diff", F.col("en_app_acc") - F.col("en_inapp_acc")) \
-        .withColumn("did", F.col("diff") - F.col("en_diff"))
+    return with_differences(r)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalframe.functions.numeric import mean_tenths
 from evalframe.operators import agreement as ag
-from evalframe.operators import gains
+from evalframe.operators import gains, lift
 from evalframe.operators.costs import project_costs
 
 # --- fixed values: translation-quality contingency (rater 1 / rater 2) per language -------------
@@ -118,3 +118,22 @@ def test_g5_gains_by_quality_and_quantity(spark):
     assert d.n == G5_QUANTITY_N and abs(d.a - G5_QUANTITY_AVG) <= 0.05 + 1e-9  # from rounded cells: 2.25
     with pytest.raises(Exception, match="2 rows for one cell"):
         gains.step_gains(cells.unionByName(cells.filter("eval_lang = 'af' and pct_used = '25%'")), ["eval_lang", "pct_used"], "quality", "high", "low").collect()
+
+
+# --- fixed values: accuracy on appropriate and inappropriate items, the same in English, published gaps and difference of gaps (all rounded)
+G9 = [  # model, language, app, inapp, en app, en inapp, gap, en gap, difference
+    ("GPT-4o", "xh", 65.5, 65.7, 83.9, 84.2, -0.2, -0.3, 0.1), ("GPT-4o", "zu", 69.1, 64.3, 85.1, 80.0, 4.8, 5.1, -0.4),
+    ("GPT-4o", "af", 81.7, 74.9, 85.3, 81.8, 6.8, 3.5, 3.3), ("GPT-4o", "ig", 60.7, 61.7, 84.9, 83.2, -1.0, 1.7, -2.7),
+    ("GPT-4", "xh", 61.4, 60.7, 83.1, 82.9, 0.8, 0.2, 0.6), ("GPT-4", "zu", 65.3, 59.2, 83.1, 82.8, 6.1, 0.3, 5.9),
+    ("GPT-4", "af", 80.0, 72.3, 84.8, 80.2, 7.8, 4.7, 3.1), ("GPT-4", "ig", 60.7, 57.5, 83.0, 83.1, 3.2, 0.0, 3.2),
+    ("GPT-3.5", "xh", 51.6, 53.5, 58.7, 59.0, -1.9, -0.3, -1.6), ("GPT-3.5", "zu", 49.7, 50.6, 58.5, 59.7, -1.0, -1.2, 0.3),
+    ("GPT-3.5", "af", 56.7, 51.9, 59.9, 57.0, 4.7, 2.9, 1.9), ("GPT-3.5", "ig", 51.9, 50.0, 61.0, 56.9, 1.8, 4.1, -2.3),
+]
+
+
+def test_g9_stratified_lift(spark):
+    df = spark.createDataFrame([r[:6] for r in G9], "model string, lang string, app_acc double, inapp_acc double, en_app_acc double, en_inapp_acc double")
+    got = {(r.model, r.lang): (r.diff, r.en_diff, r.did) for r in lift.with_differences(df).collect()}
+    for model, lang, *_, gap, en_gap, did in G9:  # from rounded inputs: one, one and two roundings of 0.05 on either side
+        a, b, c = got[model, lang]
+        assert abs(a - gap) <= 0.15 + 1e-9 and abs(b - en_gap) <= 0.15 + 1e-9 and abs(c - did) <= 0.25 + 1e-9
