@@ -42,7 +42,7 @@ def score_letter(custom_id, generation) -> Column:
 def score_binary_strict(custom_id, generation) -> Column:
     """gold option number present AND the other option number absent."""
     gold = F.substring(_c(custom_id), -1, 1)
-    other = (F.lit(3) - gold.cast("int")).cast("string")
+    other = (F.lit(3) - gold.try_cast("int")).cast("string")  # a gold that is no number scores False
     g = _c(generation)
     return F.coalesce(g.contains(gold) & ~g.contains(other), F.lit(False))
 
@@ -96,6 +96,21 @@ def score_generation(custom_id, generation, benchmark) -> Column:
         .otherwise(score_letter(custom_id, generation))
 
 
+def packed_score(order, custom_id, generation) -> Column:
+    """Load order and both scores of an answer in one number, so that ``max`` keeps the last answer (S9) in a hash aggregate.
+
+    Which score counts depends on the id alone (``unpacked_score``). ``order`` is below 2^61.
+    """
+    bits = F.when(score_binary_strict(custom_id, generation), 2).otherwise(0) + F.when(score_letter(custom_id, generation), 1).otherwise(0)
+    return F.shiftleft(_c(order).cast("bigint"), 2) + bits
+
+
+def unpacked_score(packed, benchmark) -> Column:
+    """The score (0 or 1) of the answer that ``packed_score`` kept, by the scorer of its benchmark."""
+    p = _c(packed)
+    return F.when(_c(benchmark) == "winogrande", F.shiftright(p, 1).bitwiseAND(F.lit(1))).otherwise(p.bitwiseAND(F.lit(1))).cast("int")
+
+
 def substitute_model(template, model) -> Column:
     """replace the ``<|MODEL|>`` placeholder (every occurrence)."""
     return F.replace(_c(template), F.lit("<|MODEL|>"), model if isinstance(model, Column) else F.lit(model))

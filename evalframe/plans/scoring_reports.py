@@ -97,10 +97,11 @@ LEFT JOIN agg a ON a.model = g.model AND a.benchmark = g.benchmark AND a.lang =
 """)
 def score_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-SCO: score the last answer of every request (S9), accuracy per (model, benchmark, language); −100 for untested languages."""
-    p = _parsed(spark, sf_dir)
-    p = p.groupBy("model", "benchmark", "lang", "custom_id").agg(F.max_by("content", "event_id").alias("content"))
-    scored = p.select("model", "benchmark", "lang",
-                      sc.score_generation("custom_id", "content", "benchmark").cast("int").alias("correct"))
+    g = v_generations(spark, sf_dir)
+    last = g.groupBy("custom_id").agg(F.max(sc.packed_score("event_id", "custom_id", "content")).alias("s"))  # texts stay in the scan
+    p = sc.parse_custom_id(F.col("custom_id"))
+    scored = last.select(p["model"].alias("model"), p["benchmark"].alias("benchmark"), p["lang"].alias("lang"),
+                         sc.unpacked_score("s", p["benchmark"]).alias("correct"))
     langs = list(dims.LANGUAGES)
     # one aggregate per (model, benchmark) with a count pair per language of the fixed list: the
     # sentinel grid needs no second pass and no join
