@@ -155,13 +155,10 @@ GEN_SCHEMA = T.StructType([
 ])
 
 
-def generation_json(g: DataFrame) -> DataFrame:
-    """Nest flat generations into the batch-output shape, serialised as JSON lines (schema A6)."""
-    nested = F.struct(
-        F.col("custom_id"),
-        F.struct(F.struct(F.array(F.struct(F.struct(F.col("content").alias("content")).alias("message")))
-                          .alias("choices")).alias("body")).alias("response"))
-    return g.select("event_id", F.to_json(nested).alias("line"))
+def generation_rows(g: DataFrame) -> DataFrame:
+    """Flat generations nested into the batch-output shape (schema A6), with their load order."""
+    body = F.struct(F.array(F.struct(F.struct("content").alias("message"))).alias("choices"))
+    return g.select("event_id", "custom_id", F.struct(body.alias("body")).alias("response"))
 
 
 @register("src_generations_json", """
@@ -171,12 +168,11 @@ FROM (SELECT event_id, to_json({'custom_id': custom_id, 'response': {'body': {'c
       FROM v_generations)
 """)
 def src_generations_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC3 / F5: JSON-lines generations parsed with a declared schema; content at
-    ``response.body.choices[0].message.content``."""
-    lines = generation_json(v_generations(spark, sf_dir))
-    parsed = lines.select("event_id", F.from_json("line", GEN_SCHEMA).alias("j"))
-    return parsed.select("event_id", F.col("j.custom_id").alias("custom_id"),
-                         F.try_element_at(F.col("j.response.body.choices"), F.lit(1))["message"]["content"].alias("content"))
+    """SRC3 / F5: generation files, JSON lines with a declared schema; content at ``response.body.choices[0].message.content``."""
+    path = files.scratch_path(spark, "generations")
+    files.write_jsonl(generation_rows(v_generations(spark, sf_dir)), path)
+    back = files.read_json(spark, path, T.StructType([T.StructField("event_id", T.LongType()), *GEN_SCHEMA.fields]))
+    return back.select("event_id", "custom_id", F.get("response.body.choices", F.lit(0))["message"]["content"].alias("content"))
 
 
 @register("src_json_map", """
