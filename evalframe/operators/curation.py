@@ -95,8 +95,8 @@ def fraction_samples(rows: DataFrame, group_cols: Sequence[str], id_col: str, fr
     larger ones (as same-seed samples are).
     """
     keyed = rows.withColumn("_h", md5_key(seed, id_col))
-    ranked = ranking.positions(keyed, group_cols, ["_h", id_col])
-    pct = F.explode(F.array(*[F.lit(p) for p in fractions])).alias("pct")
-    out = ranked.select("*", pct)
+    pct = F.explode(F.array(*[F.lit(p) for p in fractions]))
     take = F.bround(F.col("group_n") * F.col("pct") / 100.0, 0)
-    return out.filter(F.col("pos") < take).drop("_h")
+    cut = ranking.cuts(keyed, group_cols, ["_h", id_col], take, {"pct": pct})
+    out = ranking.with_cuts(keyed, cut, group_cols).filter(F.struct("_h", id_col) <= F.col("_cut"))
+    return out.drop("_h", "_cut")

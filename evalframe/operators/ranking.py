@@ -113,6 +113,27 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, po
                          F.col(f"_o.{size_col}").alias(size_col))
 
 
+def cuts(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], take: Column, fan: dict[str, Column] | None = None) -> DataFrame:
+    """``(*group_cols, *fan, _cut)``: the order key of each group's ``take``-th row, ``take`` being an expression of ``group_n``.
+
+    Only group and order columns are ranked and written. ``fan`` adds columns (an ``explode``, say) that ``take`` may use.
+    Rows of the table: groups times fan, to be joined by ``up_to``.
+    """
+    ranked = positions(df.select(*group_cols, *order_cols), group_cols, order_cols)
+    for name, value in (fan or {}).items():
+        ranked = ranked.withColumn(name, value)
+    return ranked.filter(F.col("pos") == take - 1).select(*group_cols, *(fan or {}), F.struct(*order_cols).alias("_cut"))
+
+
+def with_cuts(df: DataFrame, cut: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Every row beside the cuts of its group; null is a group like others."""
+    named = cut.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group_cols)], *[c for c in cut.columns if c not in group_cols])
+    same = F.lit(True)
+    for i, c in enumerate(group_cols):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(named, same).drop(*[f"_g{i}" for i in range(len(group_cols))])
+
+
 def ntile_from_position(pos: Column, n: Column, k: int) -> Column:
     """SQL ``ntile(k)`` (1-based) from a 0-based position and group size: the first n % k tiles get one extra."""
     q = F.floor(n / k).cast("bigint")

@@ -75,3 +75,23 @@ def test_range_exchange_width_follows_estimated_size(spark):
     big = spark.range(10 ** 9)   # planning-time estimate only (~8 GB): nothing is executed
     assert _range_partitions(small) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert _range_partitions(big) >= (8 * 10 ** 9) // (64 << 20)
+
+
+def test_samples_rank_no_text(spark, monkeypatch):
+    """The tables that ranking writes hold keys, no other column of a row; null groups and repeated ids stay."""
+    from evalframe.operators import curation as cu
+    from evalframe.operators import sampling as smp
+
+    written = []
+    plain = ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: written.append(df.columns) or plain(df, name))
+    rows = spark.createDataFrame([(("a", "b", None)[k % 3], k, "text " * 50) for k in range(90)] + [("b", 500, "more")], "g string, id long, text string")
+    b = smp.balance_classes(rows, "g", "id")
+    assert {r["g"]: r["count"] for r in b.groupBy("g").count().collect()} == {"a": 30, "b": 30, None: 30}
+    s = smp.stratified_split(rows, "g", "id")
+    assert {(r["g"], r["split"]): r["count"] for r in s.groupBy("g", "split").count().collect()}[("b", "test")] == 8
+    f = cu.fraction_samples(rows, ["g"], "id", [25, 50, 100])
+    got = {(r["g"], r["pct"]): r["count"] for r in f.groupBy("g", "pct").count().collect()}
+    assert got == {(x, p): n for x, ns in (("a", (8, 15, 30)), ("b", (8, 16, 31)), (None, (8, 15, 30))) for p, n in zip((25, 50, 100), ns)}
+    small, large = (set(map(tuple, f.filter(f"pct = {p}").select("g", "id").collect())) for p in (25, 50))
+    assert small < large and all("text" not in c for c in written) and len(written) == 3
