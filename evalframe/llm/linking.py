@@ -21,7 +21,8 @@ and aggregates over tables in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def shared(posts: DataFrame) -> DataFrame:
     return posts.join(n, "bucket")
 
 
-def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None,
+def link(posts: DataFrame | Sequence[DataFrame], test: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None,
          payload: tuple[str, ...] = (), bound: Callable[[DataFrame], DataFrame] | None = None,
          possible: Callable[[str, str], Column] | None = None,
          inside: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
@@ -68,7 +69,8 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     """``(id, component)`` as ``components`` gives it.
 
     ``posts``: ``(bucket, id, rank, *payload)``; with ``near``, ranks come from
-    ``ranks (id, rank)`` instead and are added once posts are few. ``test`` maps pairs ``(a, b)``,
+    ``ranks (id, rank)`` instead and are added once posts are few, and ``posts`` may be
+    several tables that share no bucket. ``test`` maps pairs ``(a, b)``,
     a < b, to the linked ones with their similarity, ``(a, b, score long)``. ``near(x, y)`` is a cheap condition on the payload
     columns with prefixes ``x`` and ``y``, applied as pairs are formed. For the
     rest, ``bound`` gives columns for its ids ``(id)``, and ``possible(x, y)`` is
@@ -80,9 +82,14 @@ def link(posts: DataFrame, test: Callable[[DataFrame], DataFrame], near: Callabl
     if near is None:
         posts = shared(materialize(posts.select("bucket", "id", "rank", *payload), "posts"))
     else:  # only posts with a near one in their bucket; a semi-join stops at the first and emits no pairs
-        x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols]).alias(p) for p in "xy"]
-        cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_id") != F.col("y_id")) & near("x", "y")
-        met = materialize(x.join(y, cond, "left_semi").select("bucket", *[F.col(f"x_{c}").alias(c) for c in cols]), "posts")
+        kinds = posts if isinstance(posts, (list, tuple)) else [posts]  # apart: a semi-join is pushed below a union, with the whole right side each time
+
+        def met_of(posts: DataFrame) -> DataFrame:
+            x, y = [posts.select("bucket", *[F.col(c).alias(f"{p}_{c}") for c in cols]).alias(p) for p in "xy"]
+            cond = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x_id") != F.col("y_id")) & near("x", "y")
+            return x.join(y, cond, "left_semi").select("bucket", *[F.col(f"x_{c}").alias(c) for c in cols])
+
+        met = materialize(reduce(DataFrame.unionByName, [met_of(p) for p in kinds]), "posts")
         posts = met.join(ranks, "id").select("bucket", "id", "rank", *payload)
     posts = materialize(posts, "posts")
     n_posts = posts.count()
