@@ -31,6 +31,7 @@ from evalframe.session import materialize
 
 #: Ids of this number (8 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+BROADCAST_BYTES = 40 << 20
 #: Pairs per post up to which all pairs of different components are formed at once.
 FEW = 4
 
@@ -177,10 +178,14 @@ def as_stored(df: DataFrame, stored: bool) -> DataFrame:
     return df if stored else materialize(df, "input")
 
 
-def rows_of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``df`` joined with ``ids`` (which has ``key``): sent to the scan if there are few, by a shuffle otherwise."""
+def rows_of_ids(df: DataFrame, ids: DataFrame, key: str, size: Column | None = None) -> DataFrame:
+    """``df`` joined with ``ids`` (which has ``key``): sent to the scan if there are few, by a shuffle otherwise.
+
+    Few are at most ``BROADCAST_IDS`` rows of ``BROADCAST_BYTES`` together; ``size`` tells a row's bytes, 16 by default.
+    """
     ids = materialize(ids, "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    n = ids.agg(F.count("*").alias("n"), F.sum(F.lit(16) if size is None else size).alias("b")).first()
+    few = n["n"] <= BROADCAST_IDS and (n["b"] or 0) <= BROADCAST_BYTES
     return df.join(F.broadcast(ids) if few else ids, key)
 
 
