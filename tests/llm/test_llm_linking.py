@@ -66,3 +66,17 @@ def test_hub_of_a_large_group_costs_no_pairs(spark):
 def test_rows_without_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "uid long, _row string").coalesce(1)
     assert [tuple(r) for r in rows_without(df, spark.createDataFrame([(0,)], "uid long")).collect()] == [(2, "b")]
+
+
+@pytest.mark.parametrize("limit", [{"BROADCAST_IDS": 0}, {"BROADCAST_BYTES": 0}, {}])
+def test_rows_of_ids_by_either_way(spark, monkeypatch, limit):
+    """Sent to the scan, or by a shuffle: the same rows."""
+    from evalframe.llm import linking
+
+    for k, v in limit.items():
+        monkeypatch.setattr(linking, k, v)
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(50)], "id long, t string")
+    ids = spark.createDataFrame([(k, k * 2) for k in range(0, 60, 7)], "id long, n int")
+    got = linking.rows_of_ids(df, ids, "id", F.col("n") * 0 + 8)
+    assert {tuple(r) for r in got.collect()} == {(k, f"t{k}", k * 2) for k in range(0, 50, 7)}
+    assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) or limit
