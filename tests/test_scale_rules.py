@@ -71,3 +71,20 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_lift_sends_no_survey_rows_to_the_driver(spark):
+    """Stored surveys take a few bytes a row and would be broadcast by their file size, whatever their number."""
+    typical = "No, the sentence is typical"
+    kinds = [("af", typical), ("af", "Maybe"), ("zu", typical), ("zu", None), ("en", typical)]
+    surveys = spark.createDataFrame([(k % 3, lang, a, typical, None, None) for k in range(300) for lang, a in kinds],
+                                    "answer_item long, lang string, approp_1 string, approp_2 string, quality_1 string, quality_2 string")
+    right = {(0, "af"): (1, 1, 0), (0, "en"): (1, 1, 1), (1, "af"): (1, 0, 0), (1, "en"): (0, 1, 0), (0, "zu"): (1, 0)}
+    answers = [("m", i, lang, t, 10 * t, c, False, "winogrande", "Human") for (i, lang), cs in right.items() for t, c in enumerate(cs, 1)]
+    responses = spark.createDataFrame(answers, "model string, item_id long, eval_lang string, trial int, response_id long, correct int, "
+                                               "was_ft boolean, benchmark string, approach string")
+    out = lift.lift_report(surveys, responses, "all")
+    got = {r.lang: (r.n_app, r.n_inapp, round(r.app_acc, 6), round(r.inapp_acc, 6), round(r.en_app_acc, 6)) for r in out.collect()}
+    assert got == {"af": (200, 200, 50.0, 50.0, 66.666667), "zu": (200, 200, 0.0, 0.0, 66.666667)}
+    plan = out._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin [item_id" not in plan and "SortMergeJoin [item_id" in plan
