@@ -75,10 +75,6 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.classification_report(s, "y", "p")
 
 
-_FACTORS_SQL = ", ".join(f"('{d}', {r}, {a}::BIGINT, {b}::BIGINT)" for d in ("appropriate", "inappropriate") for r in range(1, N_REPS + 1)
-                         for a, b in [smp.replicate_factors(d, r)])
-
-
 @register("resample_null_distribution", f"""
 WITH {J1_SQL},
 d AS (
@@ -88,12 +84,12 @@ d AS (
 sizes AS (
   SELECT lang, 'appropriate' AS draw, SUM(app) AS n, SUM(app * correct) AS c FROM d GROUP BY lang
   UNION ALL SELECT lang, 'inappropriate', SUM(1 - app), SUM((1 - app) * correct) FROM d GROUP BY lang),
-f(draw, rep, a, b) AS (VALUES {_FACTORS_SQL}),
-h AS (SELECT *, ('0x' || substr(md5(CAST(survey_key AS VARCHAR) || '-' || CAST(response_id AS VARCHAR)), 1, 15))::BIGINT % {smp.PRIME} AS h FROM d),
 reps AS (
-  SELECT h.*, s.draw, f.rep, s.n,
-    row_number() OVER (PARTITION BY h.lang, s.draw, f.rep ORDER BY (f.a * h.h + f.b) % {smp.PRIME}, h.survey_key, h.response_id) - 1 AS pos
-  FROM h JOIN sizes s ON s.lang = h.lang JOIN f ON f.draw = s.draw),
+  SELECT d.*, s.draw, r.rep, s.n,
+    row_number() OVER (PARTITION BY d.lang, s.draw, r.rep
+      ORDER BY md5('x-' || s.draw || '-' || CAST(r.rep AS VARCHAR) || '-' || CAST(d.survey_key AS VARCHAR) || '-' || CAST(d.response_id AS VARCHAR)),
+        d.survey_key, d.response_id) - 1 AS pos
+  FROM d JOIN sizes s ON s.lang = d.lang CROSS JOIN range(1, {N_REPS + 1}) AS r(rep)),
 rates AS (SELECT lang, draw, rep, SUM(correct) * 1.0 / max(n) AS rate FROM reps WHERE pos < n GROUP BY ALL)
 SELECT r.lang, r.draw, CAST(s.n AS BIGINT) AS n_stratum, round(s.c * 1.0 / s.n, 6) AS observed_rate, COUNT(*) AS n_reps,
   round(quantile_cont(rate, 0.0), 6) AS p_min, round(quantile_cont(rate, 0.25), 6) AS p_q1,
@@ -112,7 +108,7 @@ def resample_null_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   F.sum((1 - F.col("app")) * F.col("correct")).alias("c_in"))
     sizes = sizes.selectExpr("lang", "stack(2, 'appropriate', n_app, c_app, 'inappropriate', n_in, c_in) as (draw, n, c)")
     rates = smp.resample_rates(d, ["lang"], ["survey_key", "response_id"], "correct",
-                               sizes.select("lang", "draw", "n"), ["appropriate", "inappropriate"], N_REPS)
+                               sizes.select("lang", "draw", "n"), ["appropriate", "inappropriate"], N_REPS, own_hash=True)
     box = rates.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n_reps"), *five_numbers(F.col("rate")))
     return box.join(sizes, ["lang", "draw"]).select(
         "lang", "draw", F.col("n").alias("n_stratum"), (F.col("c") / F.col("n")).alias("observed_rate"),
