@@ -9,7 +9,7 @@ from evalframe.functions.text import initials as initials_fn
 from evalframe.functions.text import word_count
 from evalframe.operators import checks, ranking
 from evalframe.operators.pairing import consecutive_turns, translation_triples
-from evalframe.operators.rouge import rouge1, rouge1_many
+from evalframe.operators.rouge import rouge1, rouge1_many, rouge1_pairs_of
 from evalframe.plans.catalog import register
 from evalframe.sources.tables import read_table, v_translations, v_workflow
 
@@ -181,19 +181,17 @@ s AS (SELECT x.target_lang, CASE WHEN substr(right(r.pair_id, 2), 1, 1) = 'b' TH
 """)
 def rouge_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A-RG2: translations before and after the verifier's correction, each against the machine translation and the English
-    original, by language. Both texts of a row are scored in one pass each; only scores leave it."""
+    original, by language. All texts of a row are scored in one pass; only scores leave it."""
     p = _translation_pairs(spark, sf_dir, raise_on=(checks.REPEATED,)).filter(F.col("status") == checks.OK)
     w = _workflow_by_question(spark, sf_dir).select("question_id", "initial_text", F.coalesce("correction", "initial_text").alias("final_text"))
     x = p.select("question_id", "target_lang", "mt_text", "en_text").join(w, "question_id")
     ids = ["question_id", "target_lang"]
-    long = None
-    for name, text in (("before", "initial_text"), ("after", "final_text")):
-        r = rouge1_many(x, ids, text, ["mt_text", "en_text"])
-        r = r.select(*ids, F.lit(name).alias("round"), F.explode(F.array(
-            F.struct(F.lit("vs_machine_translation").alias("measure"), F.col("rouge1_mt_text").alias("rouge1")),
-            F.struct(F.lit("vs_original_english").alias("measure"), F.col("rouge1_en_text").alias("rouge1")))).alias("m"))
-        r = r.select("question_id", "target_lang", "round", "m.measure", "m.rouge1")
-        long = r if long is None else long.unionByName(r)
+    kinds = [(r, text, m, other) for r, text in (("before", "initial_text"), ("after", "final_text"))
+             for m, other in (("vs_machine_translation", "mt_text"), ("vs_original_english", "en_text"))]
+    r = rouge1_pairs_of(x, ids, [(text, other) for _, text, _, other in kinds])
+    long = r.select(*ids, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("round"), F.lit(m).alias("measure"), F.col(f"rouge1_{k}").alias("rouge1"))
+        for k, (name, _, m, _) in enumerate(kinds)])).alias("m")).select("question_id", "target_lang", "m.*")
     return _box(long, ["target_lang", "round", "measure"], "rouge1", "question_id")
 
 

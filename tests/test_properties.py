@@ -79,3 +79,22 @@ def test_g4_zero_percent_column_is_the_baseline(spark):
     base = {r["benchmark"]: r for r in Q["cross_lingual_mean"](spark, SF_SMALL).filter(F.col("train_data") == "base").collect()}
     for r in qq:
         assert r["mean_pct"] == base[r["benchmark"]][r["lang"]]
+
+
+def test_rouge_moves_no_words(spark):
+    """Words are counted inside their row: no row per word, whatever ids repeat or are null."""
+    from collections import Counter
+
+    from evalframe.operators.rouge import rouge1_pairs_of
+
+    rows = [(1, "a b a  c", "a a a b", None), (2, None, "x", "x"), (3, " ", "", "y"), (None, "q q", "q", "q q q"), (1, "c c", "c", "a"), (4, "b b 0 0", "0 b", "b 0 0 b")]
+    df = spark.createDataFrame(rows, "id int, x string, y string, z string")
+    out = rouge1_pairs_of(df, "id", [("x", "y"), ("z", "x")])
+    got = {r.id: (r.len_a_0, r.len_b_0, r.overlap_0, r.len_a_1, r.overlap_1) for r in out.collect()}
+    want = {}
+    for i in {r[0] for r in rows}:
+        x, y, z = (Counter(w for r in rows if r[0] == i for w in (r[k] or "").split()) for k in (1, 2, 3))
+        want[i] = (x.total(), y.total(), (x & y).total(), z.total(), (x & z).total())
+    assert got == want
+    plan = out._jdf.queryExecution().toString()
+    assert plan.count("HashAggregate") <= 2 * plan.count("ObjectHashAggregate")  # texts are gathered, words are not
