@@ -6,13 +6,15 @@ answered again, and the answer latest in load order (``seq``) counts, as in the
 batch scorer (of equal ``seq`` a right one).
 
 Answers are scored as they are read. The state store keeps, per request, the
-``seq`` and score of its last answer; an epoch touches only the requests it has
-answers for, and emits what they change in the counts: one more answer where the
-request is new, the difference of the scores where it is answered again, nothing
-where the answer is older than the known one. The sink adds an epoch's changes to
-the counts of the epoch before, a table of one row per (model, language,
+``seq`` and score of its last answer, in ``SHARDS`` shards of requests by the hash
+of their ids (a state of its own costs milliseconds in Python, far more than the
+requests of a shard together). An epoch touches only the shards it has answers
+for, and emits what they change in the counts, a row per request: one more answer
+where the request is new, the difference of the scores where it is answered again,
+nothing where the answer is older than the known one. The sink adds an epoch's
+changes to the counts of the epoch before, a table of one row per (model, language,
 benchmark), and writes them as a folder of this epoch. So the work of an epoch
-follows its batch, whatever has been answered before.
+follows its batch, and the shards of its requests, whatever else has been answered before.
 
 Restarts: an epoch that failed runs again on the same files and the state before
 it, so it emits the same changes, and it rewrites its own folder from that of the
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +41,12 @@ GENERATION_SCHEMA = T.StructType([
 CELL = ["model", "lang", "benchmark"]
 COUNTS_SCHEMA = "model string, lang string, benchmark string, n_answers long, n_correct long"
 FILES_PER_TRIGGER = 1000
+#: Shards of requests, each one row of the state; fixed in a checkpoint, like its partitions. 10 million requests are 2,400 a shard.
+SHARDS = 1 << 12
+#: Bytes of the hash that tells a shard's requests apart.
+DIGEST = 16
+#: A shard: its requests' hashes, the ``seq`` and the score of their last answers, one after the other.
+SHARD_SCHEMA = "ids binary, seqs binary, scores binary"
 #: State on the executors' disks with increments in the checkpoint, not in their heaps.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,25 +72,35 @@ def running_accuracy(scores: DataFrame) -> DataFrame:
 
 def changes(answers: DataFrame) -> DataFrame:
     """The stream of changes in the counts. Answers without an id or ``seq`` are left out."""
-    cell = list(CELL)
+    cell, size = list(CELL), DIGEST
 
-    def change_of(key: tuple, answers: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        """What new answers of one request change in the counts."""
-        known = state.get if state.exists else None
-        best = known
+    def changes_of(key: tuple, answers: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        """What new answers to requests of one shard change in the counts."""
+        ids, seqs, scores = map(bytes, state.get) if state.exists else (b"", b"", b"")
+        known = {ids[size * k:size * (k + 1)]: last for k, last in enumerate(zip(np.frombuffer(seqs, "<i8").tolist(), scores))}
+        new = {}
         for part in answers:
-            for seq, correct in zip(part["seq"], part["correct"]):
+            for i, seq, correct, *of in zip(*(part[c].tolist() for c in ["id", "seq", "correct", *cell])):
+                best = new[i][0] if i in new else known.get(i)
                 if best is None or (seq, correct) > best:
-                    best = (int(seq), int(correct))
-        if best is None or best == known:
+                    new[i] = ((seq, correct), of)
+        if not new:
             return
-        state.update(best)
-        change = (0, best[1] - known[1]) if known else (1, best[1])
-        if any(change):
-            yield pd.DataFrame([(*key[1:], *change)], columns=[*cell, "n_answers", "n_correct"])
+        out = []
+        for i, (best, of) in new.items():
+            change = (0, best[1] - known[i][1]) if i in known else (1, best[1])
+            known[i] = best
+            if any(change):
+                out.append((*of, *change))
+        seqs, scores = zip(*known.values())
+        state.update((b"".join(known), np.array(seqs, "<i8").tobytes(), bytes(scores)))
+        if out:
+            yield pd.DataFrame(out, columns=[*cell, "n_answers", "n_correct"])
 
     known = scored(answers).filter(F.col("custom_id").isNotNull() & F.col("seq").isNotNull() & F.col("correct").isNotNull())
-    return known.groupBy("custom_id", *CELL).applyInPandasWithState(change_of, COUNTS_SCHEMA, "seq long, correct int", "update", "NoTimeout")
+    digest = F.unhex(F.substring(F.sha2("custom_id", 256), 1, 2 * DIGEST))
+    known = known.select(F.pmod(F.xxhash64("custom_id"), F.lit(SHARDS)).alias("shard"), digest.alias("id"), "seq", "correct", *CELL)
+    return known.groupBy("shard").applyInPandasWithState(changes_of, COUNTS_SCHEMA, SHARD_SCHEMA, "update", "NoTimeout")
 
 
 def _folder(table_dir: str, epoch: int) -> str:

@@ -103,3 +103,20 @@ def test_counts_without_the_epoch_before_raise(spark):
     spark.createDataFrame([(2, ID, "B")], "seq long, custom_id string, content string").write.mode("append").json(f"{base}/answers")
     with pytest.raises(StreamingQueryException):
         stream.run_available(spark, f"{base}/answers", f"{base}/elsewhere", f"{base}/c")
+
+
+def test_requests_share_the_rows_of_the_state(spark):
+    """A state row costs milliseconds in Python, so there are at most ``SHARDS`` of them, whatever the number of requests."""
+    base = files.scratch_path(spark, "stream-shards")
+    rows = spark.range(3 * stream.SHARDS).select(
+        F.col("id").alias("seq"), F.concat(F.lit("view-on-af-mmlu-virology-"), "id", F.lit("-answer-A")).alias("custom_id"),
+        F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("content"))
+    rows.write.json(f"{base}/answers")
+    got = stream.run_available(spark, f"{base}/answers", f"{base}/table", f"{base}/c")
+    assert [(r.n_answers, r.n_correct) for r in got.collect()] == [(3 * stream.SHARDS, stream.SHARDS)]
+    again = rows.filter("seq < 5000").select((F.col("seq") + 10 ** 6).alias("seq"), "custom_id", F.lit("A").alias("content"))
+    again.write.mode("append").json(f"{base}/answers")
+    got = stream.run_available(spark, f"{base}/answers", f"{base}/table", f"{base}/c")
+    right = stream.SHARDS + sum(1 for k in range(5000) if k % 3)
+    assert [(r.n_answers, r.n_correct) for r in got.collect()] == [(3 * stream.SHARDS, right)]
+    assert spark.read.format("statestore").load(f"{base}/c").count() <= stream.SHARDS
