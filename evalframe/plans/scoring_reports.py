@@ -11,6 +11,7 @@ from evalframe.functions import scoring as sc
 from evalframe.functions.numeric import pct_tenths
 from evalframe.operators import costs, ranking
 from evalframe.plans.catalog import register
+from evalframe.session import materialize
 from evalframe.sources import answers, files, json_objects
 from evalframe.sources.tables import v_generations, v_items
 
@@ -234,7 +235,7 @@ GROUP BY o.model
 """)
 def src_generations_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC3 / S33: answer files with cut-off lines and failed calls: outcomes by file, the quarantine table, accuracy over the answered."""
-    outcomes = answers.read_outcomes(spark, _answer_files(spark, sf_dir))
+    outcomes = materialize(answers.read_outcomes(spark, _answer_files(spark, sf_dir)), "outcomes")  # read three times, parsed once
     kept = files.scratch_path(spark, "quarantine")
     answers.quarantine(outcomes, kept)
     model = F.regexp_extract("folder", "model=(.*)", 1).alias("model")

@@ -38,8 +38,9 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
     status = F.when(broken, BROKEN).when(content.isNull(), FAILED).otherwise(ANSWERED)
     # a line that parses but names no request is written out again as it was understood
     line = F.when(broken, F.coalesce(F.col(_RAW), F.to_json(F.struct("seq", "custom_id", "response"))))
-    return raw.select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)$", 1).alias("file"),
-                      status.alias("status"), F.coalesce("seq", "at").alias("seq"), F.when(~broken, F.col("custom_id")).alias("custom_id"),
+    # by counting from the end: a pattern bound to the end of a path is tried at each of its characters, for each line
+    name = lambda k: F.substring_index(F.substring_index("path", "/", -k), "/", 1)
+    return raw.select(name(2).alias("folder"), name(1).alias("file"), status.alias("status"), F.coalesce("seq", "at").alias("seq"), F.when(~broken, F.col("custom_id")).alias("custom_id"),
                       F.when(~broken, content).alias("content"), line.alias("line"))
 
 

@@ -7,6 +7,9 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
+from evalframe.plans import scoring_reports
+from evalframe.session import materialize
 from evalframe.sources import answers, files, layouts, release
 
 
@@ -44,6 +47,25 @@ def test_answer_lines_are_answered_failed_or_broken(spark):
     assert outcome == {"a": "answered", "b": "answered", "c": "pending", "d": "answered", "e": "failed", "f": "failed", "g": "pending"}
 
 
+def test_names_of_answer_files_cost_no_search_of_the_path(spark):
+    """A pattern bound to the end of a path is tried from each of its characters, for every line of the file."""
+    d = folder()
+    for at in ("model=a", "deep/model=b.c"):
+        os.makedirs(f"{d}/{at}")
+        with open(f"{d}/{at}/part 1.jsonl", "w") as f:
+            f.write(line("a", "x"))
+    o = answers.read_outcomes(spark, d)
+    assert sorted((r.folder, r.file) for r in o.select("folder", "file").collect()) == [("model=a", "part%201.jsonl"), ("model=b.c", "part%201.jsonl")]
+    assert "regexp" not in o._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quarantine_query_parses_its_lines_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(scoring_reports, "materialize", lambda df, name: kept.append(name) or materialize(df, name))
+    plan = scoring_reports.src_generations_quarantine(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert kept == ["outcomes"] and "json" not in plan.lower()
+
+
 def items(spark, n=40):
     return spark.range(n).select((F.col("id") % 3).cast("string").alias("split"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("l"), F.col("id") % 2)).alias("lang"),
                                  F.col("id").alias("n"), F.concat(F.lit("text "), "id").alias("text"))
