@@ -21,12 +21,15 @@ are ignored. Labels, language, source and ids are no features.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalframe.llm.kernels import slices
 from evalframe.llm.sampling import PER_CLASS, training_sample, windows, word_hashes
 from evalframe.llm.streams import arrow_schema, batched, rows_of
 from evalframe.llm.tokens import _held
@@ -46,7 +49,7 @@ def shape(word: str) -> bytes:
 
 class _Shapes(dict):
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         s = shape(word)
         if len(word) <= 64:
@@ -54,11 +57,11 @@ class _Shapes(dict):
         return s
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, values) of a text; slot ids ascend."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of a text; slot ids ascend."""
     words = text.split()
     if not words:
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = word_hashes([w.encode() for w in text.lower().split()])
     shapes = list(map(_held("shapes", _Shapes).__getitem__, words))
     s = word_hashes(shapes) ^ np.uint64(0x5851F42D4C957F2D)
@@ -67,13 +70,50 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         s[same] = np.uint64(0x2545F4914F6CDD1D)
     parts = [windows(h, 1), windows(h, 2), windows(s, 1), windows(s, 2), windows(s, 3)]
     slots, counts = np.unique(np.concatenate(parts) >> np.uint64(64 - BITS), return_counts=True)
+    return slots.astype(np.int64), counts
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of a text; slot ids ascend."""
+    slots, counts = counted(text)
     x = np.log1p(counts)
-    return slots.astype(np.int64), x / np.sqrt(np.dot(x, x))
+    return slots, x / np.sqrt(np.dot(x, x)) if len(x) else x
+
+
+class Examples:
+    """Training examples as ``train`` takes them, with five or six bytes per feature instead of sixteen; values are worked out as they are read.
+
+    Slots and counts lie in growing buffers, one for each width of counts.
+    """
+
+    def __init__(self):
+        self.slots, self.counts, self.held = array("i"), {k: array(k) for k in "BHIQ"}, []
+
+    def add(self, text: str, label: int) -> None:
+        slots, counts = counted(text)
+        kind = np.min_scalar_type(counts.max() if len(counts) else 0).char
+        kind = kind if kind in self.counts else "Q"
+        self.held.append((len(self.slots), len(self.counts[kind]), len(slots), kind, label))
+        self.slots.frombytes(slots.astype("i").tobytes())
+        self.counts[kind].frombytes(counts.astype(kind).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def labels(self) -> list[int]:
+        return [y for *_, y in self.held]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        slots, counts = np.frombuffer(self.slots, "i"), {k: np.frombuffer(c, k) for k, c in self.counts.items() if len(c)}
+        for at, of, n, kind, y in self.held:
+            x = np.log1p(counts[kind][of: of + n].astype(np.int64)) if n else np.zeros(0)
+            yield slots[at: at + n].astype(np.int64), x / np.sqrt(np.dot(x, x)) if n else x, y
 
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
+def train(examples: list[tuple[np.ndarray, np.ndarray, int]] | Examples, epochs: int = EPOCHS) -> np.ndarray:
     """FTRL-proximal weights, the bias last. Both classes weigh the same, however many examples each has."""
-    of = np.bincount([y for _, _, y in examples], minlength=2)
+    labels = examples.labels() if isinstance(examples, Examples) else [y for _, _, y in examples]
+    of = np.bincount(labels, minlength=2)
     share = np.where(of > 0, len(examples) / np.maximum(2.0 * of, 1), 0) if (of > 0).all() else np.ones(2)
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     bias = np.array([1 << BITS])
@@ -96,11 +136,17 @@ def fit(sample: DataFrame, shards: int = SHARDS) -> np.ndarray:
     schema = arrow_schema(out)
 
     def run(batches):
-        examples = [(*features(t), y) for _, y, t in rows_of(batches)]
-        if examples:
+        examples = Examples()
+        for b in batches:
+            for part in slices(b, "text"):
+                for _, y, t in rows_of([part]):
+                    examples.add(t, y)
+        if len(examples):
             w = train(examples)
-            seen = np.unique(np.concatenate([slots for slots, _, _ in examples] + [[1 << BITS]]))
-            yield from batched(((int(i), float(w[i])) for i in seen), schema, n=50_000)
+            seen = np.zeros((1 << BITS) + 1, dtype=bool)
+            seen[np.frombuffer(examples.slots, "i")] = True
+            seen[-1] = True
+            yield from batched(((int(i), float(w[i])) for i in np.flatnonzero(seen)), schema, n=50_000)
 
     dealt = (sample.select(F.xxhash64("sketch").alias("o"), "label", "text").repartition(shards, "o")
              .sortWithinPartitions("o", "label"))

@@ -91,3 +91,18 @@ def test_ftrl_learns_a_separable_toy():
 @pytest.mark.parametrize("word,want", [("EDTH!!", b"A!!"), ("Shti", b"B"), ("of%%%", b"a%%%"), ("|", b"|"), ("x9", b"a9")])
 def test_shapes(word, want):
     assert q.shape(word) == want
+
+
+def test_training_examples_are_held_compactly():
+    """At most six bytes a feature, values and weights bit by bit those of ``features``; a count above a byte's range is kept."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 400)) for _ in range(40)] + ["", " \n", "again " * 700, "one"]
+    examples = q.Examples()
+    for k, t in enumerate(texts):
+        examples.add(t, k % 2)
+    plain = [(*q.features(t), k % 2) for k, t in enumerate(texts)]
+    for (s, x, y), (slots, values, label) in zip(examples, plain, strict=True):
+        assert s.tolist() == slots.tolist() and x.tolist() == values.tolist() and y == label
+    assert q.train(examples, epochs=2).tolist() == q.train(plain, epochs=2).tolist()
+    held = sum(len(a) * a.itemsize for a in (examples.slots, *examples.counts.values()))
+    assert len(examples) == len(texts) and held <= 6 * sum(len(slots) for slots, _, _ in plain)
