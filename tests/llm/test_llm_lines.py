@@ -163,3 +163,37 @@ def test_lines_of_any_length(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(2)
     gone = {r.doc_id for r in fuzzy_lines.dedup_lines(df).collect() if r.n_removed}
     assert gone == {1, 4, 6, 8}
+
+
+def test_posts_are_shuffled_once(spark, monkeypatch):
+    """Both sides of the semi-join of each kind of posts read one shuffle."""
+    from evalframe.llm import linking
+
+    plans, write = [], linking.materialize
+
+    def kept(df, name):
+        if name == "posts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(linking, "materialize", kept)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(k, f"one line of ten words that comes again and again {chr(97 + k)}") for k in range(4)], "doc_id long, text string").coalesce(2)
+        assert sum(r.n_removed for r in fuzzy_lines.dedup_lines(df).collect()) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plans[0].count("LeftSemi") == plans[0].count("ReusedExchange") == 3
+
+
+def test_lines_of_a_block_need_near_words(spark):
+    """Lines of equal SimHashes are no candidates if more words differ than the edits allowed can change."""
+    both = [f"{p}_{b}" for p in "xy" for b in (*fuzzy_lines.BITS, "mk")]
+    mk = 20 << 2  # twenty words: three edits
+    rows = [(5, 0, 0b111, 0, mk, 5, 0b111, 0, 0, mk), (5, 0, 0b1111, 0, mk, 5, 0, 0, 0, mk), (5, 0, 0, 0, mk, 5, 0, 0, 0b1111, mk),
+            (5, 7, 7, 7, mk, 0xFFF5, 7, 7, 7, mk), (5, 7, 7, 7, mk, 5, 7, 7, 7, 16 << 2)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c.endswith('mk') else 'long'}" for c in both))
+    got = df.select(fuzzy_lines.near_lines("x", "y", 8, 0.85).alias("near")).collect()
+    assert [r.near for r in got] == [True, False, False, False, False]
