@@ -197,3 +197,28 @@ def test_lines_of_a_block_need_near_words(spark):
     df = spark.createDataFrame(rows, ", ".join(f"{c} {'int' if c.endswith('mk') else 'long'}" for c in both))
     got = df.select(fuzzy_lines.near_lines("x", "y", 8, 0.85).alias("near")).collect()
     assert [r.near for r in got] == [True, False, False, False, False]
+
+
+def test_posts_are_joined_by_a_merge(spark, monkeypatch):
+    """Lines under their SimHash blocks are many rows of a small file: Spark would send them to the driver, and to every task."""
+    from evalframe.llm import linking
+
+    plans, write = [], linking.materialize
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString() if name == "posts" else "")
+        return write(df, name)
+
+    monkeypatch.setattr(linking, "materialize", kept)
+    df = spark.createDataFrame([(k, f"one line of ten words that comes again and again {chr(97 + k)}") for k in range(4)], "doc_id long, text string").coalesce(2)
+    assert sum(r.n_removed for r in fuzzy_lines.dedup_lines(df).collect()) == 3
+    met = [p for p in plans if "LeftSemi" in p]
+    assert met[0].count("SortMergeJoin") == 3 and "BroadcastExchange" not in met[0]
+
+
+def test_normal_lines_are_their_words(spark):
+    rows = [" a  b\t\tC 12\x0b", "\t\r", "", "x\x0c y 1a22 \x0b\x0c Z", "É  ß  007", "one two", "  lead", "trail \t"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "k long, t string")
+    assert [r.n for r in df.select("k", fuzzy_lines.normal("t").alias("n")).orderBy("k").collect()] == [norm(t) for t in rows]
+    lines = fuzzy_lines.line_profiles(df.withColumnRenamed("k", "doc_id"), text="t", min_words=1).collect()
+    assert sorted((r.doc_id, r.n_words) for r in lines) == [(k, len(words(t))) for k, t in enumerate(rows) if words(t)]
